@@ -314,4 +314,4 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """The rows of docs that stay, one of each class of near_duplicates."""
     stay = near_duplicates(docs, recall).where("stays").select("k1", "k2").distinct()
-    return keyed(docs).join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return keyed(docs).select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")

@@ -74,7 +74,7 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     repeated = stored(repeated, "repeated")
     later = attach(windows, repeated, ["h1", "h2"], "n", ["first"], ["k1", "k2", "pos"]).where(F.col("first").isNotNull() & (F.col("first") != at))
     starts = later.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"))
-    joined = rows.join(starts, ["k1", "k2"], "left").select("row", "text", "starts")
+    joined = rows.select("row", "k1", "k2").join(starts, ["k1", "k2"], "left").select("row", F.col("row.text").alias("text"), "starts")
     return joined.mapInArrow(_cleaned, StructType([joined.schema["row"], *_ADDED]))
 
 

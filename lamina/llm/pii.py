@@ -227,7 +227,7 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     made = made.withColumn("new", _formatted(F.col("kind"), F.col("mention"), F.col("surrogate")))
     by_row = made.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("made"))
     by_row = by_row.select("k1", "k2", F.transform("made", lambda x: x["new"]).alias("new"))
-    joined = rows.join(by_row, ["k1", "k2"], "left")
+    joined = rows.select("row", "k1", "k2").join(by_row, ["k1", "k2"], "left").withColumn("text", F.col("row.text"))
     gaps = F.split("text", ANY, -1)
     text = F.array_join(F.zip_with(gaps, "new", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     return joined.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(text).alias("text"), "new")
