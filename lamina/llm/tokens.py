@@ -19,12 +19,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _NEAR_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ] | [\s\x0b\x1c-\x1f\x{85}\pZ]"
 _EDGE = re.compile(r"^\s|\s$")
 SEPARATOR = "|"
+#: A word of Latin letters and the marks after it, which pre-tokenisers part: the word's ids are those of any other place.
+_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class Encoder:
     """spaced: ids depend on the space before a word (byte-level vocabularies); else white space is dropped."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 600_000):
+    def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,9 +45,23 @@ class Encoder:
         return np.asarray(ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Keep the ids of new words. Many are encoded as one text, cut again where a word begins."""
-        if len(self.known) + len(words) > self.most:
+        """Keep the ids of new words: of words with marks, those of the word and of the marks."""
+        if len(self.known) + 2 * len(words) > self.most:
             self.known.clear()
+        parts = {}
+        for w in words:
+            m = _MARKED.fullmatch(w)
+            if m and (m[2] or not self.spaced):
+                parts[w] = (m[1] if self.spaced else m[1].lower(), m[2])
+        known = self.known
+        new = {x for pair in parts.values() for x in pair if x not in known}
+        new.update(w for w in words if w not in parts)
+        self._learn_whole(list(new))
+        for w, (a, b) in parts.items():
+            known[w] = known[a] + known[b]
+
+    def _learn_whole(self, words: list[str]) -> None:
+        """Many words are encoded as one text, cut again where a word begins."""
         together, alone = [], []
         for w in words:
             ok = len(w) > 1 and w[0] == " " and not _EDGE.search(w[1:]) if self.spaced else w and SEPARATOR not in w and not w.isspace()
