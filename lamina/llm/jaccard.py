@@ -23,6 +23,8 @@ TOKENS, BUCKET, DEPTH = 64, 128, 12
 DENSE = 0.75
 #: Matching values of TOKENS from which a pair is a candidate: five standard deviations below those of a similar pair.
 LOOSE = math.floor(TOKENS * THRESHOLD - 5 * math.sqrt(TOKENS * THRESHOLD * (1 - THRESHOLD)))
+#: Sets in a block of a larger bucket.
+SKETCH_BLOCK = 1024
 #: Sets in a block whose shingles are compared in full.
 EXACT_BLOCK = 256
 
@@ -258,7 +260,7 @@ def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
         split = (F.col("n") > BUCKET) & (F.col("n") < DENSE * F.col("before")) if depth < DEPTH else F.lit(False)
         ready = attach(rows.drop("before"), sizes.where(~split), ["path"], "n", ["n"], ["node"]).where("n is not null")
         ready = ready.join(reps.select("node", F.col("low")), "node").select("path", "node", "n", "low")
-        own = _in_blocks(ready, "path", BUCKET).mapInArrow(_compare, "a long, b long").distinct()
+        own = _in_blocks(ready, "path", SKETCH_BLOCK).mapInArrow(_compare, "a long, b long").distinct()
         own = stored(own, "candidates")
         edges = own if edges is None else edges.union(own)
         large = sizes.where(split)
