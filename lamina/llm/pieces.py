@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.tokens import Encoder, blocks
+from lamina.llm.tokens import Encoder, blocks, worker_cache
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         one = piece_encoder(path)
+        one.known = worker_cache(path)
         for batch in batches:
             for part in blocks(batch, "text"):
                 texts = pc.fill_null(part["text"], "")

@@ -119,6 +119,17 @@ class Encoder:
         return ids, np.append(0, ends)[at]
 
 
+_caches: dict[object, dict] = {}
+
+
+def worker_cache(name: object) -> dict:
+    """What a Python worker keeps from task to task under a name. Other names' entries go: stages that share a worker don't add up."""
+    for other, held in _caches.items():
+        if other != name:
+            held.clear()
+    return _caches.setdefault(name, {})
+
+
 @functools.cache
 def encoder(path: str, spaced: bool) -> Encoder:
     """One Encoder for each Python worker."""
@@ -138,6 +149,7 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
 def encoded(batches, path: str, spaced: bool, end_id: int, column: str = "text"):
     """For slices of the batches: the slice, ids and offsets, with end_id after each text. A null text counts as empty."""
     one = encoder(path, spaced)
+    one.known = worker_cache(path)
     for batch in batches:
         for part in blocks(batch, column):
             ids, at = one.encode(pc.fill_null(part[column], ""))

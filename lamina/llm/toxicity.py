@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.shared import stored
-from lamina.llm.tokens import blocks
+from lamina.llm.tokens import blocks, worker_cache
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -24,6 +24,8 @@ ROUNDS = 2
 SPAN, DECAY = 6, 0.5
 #: A longer run of letters is read in overlapping windows of this length.
 LONGEST = 24
+#: Words whose values a Python worker keeps, at most.
+WORDS_KEPT = 600_000
 #: Decision value of a text without words.
 NO_WORDS = -1.5
 
@@ -189,17 +191,14 @@ def _sentences(text: str | None) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n", (text or "").lower()) if s]
 
 
-_scores: dict[tuple, dict[str, float]] = {}
-
-
 def _scored(batches, model: Model, column: str = "text"):
     """Slices of the batches, and each text's largest value over its sentences' words."""
-    known = _scores.setdefault((model.bias, model.keys.tobytes()[:64], float(model.weights.sum())), {})
+    known = worker_cache((model.bias, len(model.keys), float(model.weights.sum())))
     for batch in batches:
         for part in blocks(batch, column, 4 << 20):
             bags = [set().union(*map(words_of, _sentences(text))) for text in part[column].to_pylist()]
             new = list({w for bag in bags for w in bag if w not in known})
-            if len(known) + len(new) > 1_000_000:
+            if len(known) + len(new) > WORDS_KEPT:
                 known.clear()
                 new = list(set().union(*bags))
             known.update(zip(new, model.values(new).tolist()))
