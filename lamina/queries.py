@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
 from lamina.operators import evaluation as E
 from lamina.operators import joins as J
 from lamina.operators import retrieval as R
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-#: SQL for T.content_words and T.tokens.
-SQL_CONTENT = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains([" + STOPS + "], w)))"
-SQL_TOKENS = "list_filter(string_split_regex(coalesce({0}, ''), '\\s+'), lambda w: w <> '')"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from lamina.plans import audits, pages, tables, texts  # noqa: F401  they register queries too
+from lamina.registry import ORACLES, QUERIES, SQL_CONTENT, SQL_TOKENS, query, table  # noqa: F401
 
 # --- retrieval: every 100th vector asks; a vector's label is its group -----------------------------------------------
 
