@@ -1,0 +1,75 @@
+"""Pages as records: titles, paragraphs, verse and translation, one page of each address."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lamina.functions import lines as L
+from lamina.operators import joins as J
+from lamina.operators import pages as P
+from lamina.registry import query, table
+
+SQL_TEXT = "regexp_replace({0}, '<[^>]*>', ' ', 'g')"
+for _entity, _char in P.ENTITIES.items():
+    SQL_TEXT = f"replace({SQL_TEXT}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+SQL_TEXT = f"trim(regexp_replace({SQL_TEXT}, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ')"
+SQL_VISIBLE = "regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g')"
+
+
+def _sql_first(tag: str) -> str:
+    return SQL_TEXT.format(f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)")
+
+
+SQL_PARTS = f"p AS (SELECT page_id, list_filter(list_transform(string_split_regex({SQL_VISIBLE}, '(?i)<p(?:\\s[^>]*)?>')[2:], lambda x: {SQL_TEXT.format('x')}), lambda x: x <> '') AS t FROM pages)"
+
+
+@query(f"WITH {SQL_PARTS} SELECT page_id, unnest(range(0, len(t)))::INTEGER AS i, unnest(t) AS text FROM p")
+def src_page_paragraphs(spark, d):
+    """Numbered paragraphs of each page, without navigation, scripts and footer."""
+    return table(spark, d, "pages").select("page_id", F.posexplode(P.paragraphs(F.col("html"))).alias("i", "text"))
+
+
+@query(f"""WITH t AS (SELECT page_id, {_sql_first('title')} AS title, {_sql_first('h1')} AS heading, {_sql_first('b')} AS bold FROM pages)
+SELECT page_id, title, heading, bold FROM t""")
+def src_page_records(spark, d):
+    """Title, heading and first bold part of each page."""
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", P.first_of(h, "title").alias("title"), P.first_of(h, "h1").alias("heading"), P.first_of(h, "b").alias("bold"))
+
+
+SQL_FOLD = "regexp_replace(translate(lower(nfc_normalize({0})), 'ṃṅ', 'ṁṁ'), '[\\s.,;:!?\"“”’''-]', '', 'g')"
+
+
+@query(f"""WITH {SQL_PARTS}, t AS (SELECT page_id, {_sql_first('title')} AS a FROM pages), x AS (SELECT page_id, a, t[1] AS b FROM t JOIN p USING (page_id) WHERE len(t) > 0),
+f AS (SELECT *, {SQL_FOLD.format('a')} AS x, {SQL_FOLD.format('b')} AS y FROM x)
+SELECT page_id, CASE WHEN a = b THEN 'exact' WHEN starts_with(x, y) OR ends_with(x, y) OR starts_with(y, x) OR ends_with(y, x) THEN 'boundary' ELSE 'distinct' END AS class FROM f""")
+def str_pair_class(spark, d):
+    """A page's title against its first paragraph: the same, one at an end of the other, or distinct."""
+    rows = table(spark, d, "pages").select("page_id", P.first_of(F.col("html"), "title").alias("a"), F.get(P.paragraphs(F.col("html")), F.lit(0)).alias("b"))
+    return rows.where("b is not null").select("page_id", L.pair_class(F.col("a"), F.col("b")).alias("class"))
+
+
+@query(f"""WITH {SQL_PARTS}, t AS (SELECT page_id, list_filter(string_split({_sql_first('title')}, ' '), lambda w: length(w) > 4) AS n FROM pages),
+x AS (SELECT page_id, n, lower(array_to_string(t, ' ')) AS body FROM t JOIN p USING (page_id))
+SELECT page_id, len(n)::BIGINT AS n_words FROM x WHERE len(n) > 0 AND len(list_filter(n, lambda w: contains(body, lower(w)))) < len(n)""")
+def flt_title_body(spark, d):
+    """Pages of whose title's words of over four characters some aren't in the body."""
+    rows = table(spark, d, "pages").select("page_id", F.filter(F.split(P.first_of(F.col("html"), "title"), " "), lambda w: F.length(w) > 4).alias("n"), F.lower(F.array_join(P.paragraphs(F.col("html")), " ")).alias("body"))
+    return rows.where("size(n) > 0 and exists(n, w -> not contains(body, lower(w)))").select("page_id", F.size("n").cast("long").alias("n_words"))
+
+
+SQL_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@query(f"SELECT {SQL_HOST} AS host, page_id FROM pages QUALIFY row_number() OVER (PARTITION BY {SQL_HOST} ORDER BY page_id) = 1")
+def src_keep_first(spark, d):
+    """The first page of each host: the smallest number is an aggregate, so nothing is sorted."""
+    return table(spark, d, "pages").groupBy(P.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
+
+
+@query(f"""SELECT {SQL_HOST} AS host, page_id, regexp_extract(html, '(?i)<html lang="([a-z]+)"', 1) AS lang FROM pages
+QUALIFY row_number() OVER (PARTITION BY {SQL_HOST} ORDER BY contains(url, '/en/') DESC, page_id) = 1""")
+def jn_prefer_own(spark, d):
+    """A host's page in the preferred language, else its first."""
+    rows = table(spark, d, "pages").select(P.host(F.col("url")).alias("host"), "page_id", F.regexp_extract("html", '(?i)<html lang="([a-z]+)"', 1).alias("lang"), F.contains("url", F.lit("/en/")).alias("own"))
+    return J.prefer(rows, "host", [F.desc("own"), F.col("page_id")]).select("host", "page_id", "lang")
