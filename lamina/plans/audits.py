@@ -12,7 +12,7 @@ from lamina.operators import audit as A
 from lamina.registry import ORACLES, SQL_CONTENT, query, table
 
 CLAIM = ["conv_id", "turn"]
-MARKERS, LABELS = ["http", "@", "["], ["and", "the"]
+MARKERS, LABELS = ["http", "@", "tion."], ["and", "the"]
 WORDS = SQL_CONTENT.format("text")
 
 
@@ -20,7 +20,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
 
 
-@query("SELECT conv_id, turn, 'CITATION_IN_TEXT' AS code, 'error' AS severity FROM conversations WHERE contains(text, 'http') OR contains(text, '@') OR contains(text, '[')")
+@query("SELECT conv_id, turn, 'CITATION_IN_TEXT' AS code, 'error' AS severity FROM conversations WHERE contains(text, 'http') OR contains(text, '@') OR contains(text, 'tion.')")
 def aud_citation_in_text(spark, d):
     return A.warnings(_turns(spark, d).where(A.contains_any(F.col("text"), MARKERS)), "CITATION_IN_TEXT", CLAIM)
 
@@ -110,12 +110,12 @@ def aud_duplicate_claim(spark, d):
 
 
 @query("""SELECT conv_id, -1 AS turn, 'NO_COMMENTARY_ENGAGEMENT' AS code, 'warn' AS severity FROM conversations GROUP BY conv_id
-HAVING bool_or(coalesce(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 0) >= 40) AND count(*) FILTER (role = 'assistant') = 0""")
+HAVING bool_or(coalesce(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 0) >= 40) AND count(*) FILTER (role = 'assistant') < 3""")
 def aud_no_commentary(spark, d):
-    """Conversations with a turn of 40 words, none of them an answer."""
+    """Conversations with a turn of 40 words, but fewer than three answers."""
     long = F.size(T.tokens(F.col("text"))) >= 40
     rows = _turns(spark, d).groupBy("conv_id").agg(F.bool_or(long).alias("there"), F.count_if(F.col("role") == "assistant").alias("cited"))
-    return A.warnings(rows.where("there and cited = 0").withColumn("turn", F.lit(-1)), "NO_COMMENTARY_ENGAGEMENT", CLAIM)
+    return A.warnings(rows.where("there and cited < 3").withColumn("turn", F.lit(-1)), "NO_COMMENTARY_ENGAGEMENT", CLAIM)
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_suppkey, bool_or(l_returnflag <> 'A') AS offered, bool_or(l_linestatus = 'F') AS disposed, bool_or(l_quantity > 40) AS cited FROM lineitem GROUP BY ALL),

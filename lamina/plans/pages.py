@@ -51,11 +51,12 @@ def str_pair_class(spark, d):
 
 @query(f"""WITH {SQL_PARTS}, t AS (SELECT page_id, list_filter(string_split({_sql_first('title')}, ' '), lambda w: length(w) > 4) AS n FROM pages),
 x AS (SELECT page_id, n, lower(array_to_string(t, ' ')) AS body FROM t JOIN p USING (page_id))
-SELECT page_id, len(n)::BIGINT AS n_words FROM x WHERE len(n) > 0 AND len(list_filter(n, lambda w: contains(body, lower(w)))) < len(n)""")
+SELECT page_id, len(n)::BIGINT AS n_words, len(list_filter(n, lambda w: NOT contains(body, lower(w))))::BIGINT AS n_missing FROM x WHERE len(n) > 0""")
 def flt_title_body(spark, d):
-    """Pages of whose title's words of over four characters some aren't in the body."""
+    """How many of a title's words of over four characters there are, and how many of them the body hasn't."""
     rows = table(spark, d, "pages").select("page_id", F.filter(F.split(P.first_of(F.col("html"), "title"), " "), lambda w: F.length(w) > 4).alias("n"), F.lower(F.array_join(P.paragraphs(F.col("html")), " ")).alias("body"))
-    return rows.where("size(n) > 0 and exists(n, w -> not contains(body, lower(w)))").select("page_id", F.size("n").cast("long").alias("n_words"))
+    missing = F.filter("n", lambda w: ~F.contains(F.col("body"), F.lower(w)))
+    return rows.where("size(n) > 0").select("page_id", F.size("n").cast("long").alias("n_words"), F.size(missing).cast("long").alias("n_missing"))
 
 
 SQL_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
