@@ -23,6 +23,12 @@ SEPARATOR = "|"
 _MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: A Latin letter before a mark other than an apostrophe: where white space is dropped, one more space between them changes no id.
+_LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
+#: Texts with this may hold a special token's name, which a space would part.
+_SPECIAL = "<|"
+
+
 class Encoder:
     """spaced: ids depend on the space before a word (byte-level vocabularies); else white space is dropped."""
 
@@ -90,6 +96,9 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.empty(0, self.dtype), np.zeros(1, "int64")
+        if not self.spaced:
+            # marks apart from words: far fewer distinct pieces to learn and keep
+            texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.replace_substring_regex(texts, _LETTER_MARK, r"\1 \2"))
         whole = pc.match_substring_regex(texts, _NEAR_SPACE).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(n, bool)
         pieces = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts), " ")
         at = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
