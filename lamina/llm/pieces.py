@@ -37,7 +37,7 @@ class PieceEncoder(Encoder):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.spaced, self.most, self.known, self.dtype = False, most, {}, np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.spaced, self.parted, self.most, self.known, self.dtype = False, False, most, {}, np.dtype("<u2" if n <= 1 << 16 else "<u4")
         text = [model.id_to_piece(i) for i in range(n)]
         byte = [model.is_byte(i) for i in range(n)]
         plain = [i for i in range(n) if not (byte[i] or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]

@@ -37,7 +37,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.most, self.known = spaced, most, {}
+        self.spaced, self.parted, self.most, self.known = spaced, not spaced, most, {}
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         if spaced:
@@ -96,7 +96,7 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.empty(0, self.dtype), np.zeros(1, "int64")
-        if not self.spaced:
+        if self.parted:
             # marks apart from words: far fewer distinct pieces to learn and keep
             texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.replace_substring_regex(texts, _LETTER_MARK, r"\1 \2"))
         whole = pc.match_substring_regex(texts, _NEAR_SPACE).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(n, bool)
