@@ -17,15 +17,15 @@ SEVERITY = {
     "NOTE_TEXT_AS_OTHER_LAYER": "error",
     "NOTE_NOT_IN_CONTEXT": "error",
     "UNPARSEABLE_GROUP_ID": "error",
-    "MALFORMED_GROUP_ID": "warn",
+    "MALFORMED_GROUP_ID": "warning",
     "UNKNOWN_GROUP_ID": "error",
     "GROUP_NOT_RETRIEVED": "error",
-    "ALIGNMENT_RANGE_INCOMPLETE": "warn",
-    "DUPLICATE_CLAIM": "warn",
-    "NO_COMMENTARY_ENGAGEMENT": "warn",
+    "ALIGNMENT_RANGE_INCOMPLETE": "warning",
+    "DUPLICATE_CLAIM": "warning",
+    "NO_COMMENTARY_ENGAGEMENT": "warning",
     "MISSING_DISPOSITION": "error",
-    "UNKNOWN_DISPOSITION_GROUP": "warn",
-    "DISPOSITION_CONTRADICTS_CLAIMS": "warn",
+    "UNKNOWN_DISPOSITION_GROUP": "warning",
+    "DISPOSITION_CONTRADICTS_CLAIMS": "warning",
 }
 
 

@@ -65,7 +65,7 @@ SQL_RAW = "CASE conv_id % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'Story ' WHEN 2 THEN '['
 
 @query(f"""WITH r AS (SELECT conv_id, turn, {SQL_RAW} AS raw FROM conversations), n AS (SELECT *, regexp_replace(raw, '[^0-9.]', '', 'g') AS bare FROM r),
 c AS (SELECT conv_id, turn, CASE WHEN NOT regexp_full_match(bare, '([1-9]|1[0-9]|2[0-6])\\.[1-9][0-9]{{0,2}}') THEN 'UNPARSEABLE_GROUP_ID' WHEN bare <> raw THEN 'MALFORMED_GROUP_ID' END AS code FROM n)
-SELECT conv_id, turn, code, CASE code WHEN 'MALFORMED_GROUP_ID' THEN 'warn' ELSE 'error' END AS severity FROM c WHERE code IS NOT NULL""")
+SELECT conv_id, turn, code, CASE code WHEN 'MALFORMED_GROUP_ID' THEN 'warning' ELSE 'error' END AS severity FROM c WHERE code IS NOT NULL""")
 def aud_group_id(spark, d):
     """Identifiers that aren't ones, or that were only after cleaning."""
     k = F.col("conv_id") % 5
@@ -84,7 +84,7 @@ def aud_group_known(spark, d):
     return A.warnings(rows, F.when(F.col("c_mktsegment").isNull(), "UNKNOWN_GROUP_ID").when(F.col("c_mktsegment") != "BUILDING", "GROUP_NOT_RETRIEVED"), ["o_orderkey", "o_custkey"])
 
 
-@query("""SELECT l_orderkey, 'ALIGNMENT_RANGE_INCOMPLETE' AS code, 'warn' AS severity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey
+@query("""SELECT l_orderkey, 'ALIGNMENT_RANGE_INCOMPLETE' AS code, 'warning' AS severity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey
 HAVING max(l_linenumber) - min(l_linenumber) + 1 <> count(DISTINCT l_linenumber)""")
 def aud_alignment_range(spark, d):
     """Orders whose returned lines aren't a whole range of numbers."""
@@ -102,14 +102,14 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("conv_id", F.col("turn").alias("claim"), T.content_words(F.col("text")).alias("words"))
 
 
-@query(f"WITH {SQL_SIMILAR.replace('SHARE', '> 0.2')} SELECT DISTINCT conv_id, b AS turn, 'DUPLICATE_CLAIM' AS code, 'warn' AS severity FROM e")
+@query(f"WITH {SQL_SIMILAR.replace('SHARE', '> 0.2')} SELECT DISTINCT conv_id, b AS turn, 'DUPLICATE_CLAIM' AS code, 'warning' AS severity FROM e")
 def aud_duplicate_claim(spark, d):
     """Turns like an earlier one of their conversation; a share of 0.2 here, as the invented texts repeat little."""
     pairs = A.similar_claims(_claims(spark, d), ["conv_id"], 0.2).where("similarity > 0.2")
     return A.warnings(pairs.select("conv_id", F.col("b").alias("turn")).distinct(), "DUPLICATE_CLAIM", CLAIM)
 
 
-@query("""SELECT conv_id, -1 AS turn, 'NO_COMMENTARY_ENGAGEMENT' AS code, 'warn' AS severity FROM conversations GROUP BY conv_id
+@query("""SELECT conv_id, -1 AS turn, 'NO_COMMENTARY_ENGAGEMENT' AS code, 'warning' AS severity FROM conversations GROUP BY conv_id
 HAVING bool_or(coalesce(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 0) >= 40) AND count(*) FILTER (role = 'assistant') < 3""")
 def aud_no_commentary(spark, d):
     """Conversations with a turn of 40 words, but fewer than three answers."""
@@ -120,7 +120,7 @@ def aud_no_commentary(spark, d):
 
 @query("""WITH s AS (SELECT l_orderkey, l_suppkey, bool_or(l_returnflag <> 'A') AS offered, bool_or(l_linestatus = 'F') AS disposed, bool_or(l_quantity > 40) AS cited FROM lineitem GROUP BY ALL),
 c AS (SELECT l_orderkey, l_suppkey, CASE WHEN offered AND NOT disposed THEN 'MISSING_DISPOSITION' WHEN disposed AND NOT offered THEN 'UNKNOWN_DISPOSITION_GROUP' WHEN disposed AND cited THEN 'DISPOSITION_CONTRADICTS_CLAIMS' END AS code FROM s)
-SELECT l_orderkey, l_suppkey, code, CASE code WHEN 'MISSING_DISPOSITION' THEN 'error' ELSE 'warn' END AS severity FROM c WHERE code IS NOT NULL""")
+SELECT l_orderkey, l_suppkey, code, CASE code WHEN 'MISSING_DISPOSITION' THEN 'error' ELSE 'warning' END AS severity FROM c WHERE code IS NOT NULL""")
 def aud_disposition(spark, d):
     """What was offered, disposed of and cited, compared as sets in one pass over their rows."""
     some = lambda c, name: F.bool_or(F.expr(c)).alias(name)
