@@ -11,6 +11,13 @@ from lamina.operators.graph import components
 
 # The severity of each code.
 SEVERITY = {
+    "MISSING_PROVENANCE": "error",
+    "VERSE_GROUP_MISMATCH": "error",
+    "VERSE_NOT_RETRIEVED": "error",
+    "PALI_QUOTE_NOT_IN_SOURCE": "error",
+    "PALI_QUOTE_ORTHOGRAPHIC_VARIANT": "warning",
+    "PALI_QUOTE_TRUNCATED": "warning",
+    "SYNTHESIS_WITH_CITATION": "info",
     "CITATION_IN_TEXT": "error",
     "LABEL_IN_TEXT": "error",
     "VERSE_TEXT_AS_COMMENTARY": "error",
@@ -85,3 +92,24 @@ def claim_clusters(claims: DataFrame, keys: list[str], share: float) -> DataFram
     nodes = named.where("claim = node").select(*keys, "claim", "words")
     roots = components(similar_claims(nodes, keys, share).select("a", "b")).withColumnRenamed("root", "cluster")
     return named.select("claim", "node").join(roots, "node", "left").select("claim", F.coalesce("cluster", "node").alias("cluster"))
+
+
+def citation_codes(claims: DataFrame, retrieved: DataFrame, keys: list[str]) -> DataFrame:
+    """claims with code (null: nothing found): what a claim cites against what its context holds.
+
+    claims: keys, layer, cited (the group as it was written), gid (null if that is no group) and verse; retrieved: keys,
+    gid, verse. Each fact about the context is a left join on distinct keys, so that a context may be of any size.
+    """
+    mark = lambda rows, name: rows.distinct().withColumn(name, F.lit(True))
+    groups = mark(retrieved.select(*keys, "gid"), "_group")
+    pairs = mark(retrieved.select(*keys, "gid", "verse"), "_pair")
+    verses = mark(retrieved.select(*keys, "verse"), "_verse")
+    rows = claims.join(groups, [*keys, "gid"], "left").join(pairs, [*keys, "gid", "verse"], "left").join(verses, [*keys, "verse"], "left")
+    made_up = F.col("layer") == "synthesis"
+    code = (
+        F.when(made_up, F.when(F.col("cited").isNotNull() | F.col("verse").isNotNull(), "SYNTHESIS_WITH_CITATION"))
+        .when(F.col("cited").isNull() | F.col("verse").isNull(), "MISSING_PROVENANCE")
+        .when(F.col("_group") & F.col("_pair").isNull(), "VERSE_GROUP_MISMATCH")
+        .when(F.col("gid").isNull() & F.col("_verse").isNull(), "VERSE_NOT_RETRIEVED")
+    )
+    return rows.select(*claims.columns, code.alias("code"))

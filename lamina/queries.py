@@ -9,7 +9,7 @@ from lamina.functions import text as T
 from lamina.operators import evaluation as E
 from lamina.operators import joins as J
 from lamina.operators import retrieval as R
-from lamina.plans import audits, pages, tables, texts  # noqa: F401  they register queries too
+from lamina.plans import audits, pages, quotes, tables, texts  # noqa: F401  they register queries too
 from lamina.registry import ORACLES, QUERIES, SQL_CONTENT, SQL_TOKENS, query, table  # noqa: F401
 
 # --- retrieval: every 100th vector asks; a vector's label is its group -----------------------------------------------

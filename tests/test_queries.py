@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import quotes as Q
 from lamina.functions import text as T
 from lamina.operators import evaluation as E
 from lamina.operators import joins as J
@@ -22,7 +23,7 @@ def duck():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -73,3 +74,37 @@ def test_strict_join_fails_without_a_partner(spark):
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
     with pytest.raises(Exception, match="no partner for 2"):
         J.must_match(left, right, ["k"]).collect()
+
+
+def test_likeness(spark):
+    pairs = [("abcd", "bcde", 0.75), ("abc", "abc", 1.0), ("abc", "xyz", 0.0), ("", "", 1.0), ("appamado", "appamada", 0.875), (None, "a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string, want double").select("want", Q.likeness("a", "b").alias("got"))
+    assert all(r.got == r.want for r in df.collect())
+    assert QUERIES["str_likeness"](spark, SF).where("likeness < 0 or likeness > 1 or likeness is null").count() == 0
+
+
+def test_closing_quotes(spark):
+    lead, own = "A tale 12. told. ", [7, 8]
+    said = "He pronounced the following verse:"
+    cases = {
+        lead + said + " 7. a b. 8. c d.": lead + "He", lead + said + " 8. c d.": lead + "He", lead + said + " 7. a b.": None, lead + said + " 9. c.": None,
+        lead + said + " 8. " + "w " * 110: None, lead: None, lead + said + " 9. x. " + said + " 8. y.": lead + said + " 9. x. He", lead + said + " 1.8. y": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", Q.without_closing_quote(F.col("t"), F.array(*map(F.lit, own))).alias("got"))
+    assert {r.t: r.got for r in df.collect()} == {t: t if want is None else want for t, want in cases.items()}
+
+
+def test_excerpts(spark):
+    t = "  one two three four five six seven"
+    at = lambda i: Q.window_offset(F.col("t"), F.lit(i), 2)
+    df = spark.createDataFrame([(t,)], "t string")
+    assert list(df.select(at(0), at(1), at(2), at(9)).first()) == [0, t.index("three"), t.index("five"), len(t) - 1]
+    cut = lambda budget, place: Q.excerpt(F.col("t"), F.lit(budget), F.lit(place))
+    got = df.select(cut(0, 0), cut(99, 5), cut(8, 0), cut(8, t.index("four"))).first()
+    assert list(got) == [Q.OMITTED, t, "one tw" + Q.CUT, Q.RESUMED + "e four f" + Q.CUT]  # two characters before the place
+
+
+def test_quotes_prefer_an_exact_place(spark):
+    df = spark.createDataFrame([("Sabbam", "sab-bam eva", "x Sabbam y"), ("sabbaṃ", "Sab-baṁ", None), ("none", "a", ""), (None, "a", "b")], "q string, a string, b string")
+    got = [r.m and (r.m.tier, r.m.field) for r in df.select(Q.quote_match(F.col("q"), {"a": F.col("a"), "b": F.col("b")}).alias("m")).collect()]
+    assert got == [("exact", "b"), ("variant", "a"), None, None]
