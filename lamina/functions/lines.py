@@ -97,3 +97,22 @@ def number_range(numbers: Column) -> Column:
     follow = (F.size(numbers) > 1) & (last - numbers[0] + 1 == F.size(numbers))
     text = F.transform(numbers, lambda x: x.cast("string"))
     return F.when(follow, F.concat_ws("-", numbers[0].cast("string"), last.cast("string"))).otherwise(F.array_join(text, ", "))
+
+
+# What may stand before and after a footnote's number in running text, and page numbers of editions in brackets.
+BEFORE_MARK, AFTER_MARK = r"(?<=[\p{L}.,;:!?’”)\]–—])(?<![0-9][.,])", r"(?=[\s.,;:!?’”)\]]|$)"
+PAGE_CRUMB = r" ?(?:\{[0-9]+\.[0-9]+\}|\[[0-9]+(?:\.[0-9]+)?\])"
+
+
+def without_marks(text: Column, marks: Column) -> Column:
+    """Text without the footnote numbers among marks (an array of digits) that stand after a letter or a sign, but for the ends of grouped numbers (80,000). Without marks the text stays."""
+    pattern = F.concat(F.lit(f"{BEFORE_MARK}(?:"), F.array_join(marks, "|"), F.lit(f"){AFTER_MARK}"))
+    return F.when(F.size(marks) > 0, F.regexp_replace(text, pattern, F.lit(""))).otherwise(text)
+
+
+def body(text: Column, marks: Column) -> Column:
+    """Lines that aren't blank, their indents kept and other runs of spaces made one, without form feeds, page crumbs and footnote numbers."""
+    bare = without_marks(F.regexp_replace(F.replace(text, F.lit("\f"), F.lit("")), PAGE_CRUMB, ""), marks)
+    held = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
+    tidy = F.transform(held, lambda x: F.concat(F.regexp_extract(x, "^( *)", 1), F.regexp_replace(F.regexp_replace(x, "^ +", ""), " {2,}", " ")))
+    return F.array_join(tidy, "\n")

@@ -146,3 +146,20 @@ def str_separating_words(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
     rows = rows.withColumn("x", F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("x is not null")
     return rows.select("conv_id", "turn", F.size(F.array_except("w", "x")).cast("long").alias("own"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '([0-9])\. ', '\1.977 ', 'g') AS text FROM documents WHERE text IS NOT NULL""")
+def str_footnote_marks(spark, d):
+    """Texts without footnote numbers, which every full stop gets; after a digit they belong to the number and stay."""
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", L.without_marks(F.replace("text", F.lit(". "), F.lit(".977 ")), F.array(F.lit("12"), F.lit("977"))).alias("text"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, ' ?(?:\{[0-9]+\.[0-9]+\}|\[[0-9]+(?:\.[0-9]+)?\])', '', 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> '') AS l FROM t),
+i AS (SELECT doc_id, list_transform(l, lambda x: '   ' || trim(regexp_replace(regexp_replace(x, '^ +', ''), ' {2,}', ' ', 'g'), ' ')) AS l FROM f)
+SELECT doc_id, array_to_string(l, chr(10)) AS text FROM i""")
+def str_body(spark, d):
+    """Lines of texts cleaned; indents, page numbers in brackets, blank lines and form feeds are put in first."""
+    t = F.regexp_replace("text", r"(?m)^ *(?=\S)", "   ")
+    t = F.replace(F.replace(t, F.lit(", "), F.lit(" [12.3],  ")), F.lit("\n"), F.lit(" {1.22}\n \f\n"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", L.body(t, F.array().cast("array<string>")).alias("text"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import lines as L
 from lamina.functions import quotes as Q
 from lamina.functions import text as T
 from lamina.operators import evaluation as E
@@ -108,3 +109,15 @@ def test_quotes_prefer_an_exact_place(spark):
     df = spark.createDataFrame([("Sabbam", "sab-bam eva", "x Sabbam y"), ("sabbaṃ", "Sab-baṁ", None), ("none", "a", ""), (None, "a", "b")], "q string, a string, b string")
     got = [r.m and (r.m.tier, r.m.field) for r in df.select(Q.quote_match(F.col("q"), {"a": F.col("a"), "b": F.col("b")}).alias("m")).collect()]
     assert got == [("exact", "b"), ("variant", "a"), None, None]
+
+
+def test_footnote_marks(spark):
+    cases = {"word12 and.7 end": "word and. end", "80,12 or 7.12 stay": "80,12 or 7.12 stay", "in 12 days": "in 12 days", "word123 x": "word123 x", "last7": "last", "said.”12": "said.”"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", L.without_marks(F.col("t"), F.array(F.lit("12"), F.lit("7"))).alias("got"), L.without_marks(F.col("t"), F.array().cast("array<string>")).alias("same"))
+    rows = df.collect()
+    assert {r.t: r.got for r in rows} == cases and all(r.same == r.t for r in rows)
+
+
+def test_body(spark):
+    df = spark.createDataFrame([("  one   two [3.4] x\n\n \f\nthree{1.2}  four7 \n   ",)], "t string")
+    assert df.select(L.body(F.col("t"), F.array(F.lit("7")))).first()[0] == "  one two x\nthree four"
