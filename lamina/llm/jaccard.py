@@ -19,6 +19,8 @@ from lamina.llm.tokens import blocks
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Min-wise values of a set; sets in a bucket that is compared in full; depth at which a bucket is compared in blocks.
 TOKENS, BUCKET, DEPTH = 64, 128, 12
+#: Depth that the first runs suffice for. Sets whose buckets split further get more runs.
+SHALLOW = 3
 #: A bucket that keeps this share of the bucket it came from is one of near copies: splitting it doesn't help.
 DENSE = 0.75
 #: Matching values of TOKENS from which a pair is a candidate: five standard deviations below those of a similar pair.
@@ -95,7 +97,7 @@ def _child(path: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray
     return _mix(_mix(path * _ODD[0, 0] + token.astype("uint64")) + value.astype("uint64"))
 
 
-def runs_for(recall: float, depth: int = 3) -> int:
+def runs_for(recall: float, depth: int = SHALLOW) -> int:
     """Runs after which a pair at the threshold has been together in a bucket of this depth with this probability."""
     lost = 0.0
     for _ in range(depth):
@@ -105,8 +107,8 @@ def runs_for(recall: float, depth: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
-def _first_split(recall: float):
-    roots = _mix(np.arange(runs_for(recall), dtype="uint64") + np.uint64(12345))
+def _first_split(runs: range):
+    roots = _mix(np.arange(runs.start, runs.stop, dtype="uint64") + np.uint64(12345))
 
     def run(batches):
         for batch in batches:
@@ -250,11 +252,32 @@ def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Edges a, b between sets that a bucket held together and whose sketches agree. reps: node, sketch."""
-    total = reps.count()
-    rows = stored(reps.mapInArrow(_first_split(recall), "path long, node long").withColumn("before", F.lit(total).cast("long")), "paths")
-    edges = None
+    """Edges a, b between sets that a bucket held together and whose sketches agree. reps: node, sketch, low.
+
+    A pair can only be lost below the planned depth if both of its sets have been in a bucket that was split there. So
+    the sets that were get the runs that the depth reached takes, until no bucket goes deeper than was planned for.
+    """
+    edges, depth, done, sets, total = None, SHALLOW, 0, reps, reps.count()
+    while done < runs_for(recall, depth):
+        runs = range(done, runs_for(recall, depth))
+        found, reached, deep = _run(sets, runs, depth, total)
+        edges = found if edges is None else edges.union(found)
+        done = runs.stop
+        if deep is None:
+            break
+        depth, sets = reached, stored(sets.join(deep, "node", "left_semi"), "deep")
+    return edges
+
+
+def _run(reps: DataFrame, runs: range, planned: int, total: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """The edges of these runs, the depth reached, and the nodes of buckets below the planned depth, if there are any.
+
+    First buckets are measured against all sets (total), also if only some of them run again."""
+    rows = stored(reps.mapInArrow(_first_split(runs), "path long, node long").withColumn("before", F.lit(total).cast("long")), "paths")
+    edges = deep = None
     for depth in range(1, DEPTH + 1):
+        if depth == planned + 1:
+            deep = stored(rows.select("node").distinct(), "deep")
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.first("before").alias("before")).where("n > 1")
         sizes = stored(sizes, "sizes")
         split = (F.col("n") > BUCKET) & (F.col("n") < DENSE * F.col("before")) if depth < DEPTH else F.lit(False)
@@ -265,7 +288,7 @@ def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
         edges = own if edges is None else edges.union(own)
         large = sizes.where(split)
         if depth == DEPTH or large.isEmpty():
-            return edges
+            return edges, depth, deep
         on = attach(rows.drop("before"), large, ["path"], "n", ["n"], ["node"]).where("n is not null")
         rows = stored(on.join(reps.select("node", "sketch"), "node").select("path", "node", "n", "sketch").mapInArrow(_next_split, "path long, node long, before long"), "paths")
 
@@ -281,8 +304,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     Candidates come from chosen paths: a set is embedded as TOKENS min-wise values; a bucket splits on values it
     samples, 1 / THRESHOLD of them on average, so that a similar pair is expected together in one child; small
     buckets, and those that hardly shrink, are compared in full by sketches, the latter in pairs of blocks. Runs
-    repeat (runs_for) until a pair at the threshold is met with the given recall. A bucket yields a spanning forest,
-    never its pairs. Components of candidates are then compared exactly on whole sets, in pairs of blocks, so that
+    repeat (runs_for) until a pair at the threshold is met with the given recall, for sets of buckets that split on
+    below SHALLOW as often as the depth reached takes. A bucket yields a spanning forest, never its pairs. Components of candidates are then compared exactly on whole sets, in pairs of blocks, so that
     links within them are complete.
 
     Defined cases: null, empty and blank texts have no shingles: they are copies of one another with no link; texts of

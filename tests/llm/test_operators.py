@@ -171,6 +171,23 @@ def test_near_duplicates_equal_all_pairs(spark, odd, empty):
     assert 7 in stay and 8 not in stay and 9 not in stay
 
 
+def test_recall_holds_in_buckets_that_split_on(spark):
+    # each value is one of four that a quarter of the sets share, so that buckets split to a depth of about 5
+    rng = np.random.RandomState(3)
+    n, pairs, t = 40_000, 2000, jaccard.TOKENS
+    low = np.take_along_axis(rng.randint(1, 1 << 31, (4, t)), rng.randint(0, 4, (n, t)), 0)
+    for i in range(pairs):
+        own = rng.permutation(t)[: t - 51]  # 51 of 64 values stay shared: just below 0.8
+        low[n - 1 - i] = low[i]
+        low[n - 1 - i, own] = rng.randint(1, 1 << 31, len(own))
+    low = low.astype("<u4")
+    rows = [(i, bytearray(x.tobytes()), bytearray((x & 255).astype("u1").tobytes())) for i, x in enumerate(low)]
+    reps = spark.createDataFrame(rows, "node long, sketch binary, low binary")
+    root = {r.node: r.root for r in components(jaccard.candidates(reps, 0.99)).collect()}
+    lost = sum(root.get(i, i) != root.get(n - 1 - i, n - 1 - i) for i in range(pairs))
+    assert lost <= 0.01 * pairs
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200), (150, 200), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
