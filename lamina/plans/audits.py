@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions import text as T
 from lamina.operators import audit as A
 from lamina.registry import ORACLES, SQL_CONTENT, query, table
+from lamina.sources.scratch import stored
 
 CLAIM = ["conv_id", "turn"]
 MARKERS, LABELS = ["http", "@", "tion."], ["and", "the"]
@@ -147,14 +148,18 @@ k AS (SELECT conv_id, claim AS turn, min(seen) AS cluster FROM r GROUP BY ALL)""
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    number = F.col("conv_id") * 100000 + F.col("claim")
-    rows = A.claim_clusters(_claims(spark, d).withColumn("claim", number), ["conv_id"], 0.2)
-    return rows.select(F.expr("claim div 100000").alias("conv_id"), (F.col("claim") % 100000).alias("turn"), (F.col("cluster") % 100000).alias("cluster"))
+    """conv_id, turn and cluster. Turns get stored numbers, so that those of conversations of any length never meet."""
+    claims = _claims(spark, d)
+    ids = stored(claims.select("conv_id", F.col("claim").alias("turn")).distinct().withColumn("id", F.monotonically_increasing_id()), "claims")
+    numbered = claims.withColumnRenamed("claim", "turn").join(ids, CLAIM).select("conv_id", F.col("id").alias("claim"), "words")
+    rows = A.claim_clusters(numbered, ["conv_id"], 0.2).withColumnRenamed("claim", "id").join(ids, "id")
+    first = rows.groupBy(F.col("cluster").alias("root")).agg(F.min("turn").alias("first"))
+    return rows.join(first, F.col("cluster") == F.col("root")).select("conv_id", "turn", F.col("first").alias("cluster"))
 
 
 @query(f"WITH {SQL_CLUSTERS} SELECT conv_id, turn, cluster FROM k")
 def dom_claim_clusters(spark, d):
-    """Clusters of like turns of a conversation. A conversation has fewer than 100,000 turns."""
+    """Clusters of like turns of a conversation, by their first turn."""
     return _clusters(spark, d)
 
 

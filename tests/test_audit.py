@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions import lines as L
 from lamina.operators import audit as A
 from lamina.operators.graph import components
+from lamina.queries import QUERIES
 
 
 def test_similar_claims_and_clusters_equal_brute_force(spark):
@@ -45,3 +46,12 @@ def test_lines_at_their_limits(spark):
     assert spark.range(1).select(L.joined_lines(F.lit("well-\nknown  \n\n words")).alias("x")).first().x == "well-known words"
     pairs = spark.createDataFrame([("a", "a"), ("Ab-c", "abcd"), ("abc", "xyz")], "a string, b string")
     assert [r[0] for r in pairs.select(L.pair_class(F.col("a"), F.col("b"))).collect()] == ["exact", "boundary", "distinct"]
+
+
+def test_long_conversations_keep_their_turns_apart(spark, tmp_path):
+    said = "alpha beta gamma delta epsilon zeta"
+    rows = [(1, 100_005, "user", said), (1, 100_007, "user", said), (2, 5, "user", "one two three four five six"), (2, 7, "user", said)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["dom_claim_clusters"](spark, str(tmp_path)).select("conv_id", "turn", "cluster").collect())
+    assert got == [(1, 100_005, 100_005), (1, 100_007, 100_005), (2, 5, 5), (2, 7, 7)]
+    assert tuple(QUERIES["agg_tag_stability"](spark, str(tmp_path)).first()) == (1, 1)
