@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.scratch import stored
+
 
 def ir_metrics(first_hit: DataFrame) -> DataFrame:
     """Recall at 1, 3, 5 and 10, nDCG at 10 and the uncut reciprocal rank of each row's rank (null: no hit)."""
@@ -21,6 +25,25 @@ def draw(resample: Column, i: Column, n: Column, seed: str) -> Column:
     return F.floor(h * n / F.lit(4294967296)).cast("long")
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with i, their place from 0 among rows of equal by, in this order, and n, how many those are.
+
+    Rows are dealt by ranges of by and order; a place is that in its part, and the sizes of the parts before are added, so
+    that no task has a group's rows to sort.
+    """
+    keys = [*by, *order]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumns({"_part": F.shiftright(at, 33), "_place": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = stored(dealt, "numbered")
+    held = dealt.groupBy("_part", *by).agg(F.count("*").alias("_size"), F.min("_place").alias("_first"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = held.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_{c}") for c in by], "_first", before.alias("_before"), F.sum("_size").over(group).alias("n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("_part") == F.col("_p"))
+    return dealt.join(F.broadcast(sizes), same).select(*rows.columns, (F.col("_before") + F.col("_place") - F.col("_first")).alias("i"), "n")
+
+
 def bootstrap(rows: DataFrame, n_resamples: int, seed: str) -> DataFrame:
     """mean, low and high: the mean of num / den and its 95 % interval over resamples of the rows. rows: i (from 0), num, den, summed for each cluster before.
 

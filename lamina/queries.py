@@ -383,8 +383,7 @@ def rnk_runs(spark, d):
 SELECT lang, doc_id FROM s WHERE i % step = 0 AND i // step < 5""")
 def rnk_systematic_sample(spark, d):
     """Five documents of each language, evenly spaced."""
-    w = Window.partitionBy("lang")
-    r = table(spark, d, "documents").select("doc_id", "lang", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    r = E.numbered(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"])
     step = F.greatest(F.lit(1), F.expr("n div 5"))
     return r.withColumn("step", step).where("i % step = 0 and i div step < 5").select("lang", "doc_id")
 

@@ -121,3 +121,12 @@ def test_footnote_marks(spark):
 def test_body(spark):
     df = spark.createDataFrame([("  one   two [3.4] x\n\n \f\nthree{1.2}  four7 \n   ",)], "t string")
     assert df.select(L.body(F.col("t"), F.array(F.lit("7")))).first()[0] == "  one two x\nthree four"
+
+
+def test_numbers_need_no_task_of_a_whole_group(spark):
+    rows = spark.createDataFrame([("a" if i % 5 else None, (i * 37) % 101) for i in range(101)], "g string, k int")
+    got = [(r.g, r.k, r.i, r.n) for r in E.numbered(rows, ["g"], ["k"]).collect()]
+    keys = {g: sorted(r.k for r in rows.collect() if r.g == g) for g in ("a", None)}
+    assert sorted(got, key=repr) == sorted(((g, k, i, len(ks)) for g, ks in keys.items() for i, k in enumerate(ks)), key=repr)
+    plan = QUERIES["rnk_systematic_sample"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number" not in plan
