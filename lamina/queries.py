@@ -166,7 +166,7 @@ m AS (SELECT b, round(sum(num)::DOUBLE / sum(den), 9) AS m FROM dr JOIN r USING
 s AS (SELECT list_sort(list(m)) AS s FROM m)
 SELECT (SELECT round(sum(num)::DOUBLE / sum(den), 9) FROM r) AS mean, s[6] AS low, s[196] AS high FROM s""")
 def boot_paired(spark, d):
-    """Interval of the agreement of two labels, in at most 997 clusters of rows. Draws are hashes, so that other engines make the same."""
+    """Interval of the agreement of two labels, in at most 997 clusters of rows, not paired; boot_paired_delta is the paired one. Draws are hashes, so that other engines make the same."""
     agree = F.sum((F.col("quality") == F.col("toxic")).cast("int"))
     return E.bootstrap(_numbered(table(spark, d, "labels").groupBy((F.col("doc_id") % 997).alias("c")).agg(agree.alias("num"), F.count("*").alias("den"))), 200, "lamina")
 
@@ -183,11 +183,35 @@ m AS (SELECT b, round(sum(num)::DOUBLE / sum(den), 9) AS m FROM dr JOIN r USING
 s AS (SELECT list_sort(list(m)) AS s FROM m)
 SELECT (SELECT round(sum(num)::DOUBLE / sum(den), 9) FROM r) AS mean, s[6] AS low, s[196] AS high FROM s""")
 def boot_cluster(spark, d):
-    """Interval of a ratio of sums, resampled by clusters of conversations."""
+    """Interval of a ratio of sums, resampled by 997 clusters of conversations at most; boot_cluster_conversations has no such bound."""
     user = F.count_if(F.col("role") == "user")
     return E.bootstrap(_numbered(table(spark, d, "conversations").groupBy((F.col("conv_id") % 997).alias("c")).agg(user.alias("num"), F.count("*").alias("den"))), 200, "cluster")
 
 
+SQL_BOOT = """n AS (SELECT count(*) AS n FROM r),
+dr AS (SELECT b, (floor(('0x' || substr(md5(concat_ws(':', b, slot, '{seed}')), 1, 8))::BIGINT * n.n / 4294967296.0))::BIGINT AS i FROM n, range(0, 2000) t(b), (SELECT i AS slot FROM r)),
+m AS (SELECT b, round(sum(num)::DOUBLE / sum(den), 9) AS m FROM dr JOIN r USING (i) GROUP BY b),
+s AS (SELECT list_sort(list(m)) AS s FROM m)
+SELECT (SELECT round(sum(num)::DOUBLE / sum(den), 9) FROM r) AS mean, s[51] AS low, s[1951] AS high FROM s"""
+
+
+@query(f"""WITH r AS (WITH {SQL_HITS}, p AS (SELECT q, sum(CASE condition WHEN 'fused' THEN 1 WHEN 'dense_only' THEN -1 ELSE 0 END * round(ndcg_10 * 1000000)::BIGINT)::BIGINT AS num, 1000000 AS den FROM x GROUP BY q) SELECT row_number() OVER (ORDER BY q) - 1 AS i, num, den FROM p),
+{SQL_BOOT.format(seed='delta')}""")
+def boot_paired_delta(spark, d):
+    """Interval of the mean difference in nDCG of fused and dense_only, paired by question: 2,000 resamples of questions. Differences are whole millionths, so that sums are exact."""
+    sign = F.when(F.col("condition") == "fused", 1).when(F.col("condition") == "dense_only", -1).otherwise(0)
+    pairs = E.ir_metrics(_first_hits(spark, d)).groupBy("q").agg(F.sum(sign * F.round(F.col("ndcg_10") * 1000000).cast("long")).alias("num"))
+    return E.bootstrap(E.numbered(pairs, [], ["q"]).select("i", "num", F.lit(1000000).cast("long").alias("den")), 2000, "delta")
+
+
+@query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY c) - 1 AS i, num, den FROM (SELECT conv_id AS c, sum((role = 'user')::INTEGER) AS num, count(*) AS den FROM conversations GROUP BY c)), {SQL_BOOT.format(seed='cluster')}""")
+def boot_cluster_conversations(spark, d):
+    """Interval of a ratio of sums: 2,000 resamples of whole conversations, each a unit of its own."""
+    user = F.count_if(F.col("role") == "user")
+    sums = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("c")).agg(user.alias("num"), F.count("*").alias("den"))
+    return E.bootstrap(E.numbered(sums, [], ["c"]).select("i", "num", "den"), 2000, "cluster")
+
+
 ROLES = ["user", "assistant", "system"]
 
 

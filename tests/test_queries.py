@@ -130,3 +130,10 @@ def test_numbers_need_no_task_of_a_whole_group(spark):
     assert sorted(got, key=repr) == sorted(((g, k, i, len(ks)) for g, ks in keys.items() for i, k in enumerate(ks)), key=repr)
     plan = QUERIES["rnk_systematic_sample"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window [row_number" not in plan
+
+
+def test_each_conversation_is_a_unit_of_the_bootstrap(spark, tmp_path):
+    # 0 and 997 would be one unit if conversations were merged by conv_id % 997, and the interval a point
+    rows = [(0, 0, "user", "a"), (997, 0, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert tuple(QUERIES["boot_cluster_conversations"](spark, str(tmp_path)).first()) == (0.5, 0.0, 1.0)
