@@ -76,9 +76,9 @@ def sections(text: Column) -> list[Column]:
 
 
 def corrected(text: Column, typos: dict[str, str]) -> list[Column]:
-    """text with whole words replaced, and n, the number of replacements."""
-    new = reduce(lambda t, x: F.regexp_replace(t, rf"\b{x[0]}\b", x[1]), typos.items(), text)
-    n = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(rf"\b{x}\b")) for x in typos])
+    """text with whole words replaced, and n, the number of replacements. Letters of any script are parts of words."""
+    new = reduce(lambda t, x: F.regexp_replace(t, rf"(?U)\b{x[0]}\b", x[1]), typos.items(), text)
+    n = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(rf"(?U)\b{x}\b")) for x in typos])
     return [new.alias("text"), n.cast("long").alias("n")]
 
 

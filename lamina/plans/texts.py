@@ -43,6 +43,12 @@ def str_strip_control(spark, d):
     return rows.select("doc_id", L.without_controls(F.replace("text", F.lit("e"), F.lit("\x07e"))).alias("text"))
 
 
+@query(r"""SELECT doc_id, regexp_replace(replace(text, 'e', chr(7) || 'e'), '[\x00-\x08\x0b-\x1f]', '', 'g') AS text FROM documents""")
+def str_strip_control_all(spark, d):
+    """As str_strip_control, over texts of any length."""
+    return table(spark, d, "documents").select("doc_id", L.without_controls(F.replace("text", F.lit("e"), F.lit("\x07e"))).alias("text"))
+
+
 @query(r"""SELECT p_partkey, regexp_replace(translate(lower(nfc_normalize(p_name)), 'ṃṅ', 'ṁṁ'), '[\s.,;:!?"“”’''-]', '', 'g') AS folded FROM part""")
 def str_orthographic_fold(spark, d):
     """Names as spellings that only differ in marks share them."""
@@ -57,6 +63,13 @@ def str_nfc(spark, d):
     return rows.select("doc_id", L.nfc("text").alias("text"), (~L.is_nfc("text")).alias("changed"))
 
 
+@query("SELECT doc_id, nfc_normalize(replace(text, 'o', 'o' || chr(776))) AS text, text IS NOT NULL AND contains(text, 'o') AS changed FROM documents")
+def str_nfc_all(spark, d):
+    """As str_nfc, over texts of any length; a null text isn't changed."""
+    rows = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("o"), F.lit("o\u0308")).alias("text"))
+    return rows.select("doc_id", L.nfc("text").alias("text"), F.coalesce(~L.is_nfc("text"), F.lit(False)).alias("changed"))
+
+
 @query("""WITH h AS (SELECT o_orderkey, o_orderkey % 400 + 1 AS a, (o_orderkey // 7) % 4 AS k FROM orders)
 SELECT o_orderkey, CASE WHEN k = 3 THEN NULL ELSE array_to_string(range(a, a + k + 1), ',') END AS verses FROM h""")
 def str_range_header(spark, d):
@@ -89,6 +102,12 @@ def str_typo_corrections(spark, d):
     return rows.select("doc_id", *L.corrected(F.col("text"), TYPOS))
 
 
+@query()
+def str_typo_corrections_all(spark, d):
+    """As str_typo_corrections, over all texts. Without SQL, as engines differ in where a word with letters beyond ASCII ends."""
+    return table(spark, d, "documents").select("doc_id", *L.corrected(F.col("text"), TYPOS))
+
+
 BUDGET = 600
 SQL_BUDGET = f"""o AS (SELECT conv_id, turn, role, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
 b AS (SELECT conv_id, turn, role, CASE WHEN before + length(text) <= {BUDGET} THEN text WHEN before < {BUDGET} THEN substr(text, 1, ({BUDGET} - before)::INTEGER) || ' [...]' END AS text FROM o)"""

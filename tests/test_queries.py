@@ -1,5 +1,7 @@
 """Every registered query of the core against its SQL, and small cases with known results."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +139,15 @@ def test_each_conversation_is_a_unit_of_the_bootstrap(spark, tmp_path):
     rows = [(0, 0, "user", "a"), (997, 0, "assistant", "b")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert tuple(QUERIES["boot_cluster_conversations"](spark, str(tmp_path)).first()) == (0.5, 0.0, 1.0)
+
+
+def test_text_queries_take_all_texts(spark, tmp_path):
+    texts = ["the élan and der Öl", "andé éthe derß the-and der", "théthe Ülder " + "lo the and " * 100, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("str_strip_control_all", "str_nfc_all", "str_typo_corrections_all")}
+    for i, t in enumerate(texts):
+        fixed = t and re.sub(r"\b(the|and|der)\b", lambda m: m[0].upper(), t)
+        assert got["str_strip_control_all"][i].text == t
+        assert got["str_nfc_all"][i].text == (t and t.replace("o", "ö")) and got["str_nfc_all"][i].changed == ("o" in (t or ""))
+        assert got["str_typo_corrections_all"][i].text == fixed
+        assert got["str_typo_corrections_all"][i].n == (None if t is None else len(re.findall(r"\b(the|and|der)\b", t)))
