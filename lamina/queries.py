@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +15,14 @@ from lamina.operators import retrieval as R
 from lamina.plans import audits, pages, quotes, tables, texts  # noqa: F401  they register queries too
 from lamina.registry import ORACLES, QUERIES, SQL_CONTENT, SQL_TOKENS, query, table  # noqa: F401
 
-# --- retrieval: every 100th vector asks; a vector's label is its group -----------------------------------------------
+# --- retrieval: every 100th vector asks, in queries named _50 every 50th; a vector's label is its group --------------
 
 
-def _arms(spark: SparkSession, d: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
+def _arms(spark: SparkSession, d: str, k: int = 50, every: int = 100) -> tuple[DataFrame, DataFrame]:
     """Two arms: inner product of whole vectors, and of their first 16 components."""
     e = table(spark, d, "embeddings")
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = e.where(f"vec_id % {every} = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     head = lambda c: F.slice(c, 1, 16)
     return R.dense_arm(q, v, k), R.dense_arm(q.withColumn("qv", head("qv")), v.withColumn("v", head("v")), k)
 
@@ -37,9 +40,9 @@ SQL_RRF = """f AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER
 
 
 @query(f"WITH {SQL_ARMS} SELECT q, id, rank::INTEGER AS rank FROM a WHERE rank <= 10")
-def rnk_dense_topk(spark, d):
+def rnk_dense_topk(spark, d, every=100):
     """Exact dense top-k. Here and below: ranks, not scores, are returned, as sums of doubles depend on their order."""
-    return _arms(spark, d)[0].where("rank <= 10").select("q", "id", "rank")
+    return _arms(spark, d, every=every)[0].where("rank <= 10").select("q", "id", "rank")
 
 
 def _terms(df: DataFrame, id: str, name: str) -> DataFrame:
@@ -62,16 +65,16 @@ def rnk_sparse_topk(spark, d):
 
 
 @query(f"WITH {SQL_ARMS}, {SQL_RRF.format(k=60)} SELECT q, id, rank::INTEGER AS rank FROM f")
-def rnk_rrf(spark, d):
-    return R.rrf(list(_arms(spark, d))).select("q", "id", "rank")
+def rnk_rrf(spark, d, every=100):
+    return R.rrf(list(_arms(spark, d, every=every))).select("q", "id", "rank")
 
 
 @query(
     "WITH " + SQL_ARMS + ", " + ", ".join(f"k{k} AS (WITH {SQL_RRF.format(k=k)} SELECT * FROM f)" for k in (10, 20, 40, 60))
     + " " + " UNION ALL ".join(f"SELECT {k} AS k, q, id, rank::INTEGER AS rank FROM k{k} WHERE rank <= 10" for k in (10, 20, 40, 60))
 )
-def rnk_rrf_k_sweep(spark, d):
-    arms = [a.persist() for a in _arms(spark, d)]
+def rnk_rrf_k_sweep(spark, d, every=100):
+    arms = [a.persist() for a in _arms(spark, d, every=every)]
     out = None
     for k in (10, 20, 40, 60):
         one = R.rrf(arms, k).where("rank <= 10").select(F.lit(k).alias("k"), "q", "id", "rank")
@@ -84,15 +87,15 @@ SQL_SCALED = "SELECT q, id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e
 
 @query(f"""WITH {SQL_ARMS}, s AS (SELECT q, id, round(sum(s), 6) AS score FROM ({SQL_SCALED.format('a')} UNION ALL {SQL_SCALED.format('b')}) GROUP BY q, id)
 SELECT q, id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, id))::INTEGER AS rank FROM s""")
-def rnk_score_fusion(spark, d):
-    return R.score_fusion(list(_arms(spark, d))).select("q", "id", "rank")
+def rnk_score_fusion(spark, d, every=100):
+    return R.score_fusion(list(_arms(spark, d, every=every))).select("q", "id", "rank")
 
 
 @query(f"""WITH {SQL_ARMS}, {SQL_RRF.format(k=60)}, s AS (SELECT f.*, (e.label * 7 + f.id) % 101 AS pair FROM f JOIN embeddings e ON e.vec_id = f.id)
 SELECT q, id, rank::INTEGER AS rank, (row_number() OVER (PARTITION BY q ORDER BY (rank > 30), CASE WHEN rank <= 30 THEN pair END DESC NULLS LAST, rank))::INTEGER AS new_rank FROM s""")
-def rnk_rerank_head_tail(spark, d):
+def rnk_rerank_head_tail(spark, d, every=100):
     """The first 30 by another score, a stand-in for a cross-encoder; the tail keeps its order."""
-    hits = _labelled(spark, d, R.rrf(list(_arms(spark, d))))
+    hits = _labelled(spark, d, R.rrf(list(_arms(spark, d, every=every))))
     return R.rerank_head(hits, (F.col("g") * 7 + F.col("id")) % 101).select("q", "id", "rank", "new_rank")
 
 
@@ -105,20 +108,20 @@ c AS (SELECT *, max(CASE WHEN group_rank = {k} THEN fr END) OVER (PARTITION BY q
 @query(f"""WITH {SQL_ARMS}, {SQL_RRF.format(k=60)}, {SQL_DEDUPE.format(k=5)}
 SELECT q, group_rank::INTEGER AS group_rank, g, arg_min(id, rank) AS best_id, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids
 FROM c WHERE group_rank <= 5 AND (cut IS NULL OR rank <= cut) GROUP BY q, group_rank, g""")
-def dom_query(spark, d):
+def dom_query(spark, d, every=100):
     """Hybrid retrieval of whole groups: two arms, fused, deduplicated to the first five groups."""
-    hits = _labelled(spark, d, R.rrf(list(_arms(spark, d))).where("rank <= 30"))
+    hits = _labelled(spark, d, R.rrf(list(_arms(spark, d, every=every))).where("rank <= 30"))
     return R.group_dedupe(hits, 5)
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
-def _first_hits(spark: SparkSession, d: str) -> DataFrame:
+def _first_hits(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     """Condition, query, its group, and the rank of the first other vector of the query's label (null: none)."""
     e = table(spark, d, "embeddings")
-    own = e.select(F.col("vec_id").alias("q"), F.col("label").alias("own")).where("q % 100 = 0")
-    dense, head = _arms(spark, d)
+    own = e.select(F.col("vec_id").alias("q"), F.col("label").alias("own")).where(f"q % {every} = 0")
+    dense, head = _arms(spark, d, every=every)
     out = None
     for name, hits in (("dense_only", dense), ("head_only", head), ("fused", R.rrf([dense, head]))):
         hit = _labelled(spark, d, hits).where("id <> q").join(own.select("q", "own"), "q").where("g = own").groupBy("q").agg(F.min("rank").alias("rank"))
@@ -136,15 +139,15 @@ x AS (SELECT *, CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall_1, C
 
 
 @query(f"WITH {SQL_HITS} SELECT condition, q, own, rank::INTEGER AS rank, recall_1, recall_3, recall_5, recall_10, ndcg_10, mrr FROM x")
-def evl_ir_metrics(spark, d):
-    return E.ir_metrics(_first_hits(spark, d))
+def evl_ir_metrics(spark, d, every=100):
+    return E.ir_metrics(_first_hits(spark, d, every))
 
 
 @query(f"""WITH {SQL_HITS} SELECT condition, own, grouping(own)::INTEGER AS level, count(*) AS n, round(avg(recall_1), 4) AS recall_1, round(avg(recall_10), 4) AS recall_10, round(avg(ndcg_10), 4) AS ndcg_10, round(avg(mrr), 4) AS mrr
 FROM x GROUP BY GROUPING SETS ((condition), (condition, own))""")
-def evl_grouping_sets(spark, d):
+def evl_grouping_sets(spark, d, every=100):
     """Means over all questions and by type, in one pass."""
-    E.ir_metrics(_first_hits(spark, d)).createOrReplaceTempView("lamina_metrics")
+    E.ir_metrics(_first_hits(spark, d, every)).createOrReplaceTempView("lamina_metrics")
     mean = lambda c: f"round(avg({c}), 4) AS {c}"
     return spark.sql(f"""SELECT condition, own, CAST(grouping(own) AS INT) AS level, count(*) AS n, {mean('recall_1')}, {mean('recall_10')}, {mean('ndcg_10')}, {mean('mrr')}
         FROM lamina_metrics GROUP BY GROUPING SETS ((condition), (condition, own))""")
@@ -152,9 +155,9 @@ def evl_grouping_sets(spark, d):
 
 @query(f"""WITH {SQL_HITS}, g AS (SELECT condition, avg(ndcg_10) AS m FROM x GROUP BY condition)
 SELECT g.condition, round(b.m - g.m, 4) AS delta FROM g CROSS JOIN (SELECT m FROM g WHERE condition = 'fused') b WHERE g.condition <> 'fused'""")
-def evl_delta(spark, d):
+def evl_delta(spark, d, every=100):
     """What each ablation costs against the baseline, from unrounded means."""
-    means = E.ir_metrics(_first_hits(spark, d)).groupBy("condition").agg(F.avg("ndcg_10").alias("m"))
+    means = E.ir_metrics(_first_hits(spark, d, every)).groupBy("condition").agg(F.avg("ndcg_10").alias("m"))
     base = means.where("condition = 'fused'").select(F.col("m").alias("base"))
     return means.where("condition <> 'fused'").crossJoin(F.broadcast(base)).select("condition", F.round(F.col("base") - F.col("m"), 4).alias("delta"))
 
@@ -188,6 +191,13 @@ def boot_cluster(spark, d):
     return E.bootstrap(_numbered(table(spark, d, "conversations").groupBy((F.col("conv_id") % 997).alias("c")).agg(user.alias("num"), F.count("*").alias("den"))), 200, "cluster")
 
 
+#: Searches whose query set is every 50th vector too, as name_50: their SQL differs in that only.
+SEARCHES = [dom_query, rnk_dense_topk, rnk_rrf, rnk_rrf_k_sweep, rnk_score_fusion, rnk_rerank_head_tail, evl_ir_metrics, evl_grouping_sets, evl_delta, tables.rnk_max_sim]
+for _f in SEARCHES:
+    QUERIES[f"{_f.__name__}_50"] = partial(_f, every=50)
+    ORACLES[f"{_f.__name__}_50"] = re.sub(r"vec_id % (100|250) = 0", "vec_id % 50 = 0", ORACLES[_f.__name__])
+
+
 SQL_BOOT = """n AS (SELECT count(*) AS n FROM r),
 dr AS (SELECT b, (floor(('0x' || substr(md5(concat_ws(':', b, slot, '{seed}')), 1, 8))::BIGINT * n.n / 4294967296.0))::BIGINT AS i FROM n, range(0, 2000) t(b), (SELECT i AS slot FROM r)),
 m AS (SELECT b, round(sum(num)::DOUBLE / sum(den), 9) AS m FROM dr JOIN r USING (i) GROUP BY b),
@@ -195,12 +205,12 @@ s AS (SELECT list_sort(list(m)) AS s FROM m)
 SELECT (SELECT round(sum(num)::DOUBLE / sum(den), 9) FROM r) AS mean, s[51] AS low, s[1951] AS high FROM s"""
 
 
-@query(f"""WITH r AS (WITH {SQL_HITS}, p AS (SELECT q, sum(CASE condition WHEN 'fused' THEN 1 WHEN 'dense_only' THEN -1 ELSE 0 END * round(ndcg_10 * 1000000)::BIGINT)::BIGINT AS num, 1000000 AS den FROM x GROUP BY q) SELECT row_number() OVER (ORDER BY q) - 1 AS i, num, den FROM p),
+@query(f"""WITH r AS (WITH {SQL_HITS.replace('vec_id % 100', 'vec_id % 50')}, p AS (SELECT q, sum(CASE condition WHEN 'fused' THEN 1 WHEN 'dense_only' THEN -1 ELSE 0 END * round(ndcg_10 * 1000000)::BIGINT)::BIGINT AS num, 1000000 AS den FROM x GROUP BY q) SELECT row_number() OVER (ORDER BY q) - 1 AS i, num, den FROM p),
 {SQL_BOOT.format(seed='delta')}""")
 def boot_paired_delta(spark, d):
     """Interval of the mean difference in nDCG of fused and dense_only, paired by question: 2,000 resamples of questions. Differences are whole millionths, so that sums are exact."""
     sign = F.when(F.col("condition") == "fused", 1).when(F.col("condition") == "dense_only", -1).otherwise(0)
-    pairs = E.ir_metrics(_first_hits(spark, d)).groupBy("q").agg(F.sum(sign * F.round(F.col("ndcg_10") * 1000000).cast("long")).alias("num"))
+    pairs = E.ir_metrics(_first_hits(spark, d, 50)).groupBy("q").agg(F.sum(sign * F.round(F.col("ndcg_10") * 1000000).cast("long")).alias("num"))
     return E.bootstrap(E.numbered(pairs, [], ["q"]).select("i", "num", F.lit(1000000).cast("long").alias("den")), 2000, "delta")
 
 

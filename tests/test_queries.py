@@ -151,3 +151,9 @@ def test_text_queries_take_all_texts(spark, tmp_path):
         assert got["str_nfc_all"][i].text == (t and t.replace("o", "ö")) and got["str_nfc_all"][i].changed == ("o" in (t or ""))
         assert got["str_typo_corrections_all"][i].text == fixed
         assert got["str_typo_corrections_all"][i].n == (None if t is None else len(re.findall(r"\b(the|and|der)\b", t)))
+
+
+def test_every_50th_vector_asks(spark):
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    for name in ("rnk_dense_topk_50", "dom_query_50", "evl_ir_metrics_50"):
+        assert QUERIES[name](spark, SF).select("q").distinct().count() == asked
