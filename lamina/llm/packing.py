@@ -46,8 +46,9 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 1, lengt
 
     Only the partitions' totals meet in one task and are broadcast: a row of 16 bytes for each task of the scan.
 
-    Defined cases: a null text counts as empty, an empty one is its end id alone; null and repeated doc_ids are
-    rows like others; an empty table gives an empty result; other columns of docs are ignored.
+    Defined cases: a null text counts as empty, an empty one is its end id alone; the name of a special token in a text
+    is plain text; a long text goes through as many sequences as it takes; null and repeated doc_ids are rows like
+    others; an empty table gives an empty result; other columns of docs are ignored.
     """
     table = tokenised(docs, path, spaced, end_id)
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("total"))

@@ -27,17 +27,19 @@ def _codes(words: list[str]) -> np.ndarray:
 class PieceEncoder(Encoder):
     """The segmentation of each word into pieces of the highest total score; of equal ones, the one with the longest last piece.
 
-    Scores are the model's. A character that is no piece costs more than any piece and becomes its UTF-8 bytes. Pieces of
-    several spaces are left out; no other piece goes on after a space, so that words, each with the space before it, are
-    searched apart: those of one length advance together, position by position.
+    Scores are the model's. A character that is no piece costs more than any piece and becomes its UTF-8 bytes. No piece
+    goes on from another character to a space, so that words, each with the spaces before it, are searched apart; so are
+    characters that no longer piece holds, like line feeds. Words of one length advance together, position by position.
     """
 
+    leading = True
+
     def __init__(self, path: str, most: int = 600_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.spaced, self.parted, self.most, self.known, self.dtype = False, False, most, {}, np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.most, self.known, self.dtype = most, {}, np.dtype("<u2" if n <= 1 << 16 else "<u4")
         text = [model.id_to_piece(i) for i in range(n)]
         byte = [model.is_byte(i) for i in range(n)]
         plain = [i for i in range(n) if not (byte[i] or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -45,8 +47,9 @@ class PieceEncoder(Encoder):
         score = {text[i]: model.get_score(i) for i in plain}
         if any(p.strip(SPACE) and SPACE in p[1:] for p in score):
             raise ValueError("a piece goes on after a space: words can't be searched apart")
-        plain = [i for i in plain if SPACE not in text[i][1:]]  # runs of spaces are spelled space by space
-        score = {text[i]: score[text[i]] for i in plain}
+        joined = {c for p in score if len(p) > 1 for c in p}
+        self.single = np.zeros(256, bool)  # ASCII characters that no longer piece holds
+        self.single[[i for i in range(128) if chr(i) != " " and chr(i) not in joined]] = True
         self.unknown = min(score.values()) - 10.0
         self.longest = max(map(len, score))
         keys, rows = np.empty(len(plain), "uint64"), np.zeros((len(plain), self.longest), "uint64")
@@ -128,6 +131,12 @@ class PieceEncoder(Encoder):
             blobs[w] = np.array(spelled, self.dtype).tobytes()
         return blobs
 
+    def cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Marks a space after another character, and both ends of a character that no longer piece holds."""
+        cut = self.single[data]
+        cut[1:] |= cut[:-1] | (data[1:] == 32) & (data[:-1] != 32)
+        return cut
+
     def _learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > self.most:
             self.known.clear()
@@ -138,13 +147,7 @@ class PieceEncoder(Encoder):
             step = max(1, CELLS // ((length + 1) * min(self.longest, length + 1)))
             for i in range(0, len(some), step):
                 part = some[i : i + step]
-                self.known.update(zip(part, self._search([SPACE + w for w in part])))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, at = super().encode(texts)
-        empty = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0)
-        ids = np.delete(ids, at[empty])  # the space before a text that isn't there
-        return ids, at - np.append(0, np.cumsum(np.isin(np.arange(len(texts)), empty)))
+                self.known.update(zip(part, self._search([w.replace(" ", SPACE) for w in part])))
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """Texts of the ids, without the space before the first word."""

@@ -1,14 +1,14 @@
-"""Whole texts to token ids with the tokenizers library, each distinct word once.
+"""Whole texts to token ids with the tokenizers library, each distinct piece once.
 
-A tokenizer's pre-tokeniser never joins the character before a space with what follows the space, so the ids of a
-text are the ids of its space-led pieces one after another. Pieces repeat; an Encoder keeps their ids.
+A text is cut where the tokenizer's pre-tokeniser surely cuts, whatever stands on either side, so that the ids of the
+text are the ids of its pieces one after another. Pieces repeat; an Encoder keeps their ids. Cuts are found for a
+whole block of texts at once, as masks over its bytes.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,109 +16,143 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_NEAR_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ] | [\s\x0b\x1c-\x1f\x{85}\pZ]"
-_EDGE = re.compile(r"^\s|\s$")
-SEPARATOR = "|"
-#: A word of Latin letters and the marks after it, which pre-tokenisers part: the word's ids are those of any other place.
-_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-
-
-#: A Latin letter before a mark other than an apostrophe: where white space is dropped, one more space between them changes no id.
-_LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
-#: Texts with this may hold a special token's name, which a space would part.
-_SPECIAL = "<|"
+#: Kinds of bytes: letters, digits and marks of ASCII, white space, and the rest. Apostrophes (contractions), control
+#: characters and all of a character beyond ASCII are of the rest, next to which nothing is sure but white space.
+REST, LETTER, DIGIT, MARK, WHITE = range(5)
+KIND = np.zeros(256, "u1")
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = MARK
+KIND[[32, *range(9, 14)]] = WHITE
+#: White space beyond ASCII, by the first byte in UTF-8.
+WIDE_WHITE: dict[int, list[bytes]] = {}
+for _c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
+    WIDE_WHITE.setdefault(chr(_c).encode()[0], []).append(chr(_c).encode())
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (none null) and where each text begins: len(texts) + 1 places."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return np.empty(0, "u1"), np.zeros(1, "int64")
+    at = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", "u1")[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte; all bytes of a character of white space are WHITE."""
+    kind = KIND[data]
+    high = np.flatnonzero(data >= 0xC2)
+    lead = data[high]
+    for first, found in WIDE_WHITE.items():
+        at = high[lead == first]
+        if len(at):
+            for c in found:
+                hit = at[at + len(c) <= len(data)]
+                for i in range(1, len(c)):
+                    hit = hit[data[hit + i] == c[i]]
+                for i in range(len(c)):
+                    kind[hit + i] = WHITE
+    return kind
 
 
 class Encoder:
     """spaced: ids depend on the space before a word (byte-level vocabularies); else white space is dropped."""
 
+    #: Whether a text is read with a space before it.
+    leading = False
+
     def __init__(self, path: str, spaced: bool, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.parted, self.most, self.known = spaced, not spaced, most, {}
+        self.spaced, self.most, self.known = spaced, most, {}
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        if spaced:
-            self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.separator = self._plain(SEPARATOR)
+        # between pieces that are learnt together: no piece's ids have the separator's, and it changes no ids beside it
+        self.separator, self.sign = ("\n", "\n") if spaced else (" | ", "|")
+        self.mark = self._plain(self.sign)
 
     def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _blob(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Keep the ids of new words: of words with marks, those of the word and of the marks."""
-        if len(self.known) + 2 * len(words) > self.most:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Marks the bytes that begin a piece.
+
+        White space is parted from what is before it, and ASCII letters, digits and marks from one another. A space
+        belongs to what follows it. Of a longer run of white space, the last character is parted from the others,
+        unless the text ends with the run.
+        """
+        kind = kinds(data)
+        white = kind == WHITE
+        cut = np.zeros(len(data), bool)
+        if len(data) < 2:
+            return cut
+        a, b = kind[:-1], kind[1:]
+        cut[1:] = (a != b) & (a != REST) & (b != REST) & ~white[:-1]
+        cut[1:] |= white[1:] & ~white[:-1]
+        ends = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+        inside = np.ones(len(data) + 1, bool)
+        inside[bounds] = False
+        ends = ends[inside[ends]]
+        last = ends - 1
+        for _ in range(2):  # to the first byte of the run's last character
+            last = np.where((data[last] & 0xC0) == 0x80, last - 1, last)
+        cut[last] = True
+        cut[ends[data[ends - 1] != 32]] = True
+        if not self.spaced:
+            cut[ends] = True
+        return cut
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of new pieces. Many are encoded as one text, cut again where a separator is."""
+        if len(self.known) + len(pieces) > self.most:
             self.known.clear()
-        parts = {}
-        for w in words:
-            m = _MARKED.fullmatch(w)
-            if m and (m[2] or not self.spaced):
-                parts[w] = (m[1] if self.spaced else m[1].lower(), m[2])
-        known = self.known
-        new = {x for pair in parts.values() for x in pair if x not in known}
-        new.update(w for w in words if w not in parts)
-        self._learn_whole(list(new))
-        for w, (a, b) in parts.items():
-            known[w] = known[a] + known[b]
-
-    def _learn_whole(self, words: list[str]) -> None:
-        """Many words are encoded as one text, cut again where a word begins."""
-        together, alone = [], []
-        for w in words:
-            ok = len(w) > 1 and w[0] == " " and not _EDGE.search(w[1:]) if self.spaced else w and SEPARATOR not in w and not w.isspace()
-            (together if ok else alone).append(w)
+        known, size = self.known, self.dtype.itemsize
+        apart = len(self.mark) > 1
+        alone = [w for w in pieces if apart or w[-1].isspace() or self.sign in w]
+        held = set(alone)
+        together = [w for w in pieces if w not in held] if held else pieces
         for i in range(0, len(together), 20_000):
             some = together[i : i + 20_000]
-            if self.spaced:
-                ids = np.array(self._plain("".join(some)), self.dtype)
-                starts = np.flatnonzero(self.opens[ids])
-                ends, width = np.append(starts[1:], len(ids)), 0
-            else:
-                ids = np.array(self._plain(f" {SEPARATOR} ".join([*some, ""])), self.dtype)
-                ends = np.flatnonzero(ids == self.separator[0])
-                starts, width = np.append(0, ends[:-1] + 1), len(self.separator)
-            if len(starts) != len(some) or width > 1:
+            ids = np.array(self._plain(self.separator.join([*some, ""])), self.dtype)
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) != len(some):
                 alone += some
                 continue
-            raw, size = ids.tobytes(), self.dtype.itemsize
+            starts, raw = np.append(0, ends[:-1] + 1), ids.tobytes()
             for w, a, b in zip(some, (starts * size).tolist(), (ends * size).tolist()):
-                self.known[w] = raw[a:b]
+                known[w] = raw[a:b]
         for w in alone:
-            self.known[w] = self._blob(self._plain(w))
+            known[w] = np.asarray(self._plain(w), self.dtype).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (not null), and where each text's ids start: len(texts) + 1 offsets."""
-        n = len(texts)
-        if not n:
-            return np.empty(0, self.dtype), np.zeros(1, "int64")
-        if self.parted:
-            # marks apart from words: far fewer distinct pieces to learn and keep
-            texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, pc.replace_substring_regex(texts, _LETTER_MARK, r"\1 \2"))
-        whole = pc.match_substring_regex(texts, _NEAR_SPACE).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(n, bool)
-        pieces = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts), " ")
-        at = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        coded = pieces.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype("int64")
-        if self.spaced:
-            firsts = pieces.flatten().take(pa.array(at[:-1])).to_pylist()
-            words = [" " + w for w in words]
-            codes[at[:-1]] = len(words) + np.arange(n)
-            words += firsts
-        new = [w for w in set(words) if w not in self.known]
+        data, bounds = text_bytes(texts)
+        if not len(data):
+            return np.empty(0, self.dtype), np.zeros(len(bounds), "int64")
+        cut = self.cuts(data, bounds)
+        cut[bounds[bounds < len(data)]] = True
+        first = np.flatnonzero(cut)
+        at = np.searchsorted(first, bounds)
+        pieces = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(data)).astype("int32")), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if self.leading:
+            opening = np.unique(at[:-1][np.diff(bounds) > 0])
+            codes = codes.copy()
+            codes[opening] = len(words) + np.arange(len(opening))
+            words += [" " + w for w in pieces.take(pa.array(opening)).to_pylist()]
+        blobs = list(map(self.known.get, words))
+        new = list(dict.fromkeys(w for w, x in zip(words, blobs) if x is None))
         if new:
             before = len(self.known)
             self._learn(new)
-            if len(self.known) < before + len(new):
-                self._learn([w for w in set(words) if w not in self.known])
-        blobs = [self.known[w] for w in words]
-        if whole.any():
-            for i in np.flatnonzero(whole):
-                blobs[len(words) - n + i] = self._blob(self._plain(texts[int(i)].as_py()))
+            if len(self.known) < before + len(new):  # others went to make room
+                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+            blobs = list(map(self.known.__getitem__, words))
         lengths = np.fromiter(map(len, blobs), "int64", len(blobs)) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(blobs), self.dtype)
         starts = np.cumsum(lengths) - lengths
