@@ -67,6 +67,19 @@ def _probes(key: bytes, bits: int) -> list[int]:
     return [(a + i * (b | 1)) % bits for i in range(PROBES)]
 
 
+#: Names of one store in Hadoop and in Arrow.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark reads it under, in Arrow's words. Stores that Arrow doesn't know are refused."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toUri()
+    if uri.getScheme() not in SCHEMES:
+        raise ValueError(f"tables can't be written to {folder}: Arrow knows no store named {uri.getScheme()}")
+    return f"{SCHEMES[uri.getScheme()]}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 class Writer:
     """Writes entries in ascending order of key to one file; it takes its name when it is whole."""
 
@@ -114,6 +127,11 @@ class Writer:
         self.out.close()
         self.fs.move(self.tmp, self.path)
 
+    def drop(self) -> None:
+        """Leave nothing of a file that didn't become whole."""
+        self.out.close()
+        self.fs.delete_file(self.tmp)
+
 
 class Reader:
     def __init__(self, uri: str):
@@ -188,11 +206,15 @@ def write_tables(docs: DataFrame, folder: str, path: str, spaced: bool, end_id:
     <range>-<number>.sst hold them in ascending order of doc_id. A file is closed at FILE_BYTES, or after the one
     document that passes it. Returns the manifest: shard, number, file, n_docs, n_ids, and the first and last doc_id.
 
-    A task that runs again writes the same bytes under the same name. Null texts count as empty; null doc_ids come
-    first; documents that share a doc_id are entries with the same key.
+    A task that runs again writes the same bytes under the same name. The name of a special token in a text is plain
+    text. An id takes two bytes, or four for a vocabulary of over 65,536.
+
+    Defined cases: null texts count as empty; null doc_ids come first; documents that share a doc_id are entries with the
+    same key; a text of any length is one entry, of up to 2 GB; an empty table gives an empty manifest; other columns of
+    docs are ignored.
     """
     spark = docs.sparkSession
-    width = 2
+    folder = qualified(spark, folder)
 
     def run(batches):
         shard, rows, writer = TaskContext.get().partitionId(), [], None
@@ -201,16 +223,21 @@ def write_tables(docs: DataFrame, folder: str, path: str, spaced: bool, end_id:
             w.close()
             rows.append((shard, len(rows), f"{folder}/{shard:06d}-{len(rows):06d}.sst", len(w.keys), w.n_ids, id_of(w.first), id_of(w.last)))
 
-        for part, ids, at in encoded(batches, path, spaced, end_id):
-            raw = ids.astype(f"<u{width}", copy=False).tobytes()
-            for doc_id, a, b in zip(part["doc_id"].to_pylist(), (at[:-1] * width).tolist(), (at[1:] * width).tolist()):
-                writer = writer or Writer(f"{folder}/{shard:06d}-{len(rows):06d}.sst", width)
-                writer.add(key_of(doc_id), raw[a:b])
-                if writer.place >= FILE_BYTES:
-                    close(writer)
-                    writer = None
-        if writer:
-            close(writer)
+        try:
+            for part, ids, at in encoded(batches, path, spaced, end_id):
+                raw, width = ids.tobytes(), ids.itemsize
+                for doc_id, a, b in zip(part["doc_id"].to_pylist(), (at[:-1] * width).tolist(), (at[1:] * width).tolist()):
+                    writer = writer or Writer(f"{folder}/{shard:06d}-{len(rows):06d}.sst", width)
+                    writer.add(key_of(doc_id), raw[a:b])
+                    if writer.place >= FILE_BYTES:
+                        close(writer)
+                        writer = None
+            if writer:
+                close(writer)
+        except BaseException:
+            if writer:
+                writer.drop()
+            raise
         names = ["shard", "number", "file", "n_docs", "n_ids", "first_id", "last_id"]
         types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
