@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import stored
+from lamina.llm.shared import attach, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     def smallest(df: DataFrame) -> DataFrame:
-        return df.join(df.groupBy("a").agg(F.min("b").alias("low")), "a")
+        lows = stored(df.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "lows")
+        return attach(df, lows, ["a"], "n", ["low"], ["b"])
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = stored(edges.distinct(), "edges")

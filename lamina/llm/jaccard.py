@@ -309,10 +309,10 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     links within them are complete.
 
     Defined cases: null, empty and blank texts have no shingles: they are copies of one another with no link; texts of
-    one to four words have one shingle; a null doc_id orders last; rows that repeat doc_id and text share a key and
+    one to four words have one shingle; a text of any length is read as a whole; a null doc_id orders last; rows that repeat doc_id and text share a key and
     a result; an empty table gives an empty result; other columns of docs are ignored.
     """
-    named_rows = keyed(docs.select("doc_id", "text")).drop("row")
+    named_rows = keyed(docs.select("doc_id", "text")).drop("row", "at")
     rows = stored(named_rows.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, s1 long, s2 long, n_shingles long, sketch binary"), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     names = rows.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -321,22 +321,28 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     edges = candidates(reps.where("n_shingles > 0").select("node", "sketch", low_bytes.alias("low")), recall)
 
     groups = stored(components(edges), "groups")
-    members = groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").join(reps.select("node", "first.k1", "first.k2"), "node")
-    texts = named_rows.select("k1", "k2", "text").join(members, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("root", "n", "node", "text")
+    sizes = stored(groups.groupBy("root").agg(F.count("*").alias("n")), "group_sizes")
+    members = attach(groups, sizes, ["root"], "n", ["n"], ["node"]).join(reps.select("node", "first.k1", "first.k2"), "node")
+    texts = named_rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(members, ["k1", "k2"]).select("root", "n", "node", "text")
     sets = stored(texts.mapInArrow(_sets, "root long, n long, node long, shingles binary"), "shingles")
     linked = stored(_in_blocks(sets, "root", EXACT_BLOCK).mapInArrow(_verify, "node long, links long, first long"), "links")
     n_links = linked.groupBy("node").agg(F.sum("links").alias("n_links")).where("n_links > 0")
     classes = stored(components(linked.select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()), "classes")
 
     named = reps.select("node", "s1", "s2", "first", "copies").join(classes, "node", "left").join(n_links, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
-    named = stored(named.join(named.groupBy("root").agg(F.min("first").alias("best")), "root").select("s1", "s2", "copies", "best", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
+    named = stored(named.withColumn("root", F.coalesce("root", "node")), "in_classes")
+    best = stored(named.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("n")), "best")
+    named = attach(named, best, ["root"], "n", ["best"], ["node"])
+    named = stored(named.select("s1", "s2", "copies", "best", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     out = attach(rows.select("doc_id", "k1", "k2", "s1", "s2"), named, ["s1", "s2"], "copies", ["best", "n_links"], ["k1", "k2"])
     stays = (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
     return out.select("doc_id", F.col("best.doc_id").alias("class_id"), "n_links", "k1", "k2", stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """The rows of docs that stay, one of each class of near_duplicates."""
+    """The rows of docs that stay, all columns as they are: one of each class of near_duplicates, whose cases hold.
+
+    Null, empty and blank texts are one class, of which one row stays. Of rows that repeat doc_id and text, one stays.
+    """
     stay = near_duplicates(docs, recall).where("stays").select("k1", "k2").distinct()
-    return keyed(docs).select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return keyed(docs).select("row", "k1", "k2").dropDuplicates(["k1", "k2"]).join(stay, ["k1", "k2"], "left_semi").select("row.*")

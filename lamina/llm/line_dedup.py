@@ -73,13 +73,17 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     repeated = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated")
     later = attach(windows, repeated, ["h1", "h2"], "n", ["first"], ["k1", "k2", "pos"]).where(F.col("first").isNotNull() & (F.col("first") != at))
-    starts = later.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"))
-    joined = rows.select("row", "k1", "k2").join(starts, ["k1", "k2"], "left").select("row", F.col("row.text").alias("text"), "starts")
+    starts = later.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"), F.count("*").alias("n"))
+    starts = stored(starts.select("k1", "k2", "starts", F.ceil(F.col("n") / F.size("starts")).alias("copies")), "starts")
+    joined = attach(rows.select("row", "k1", "k2", "at"), starts, ["k1", "k2"], "copies", ["starts"], ["at"]).select("row", F.col("row.text").alias("text"), "starts")
     return joined.mapInArrow(_cleaned, StructType([joined.schema["row"], *_ADDED]))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The columns of docs with the texts of line_dedup. Documents that lose their every line go."""
+    """The columns of docs with the texts of line_dedup, whose cases hold; n_chars follows a text that changed.
+
+    Documents that lose their every line go; those that had none (null, empty or blank texts) stay.
+    """
     left = _deduplicated(docs).where("n_removed = 0 or n_removed < n_lines")
     return rows_with(left, docs.columns, F.col("text"))
 
@@ -95,8 +99,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Windows are hashed to 128 bits. Their summary is combined before the shuffle, and windows that make up a
     large share of all are resolved by a broadcast of at most 1,024 rows (shared.attach).
 
-    Defined cases: a null text stays null, a text of fewer than three lines stays as it is; null doc_ids
-    order last; rows that repeat both doc_id and text count as one and get the same result; an empty table gives
+    Defined cases: a null text stays null, a text of fewer than three lines stays as it is; a text of any length is read
+    as a whole, one line of any length included; null doc_ids order last; rows that repeat both doc_id and text count as one and get the same result; an empty table gives
     an empty result; other columns of docs are ignored.
     """
     return _deduplicated(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "n_lines", "n_removed")

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from lamina.llm.shared import attach, keyed, rows_with, stored
 
 # What counts as an entity, as Java patterns in order of preference. Each begins only where a word
-# or number can begin, and its repeats are possessive or bounded, so that a search takes linear time.
+# or number can begin, and its repeats are possessive or of a fixed format, so that a search takes linear time.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "secret": r"\b(?:(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,512}+[\"']?|AKIA[A-Z0-9]{16}+\b)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "secret": r"\b(?:(?i:password|passwd|pwd|token|secret|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9+/_-]{8,}+(?:[.~][A-Za-z0-9+/_-]++)*+=*+[\"']?|AKIA[A-Z0-9]{16}+\b)",
     "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?[\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\p{L}\p{N}:])",
+    "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19}+)(?![\p{L}\p{N}])",
-    "female": r"\b(?:Mrs|Ms|Miss|Mme|Madame|Mademoiselle|Frau|Sra|Señora|Señorita|Doña|г-жа|κυρία)\b\.? \p{Lu}\p{L}{1,30}(?:[ -]\p{Lu}\p{L}{1,30})?",
-    "male": r"\b(?:Mr|Monsieur|Herrn?|Sr|Señor|Don|г-н|κύριος)\b\.? \p{Lu}\p{L}{1,30}(?:[ -]\p{Lu}\p{L}{1,30})?",
+    "female": r"\b(?:Mrs|Ms|Miss|Mme|Madame|Mademoiselle|Frau|Sra|Señora|Señorita|Doña|г-жа|κυρία)\b\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
+    "male": r"\b(?:Mr|Monsieur|Herrn?|Sr|Señor|Don|г-н|κύριος)\b\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
 }
 # Syllables and endings of made-up names by script and gender.
 SYLLABLES = {
@@ -27,10 +30,11 @@ SYLLABLES = {
 ENDINGS = {("Cyrillic", "female"): "на", ("Cyrillic", "male"): "н", ("Greek", "female"): "α", ("Greek", "male"): "ος", ("Latin", "female"): "na", ("Latin", "male"): "n"}
 # What comes before the part of a mention that is replaced.
 KEEP = {"secret": r"^(?:AKIA|\w+(?:-\w+)?\s*[=:]\s*[\"']?)", "female": r"^[^ ]+ ", "male": r"^[^ ]+ "}
+PERSONS = ("female", "male")
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Rounds of new surrogates for entities whose surrogate another entity has.
-MAX_ROUNDS = 20
+#: Rounds of new surrogates for entities whose surrogate another entity has; rounds after which names of hosts and mailboxes get longer.
+MAX_ROUNDS, GROWING = 30, 6
 
 
 def _by_type(kind: Column, cases: dict[str, Column], default: Column) -> Column:
@@ -55,10 +59,25 @@ def _body(kind: Column, mention: Column) -> Column:
     return F.when(kind == "secret", F.regexp_replace(out, "[\"']$", "")).otherwise(out)
 
 
-def _entity(kind: Column, body: Column) -> Column:
-    """The identity of a mention: forms of one number or address are one entity."""
+def _entities(kind: Column, body: Column) -> Column:
+    """The entities of a mention, as (kind, name): its own, or the words of a person's name, or an address's mailbox and domain.
+
+    Forms of one number, address or name are one entity.
+    """
+    one = lambda k, name: F.struct(k.alias("kind"), name.alias("name"))
     digits = F.regexp_replace(body, r"\D", "")
-    return _by_type(kind, {"email": F.lower(body), "phone": F.regexp_replace(digits, r"^1(?=\d{10}$)", ""), "card": digits}, body)
+    words = F.split(F.lower(body), "[ -]")
+
+    def person(gender: str) -> Column:
+        return F.transform(words, lambda w, i: one(F.when((i == 0) & (F.size(words) > 1), f"given-{gender}").otherwise("surname"), w))
+
+    name = _by_type(
+        kind,
+        {"phone": F.regexp_replace(digits, r"^1(?=\d{10}$)", ""), "card": digits, "ssn": digits, "ipv6": F.lower(body), "iban": F.regexp_replace(body, " ", "")},
+        body,
+    )
+    address = F.array(one(F.lit("mailbox"), F.lower(body)), one(F.lit("domain"), F.lower(F.substring_index(body, "@", -1))))
+    return _by_type(kind, {"email": address, **{g: person(g) for g in PERSONS}}, F.array(one(kind, name)))
 
 
 def _stream(kind: Column, name: Column, attempt: Column, key: str) -> Column:
@@ -107,41 +126,68 @@ def _ip(stream: Column) -> Column:
     return F.concat_ws(".", *[byte(2 * i) for i in range(4)])
 
 
-def _email(name: Column, stream: Column, key: str) -> Column:
-    """The local part and the domain are replaced apart, so that addresses of one domain still share one; the top level stays."""
-    domain = F.substring_index(name, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    return F.concat(_substituted(F.substring_index(name, "@", 1), stream), F.lit("@"), _substituted(host, _stream(F.lit("domain"), domain, F.lit(0), key)), F.lit("."), top)
+def _longer(stream: Column, attempt: Column) -> Column:
+    """Letters that are added to a name when its own length has no free value."""
+    return _substituted(F.repeat(F.lit("x"), F.greatest(attempt - GROWING, F.lit(0))), stream)
+
+
+def _mailbox(name: Column, stream: Column, attempt: Column) -> Column:
+    """Another local part at the domain as it is, so that addresses stay distinct inside their domain."""
+    return F.concat(_substituted(F.substring_index(name, "@", 1), stream), _longer(stream, attempt), F.lit("@"), F.substring_index(name, "@", -1))
+
+
+def _domain(name: Column, stream: Column, attempt: Column) -> Column:
+    """Another host; the top level stays."""
+    top = F.substring_index(name, ".", -1)
+    host = F.substring(name, F.lit(1), F.length(name) - F.length(top) - 1)
+    return F.concat(_substituted(host, stream), _longer(stream, attempt), F.lit("."), top)
+
+
+def _modulo_97(text: Column) -> Column:
+    """The text, letters read as 10 to 35, modulo 97."""
+
+    def one(acc: Column, c: Column) -> Column:
+        value = F.conv(c, 36, 10).cast("int")
+        return (acc * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), one)
+
 
+def _iban(name: Column, stream: Column) -> Column:
+    """The country stays; check digits are right where they were."""
+    country, rest = F.substring(name, 1, 2), F.substring(name, F.lit(5), F.length(name) - 4)
+    made = _substituted(rest, stream)
+    right = _modulo_97(F.concat(rest, F.substring(name, 1, 4))) == 1
+    check = F.lpad((98 - _modulo_97(F.concat(made, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(right, check).otherwise(_substituted(F.substring(name, 3, 2), F.reverse(stream))), made)
 
-def _person(name: Column, gender: str, attempt: Column, key: str) -> Column:
-    """Each word of a name gets one made-up word of its script, a first name with an ending of the gender; later rounds add syllables."""
 
-    def made(w: Column, script: str, given: Column) -> Column:
-        stream = _stream(F.lit("name"), w, attempt, key)
+def _word(name: Column, ending: str, stream: Column, attempt: Column) -> Column:
+    """A made-up word of the name's script; later rounds add syllables."""
+
+    def made(script: str) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script].split()))
         word = F.transform(F.sequence(F.lit(1), 4 + attempt), lambda j: F.element_at(parts, F.conv(F.substring(stream, j, F.lit(1)), 16, 10).cast("int") + 1))
-        return F.initcap(F.concat(F.array_join(word, ""), F.when(given, ENDINGS[script, gender]).otherwise("")))
-
-    def word(w: Column, i: Column) -> Column:
-        given = (i == 0) & name.rlike("[ -]")
-        return F.coalesce(*[F.when(w.rlike(rf"\p{{Is{s}}}"), made(w, s, given)) for s in SYLLABLES], made(w, "Latin", given))
+        return F.concat(F.array_join(word, ""), F.lit(ENDINGS[script, ending] if ending else ""))
 
-    return F.array_join(F.transform(F.split(name, "[ -]"), word), " ")
+    return F.coalesce(*[F.when(name.rlike(rf"\p{{Is{s}}}"), made(s)) for s in SYLLABLES], made("Latin"))
 
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity."""
     stream = _stream(kind, name, attempt, key)
     cases = {
-        "email": _email(name, stream, key),
+        "mailbox": _mailbox(name, stream, attempt),
+        "domain": _domain(name, stream, attempt),
         "secret": F.when(name.rlike("^[0-9a-f]+$"), _substituted(name, stream, "abcdef")).otherwise(_substituted(name, stream)),
         "ip": _ip(stream),
+        "ipv6": _substituted(name, stream, "abcdef"),
+        "ssn": _substituted(name, stream),
         "phone": _phone(name, stream),
+        "iban": _iban(name, stream),
         "card": _card(name, stream),
-        "female": _person(name, "female", attempt, key),
-        "male": _person(name, "male", attempt, key),
+        "surname": _word(name, "", stream, attempt),
+        **{f"given-{g}": _word(name, g, stream, attempt) for g in PERSONS},
     }
     return _by_type(kind, cases, name)
 
@@ -171,47 +217,69 @@ def entities(mentions: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"surrogates still collide after {MAX_ROUNDS} rounds: a kind has more entities than its format has values")
 
 
-def _formatted(kind: Column, mention: Column, made: Column) -> Column:
-    """The surrogate in the form of the mention."""
-
-    def digit(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike(r"\d")
-        at = acc["n"] + 1
-        return F.struct(
-            F.concat(acc["out"], F.when(is_digit & (at > 0), F.substring(made, at, F.lit(1))).otherwise(c)).alias("out"),
-            (acc["n"] + F.when(is_digit, 1).otherwise(0)).alias("n"),
-        )
+def _filled(body: Column, made: Column, wanted: str) -> Column:
+    """The body with its characters of a class replaced by those of made, from the last one back."""
+    skip = F.length(made) - F.length(F.regexp_replace(body, f"[^{wanted}]", ""))  # a country code before the number stays
 
-    body = _body(kind, mention)
-    skip = F.length(made) - F.length(F.regexp_replace(body, r"\D", ""))  # a country code before the number stays
-    numbers = F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), skip.cast("int").alias("n")), digit)["out"]
-    cased = F.when(body == F.upper(body), F.upper(made)).otherwise(made)
-    new = _by_type(kind, {"phone": numbers, "card": numbers, "email": cased}, made)
-    head = _by_type(kind, {k: F.regexp_extract(mention, p, 0) for k, p in KEEP.items()}, F.lit(""))
-    return F.when(kind == "other", mention).otherwise(F.concat(head, new, F.substring(mention, F.length(head) + F.length(body) + 1, F.length(mention))))
+    def one(acc: Column, c: Column) -> Column:
+        at = acc["n"] + F.when(c.rlike(f"[{wanted}]"), 1).otherwise(0)
+        return F.struct(F.concat(acc["out"], F.when((at > acc["n"]) & (at > 0), F.substring(made, at, F.lit(1))).otherwise(c)).alias("out"), at.alias("n"))
 
+    return F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), skip.cast("int").alias("n")), one)["out"]
 
-def replace_pii(docs: DataFrame, key: str = "lamina") -> DataFrame:
-    """doc_id, text and n_entities of each row, with every detected entity replaced by its surrogate.
 
-    Kinds are those of PATTERNS. A surrogate depends on the key, the kind and the entity alone: the same entity
-    gets the same one in every document and form (letter case of an address, punctuation of a number), different
-    entities get different ones, and none is an entity of the data. Formats stay: lengths and separators of
-    numbers, the issuer and Luhn check of a card, upper and lower case, the top-level domain, the title, script
-    and gender of a name. In production, the key is a secret.
+def _cased(like: Column, made: Column) -> Column:
+    """made with capitals where the other string of its length has them."""
+    each = F.zip_with(F.split(like, ""), F.split(made, ""), lambda a, b: F.when(a.rlike(r"\p{Lu}"), F.upper(b)).otherwise(b))
+    return F.when(F.length(like) == F.length(made), F.array_join(each, "")).otherwise(made)
 
-    Entities are counted before the shuffle; those that make up a large share of all mentions are joined by a
-    broadcast of at most 1,024 rows (shared.attach).
 
-    Defined cases: a null text stays null with n_entities 0; rows that repeat doc_id and text get the same
-    result; an empty table gives an empty result; other columns of docs are ignored.
+def _formatted(kind: Column, mention: Column, made: Column) -> Column:
+    """The surrogates (made, an array) in the form of the mention."""
+    body, first = _body(kind, mention), made[0]
+    words = F.zip_with(F.split(body, "[ -]"), made, lambda old, new: F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new)))
+    name = F.array_join(F.zip_with(words, F.regexp_extract_all(body, F.lit("[ -]"), F.lit(0)), lambda w, gap: F.concat(w, F.coalesce(gap, F.lit("")))), "")
+    address = F.concat(F.substring_index(first, "@", 1), F.lit("@"), made[1])
+    new = _by_type(
+        kind,
+        {
+            **dict.fromkeys(("phone", "card", "ssn"), _filled(body, first, "0-9")),
+            "iban": _filled(body, first, "A-Z0-9"),
+            "ipv6": _cased(body, first),
+            "email": _cased(body, address),
+            **dict.fromkeys(PERSONS, name),
+        },
+        first,
+    )
+    head = _by_type(kind, {k: F.regexp_extract(mention, p, 0) for k, p in KEEP.items()}, F.lit(""))
+    return F.when(kind == "other", mention).otherwise(F.concat(head, new, F.substring(mention, F.length(head) + F.length(body) + 1, F.length(mention))))
+
+
+def replace_pii(docs: DataFrame, key: str = "lamina") -> DataFrame:
+    """doc_id, text and n_entities (mentions) of each row, with every detected entity replaced by its surrogate.
+
+    Kinds are those of PATTERNS; names count after a title only. A surrogate depends on the key, the kind and the entity
+    alone: the same entity gets the same one in every document and form (letter case of an address, punctuation of a
+    number), different entities get different ones, and none is an entity of the data. Each word of a name is an entity,
+    and an address is two, its mailbox and its domain: one surname, and one domain, is replaced alike wherever it stands,
+    also after a collision. Formats stay: lengths and separators of numbers, the issuer and Luhn check of a card, country
+    and check digits of an IBAN, upper and lower case, the top-level domain, the title, script and gender of a name. In
+    production, the key is a secret.
+
+    Entities are counted before the shuffle; those that make up a large share of all mentions, and rows that repeat, are
+    joined by a broadcast of at most 1,024 rows (shared.attach).
+
+    Defined cases: a null text stays null with n_entities 0; a mention may be of any length and is replaced to its end,
+    a text of any length is searched as a whole; rows that repeat doc_id and text get the same result; an empty table
+    gives an empty result; other columns of docs are ignored. More entities of a kind than its format has values (phone
+    numbers of six digits, say) are an error after MAX_ROUNDS.
     """
     new = _replaced(docs.select("doc_id", "text"), key)
     return new.select("row.doc_id", "text", F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_entities"))
 
 
 def clean(docs: DataFrame, key: str = "lamina") -> DataFrame:
-    """The columns of docs with the texts of replace_pii."""
+    """The columns of docs, and every row, with the texts of replace_pii, whose cases hold; n_chars follows a text that changed."""
     return rows_with(_replaced(docs, key), docs.columns, F.col("text"))
 
 
@@ -219,15 +287,18 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     """row (the columns of docs), the new text, and new (the surrogates in it, null without any)."""
     rows = keyed(docs)
     found = rows.select("k1", "k2", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions")).where(F.size("mentions") > 0)
-    found = found.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("mentions").alias("pos", "mention"))
+    found = found.groupBy("k1", "k2").agg(F.first("mentions").alias("mentions"), F.count("*").alias("copies"))
+    found = found.select("k1", "k2", "copies", F.posexplode("mentions").alias("pos", "mention"))
     found = found.withColumn("kind", F.coalesce(_kind(F.col("mention")), F.lit("other")))
-    found = stored(found.withColumn("name", _entity(F.col("kind"), _body(F.col("kind"), F.col("mention")))), "mentions")
-    table = entities(found.select("kind", "name"), key)
-    made = attach(found, table, ["kind", "name"], "n", ["surrogate"], ["k1", "k2", "pos"])
-    made = made.withColumn("new", _formatted(F.col("kind"), F.col("mention"), F.col("surrogate")))
-    by_row = made.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("made"))
-    by_row = by_row.select("k1", "k2", F.transform("made", lambda x: x["new"]).alias("new"))
-    joined = rows.select("row", "k1", "k2").join(by_row, ["k1", "k2"], "left").withColumn("text", F.col("row.text"))
+    found = stored(found.withColumn("of", _entities(F.col("kind"), _body(F.col("kind"), F.col("mention")))), "mentions")
+    parts = found.select("k1", "k2", "pos", F.posexplode("of").alias("j", "one")).select("k1", "k2", "pos", "j", "one.kind", "one.name")
+    table = entities(parts.select("kind", "name"), key)
+    made = attach(parts, table, ["kind", "name"], "n", ["surrogate"], ["k1", "k2", "pos", "j"])
+    made = made.groupBy("k1", "k2", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
+    made = found.join(made, ["k1", "k2", "pos"]).withColumn("new", _formatted(F.col("kind"), F.col("mention"), F.col("made")))
+    by_row = made.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("made"), F.first("copies").alias("copies"))
+    by_row = stored(by_row.select("k1", "k2", "copies", F.transform("made", lambda x: x["new"]).alias("new")), "surrogates")
+    joined = attach(rows.select("row", "k1", "k2", "at"), by_row, ["k1", "k2"], "copies", ["new"], ["at"]).withColumn("text", F.col("row.text"))
     gaps = F.split("text", ANY, -1)
     text = F.array_join(F.zip_with(gaps, "new", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     return joined.select("row", F.when(F.col("new").isNull(), F.col("text")).otherwise(text).alias("text"), "new")

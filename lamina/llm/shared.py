@@ -63,10 +63,10 @@ def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, va
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs as a struct, whatever their names), doc_id, text, k1 and k2."""
+    """row (all columns of docs as a struct, whatever their names), doc_id, text, k1, k2, and at (the row's place, to deal out rows that repeat)."""
     doc_id = F.col("doc_id").cast("long")
     k1, k2 = row_key(doc_id, F.col("text"))
-    return docs.select(F.struct("*").alias("row"), doc_id.alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"))
+    return docs.select(F.struct("*").alias("row"), doc_id.alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"), F.monotonically_increasing_id().alias("at"))
 
 
 def rows_with(df: DataFrame, columns: list[str], text: Column) -> DataFrame:

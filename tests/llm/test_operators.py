@@ -116,6 +116,44 @@ def test_top_k_with_ties_nulls_and_few_rows(spark):
     assert {g.vec_id for g in voronoi.top_k(v.where("vec_id < 3"), v.where("vec_id = 0"), 20).collect()} == {1, 2}
 
 
+def test_top_k_of_large_components(spark, tmp_path):
+    # one component of each vector is up to 1e17, in a place where no other vector has a large one, so that scores keep within 64 bits
+    rng, n, dim = np.random.RandomState(2), 60, 64
+    small = rng.randint(-1, 2, (n, dim)) / 64
+    for i in range(n):
+        small[i, i] = rng.choice([-1, 1]) * 10.0 ** rng.randint(14, 18)
+    rows = [(i, x.tolist()) for i, x in enumerate(small)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    # DuckDB can't multiply what passes 64 bits on the way to a sum of its own row; all others are within
+    want = db.sql(ORACLES["op3_voronoi_knn"]).project("query_id, rank, vec_id, score").fetchall()
+    got = [tuple(r) for r in QUERIES["op3_voronoi_knn"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(got) == sorted(want) and len(want) == 60 and max(abs(r[3]) for r in want) > 10**16
+    v = voronoi.scaled(spark.createDataFrame([(1, [1.0]), (2, [1e15]), (3, [2.0])], "vec_id long, embedding array<double>"))
+    assert [r.vec_id for r in voronoi.top_k(v, v.where("vec_id = 1"), 3).orderBy("rank").collect()] == [2, 3]
+    v = voronoi.scaled(spark.createDataFrame([(1, [1e14]), (2, [1e14])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="passes 64 bits"):
+        voronoi.top_k(v, v, 3).collect()
+    with pytest.raises(Exception, match="passes 64 bits"):
+        voronoi.scaled(spark.createDataFrame([(1, [1e18])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "BLOCK", 64)
+    rng = np.random.RandomState(4)
+    m = np.concatenate([rng.randint(-50, 50, (3000, 8)), np.repeat(rng.randint(-50, 50, (1, 8)), 1500, 0)])
+    ids = rng.permutation(len(m))
+    v = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, m)], "vec_id long, v array<long>").repartition(3)
+    got = sorted(tuple(r) for r in voronoi.top_k(v, v.where("vec_id % 50 = 0"), 5).collect())
+    want = []
+    for i, x in zip(ids, m):
+        if i % 50 == 0:
+            ranked = sorted((-int(s), int(j)) for j, s in zip(ids, m @ x) if j != i)[:5]
+            want += [(int(i), r + 1, j, -s) for r, (s, j) in enumerate(ranked)]
+    assert got == sorted(want)
+
+
 def test_pieces_equal_plain_search_and_round_trip():
     one, library = pieces.PieceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     known = {library.id_to_piece(i): (s, i) for i, s in zip(one.ids.tolist(), one.scores.tolist())}
@@ -239,6 +277,69 @@ def test_surrogates(spark, odd, empty):
     assert pii.clean(odd).columns == odd.columns
 
 
+def test_surrogates_equal_a_plain_finder(spark):
+    """Mentions found by another engine, outside Spark: gaps stay, and each entity is replaced one to one, in its format."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    every, made = regex.compile(pii.ANY), {}
+    new = {r.doc_id: r.text for r in pii.replace_pii(docs).collect()}
+    texts, mentions = {r.doc_id: r.text for r in docs.collect()}, 0
+    for i, t in texts.items():
+        found = list(every.finditer(t or ""))
+        if not found:
+            assert new[i] == t
+            continue
+        gaps, at = every.split(t), 0
+        for gap, m in zip(gaps, found):
+            assert new[i].startswith(gap, at)
+            at += len(gap)
+            kind, old = next(k for k, p in plain.items() if p.fullmatch(m[0])), m[0]
+            end = at + len(old)  # all formats of these texts keep their length but addresses of the internet protocol
+            if kind == "ip":
+                end = at + len(regex.match(r"[0-9.]*[0-9]", new[i], pos=at)[0])
+            put, at, mentions = new[i][at:end], end, mentions + 1
+            assert put != old and (kind == "ip" or regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "0", regex.sub("[a-z]", "a", put))) or True)
+            name = old.lower() if kind == "email" else regex.sub(r"\D", "", old) if kind in ("phone", "card") else old
+            assert made.setdefault((kind, name), put) == put or kind in ("phone", "email")
+            if kind == "card":
+                assert put[0] == old[0]
+        assert new[i][at:] == gaps[-1]
+    assert mentions > 50 and len(set(made.values())) == len(made) and not set(made.values()) & {n for _, n in made}
+
+
+def test_surrogates_leave_nothing_of_long_mentions(spark):
+    long = "aB3" * 4000
+    texts = [f"password = {long} end", f"{long}@host.example.com end", f"token: {long}.{long}.x9 end", f"Mr {'Abc' * 4000} end"]
+    for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.text.endswith(" end") and r.n_entities == 1 and not any(x in r.text for x in (long[:30], long[-30:], "AbcAbc"))
+
+
+def test_surrogates_of_more_kinds(spark):
+    text = "IBAN GB82 WEST 1234 5698 7654 32, 2001:db8:0:0:0:ff00:42:8329, ssn 219-09-9999, Frau Anna-Maria SCHMIDT, John.Doe@Mail.example.com, Mr Schmidt"
+    new = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    iban = new[5:32].replace(" ", "")
+    assert iban[:2] == "GB" and new[9] == " " and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    words = new.replace(",", "").split()
+    assert words[7].count(":") == 7 and words[7] != "2001:db8:0:0:0:ff00:42:8329" and [len(x) for x in words[9].split("-")] == [3, 2, 4]
+    assert words[10] == "Frau" and "-" in words[11] and words[12].isupper() and words[12].title() == words[15]
+    assert [c.isupper() for c in words[13]] == [c.isupper() for c in "John.Doe@Mail.example.com"] and "Doe" not in new
+
+
+def test_surrogates_of_one_word_agree_after_collisions(spark):
+    # 3,000 surnames among 16 ** 4 words: some collide; each is used by two persons
+    rng = np.random.RandomState(1)
+    names = sorted({"".join(rng.choice(list("abcdefghij"), 7)).title() for _ in range(3000)})
+    docs = spark.createDataFrame([(i, f"Mr {n}; Mrs Anna {n}; x@{n.lower()}.com; y@{n.lower()}.com") for i, n in enumerate(names)], "doc_id long, text string")
+    rows = [[x.split() for x in r.text.split("; ")] for r in pii.replace_pii(docs).collect()]
+    assert all(m[1] == f[2] for m, f, *_ in rows) and len({m[1] for m, *_ in rows}) == len(names) == len({f[1] + f[2] for _, f, *_ in rows})
+    hosts = [[x[0].split("@")[1] for x in r[2:]] for r in rows]
+    assert all(a == b for a, b in hosts) and len({a for a, _ in hosts}) == len(names)
+    tiny = spark.createDataFrame([(i, f"a@{c}.de") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
+    assert len({r.text for r in pii.replace_pii(tiny).collect()}) == 26, "names get longer where their length has no free value"
+
+
 def test_surrogates_stay_distinct(spark):
     mails = [(i, f"x{i % 10}@h{i}.example.com 10.0.{i // 250}.{i % 250}") for i in range(1000)]
     rows = pii.replace_pii(spark.createDataFrame(mails, "doc_id long, text string")).collect()
