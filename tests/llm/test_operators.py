@@ -300,7 +300,8 @@ def test_surrogates_equal_a_plain_finder(spark):
             if kind == "ip":
                 end = at + len(regex.match(r"[0-9.]*[0-9]", new[i], pos=at)[0])
             put, at, mentions = new[i][at:end], end, mentions + 1
-            assert put != old and (kind == "ip" or regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "0", regex.sub("[a-z]", "a", put))) or True)
+            shape = lambda x: regex.sub(r"\d", "0", regex.sub(r"\p{L}", "a", x))
+            assert put != old and (kind == "ip" or shape(put) == shape(old))
             name = old.lower() if kind == "email" else regex.sub(r"\D", "", old) if kind in ("phone", "card") else old
             assert made.setdefault((kind, name), put) == put or kind in ("phone", "email")
             if kind == "card":
