@@ -43,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("pii", replace_private), ("packing", pack)]
 
-#: SQL can't express the classifier, the surrogates or the tokeniser; tests hold run() against a plain version.
+#: SQL can't express the classifier, the surrogates or the tokeniser. Tests hold the operators of the stages against plain
+#: versions one by one, and run the stages in a row on a small table, odd rows and an empty table.
 ORACLE_SQL = None
 
 
