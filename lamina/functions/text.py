@@ -18,10 +18,15 @@ def windows(text: Column, width: int, overlap: int) -> Column:
     """Overlapping word windows: a text of at most width words as it is, else words joined by single spaces; the last window ends with the text."""
     if not 0 <= overlap < width:
         raise ValueError("overlap must be smaller than width")
-    step, words = width - overlap, tokens(text)
-    last = F.ceil((F.size(words) - width) / F.lit(step)).cast("int")
-    many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, width), " "))
-    return F.when(F.size(words) <= width, F.array(text)).otherwise(many)
+    step = width - overlap
+
+    def cut(words: Column) -> Column:
+        last = F.ceil((F.size(words) - width) / F.lit(step)).cast("int")
+        many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, width), " "))
+        return F.when(F.size(words) <= width, F.array(text)).otherwise(many)
+
+    # as the variable of a lambda, the words are split off once for a text, not once for each window
+    return F.transform(F.array(tokens(text)), cut)[0]
 
 
 def content_words(text: Column) -> Column:
