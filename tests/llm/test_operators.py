@@ -240,11 +240,15 @@ def test_components(spark):
 
 def test_toxicity_finds_held_out_insults(spark, odd, empty):
     d = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'"), spark.read.parquet(f"{d}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    held = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).toPandas()
-    found = held.score >= 0.7
-    assert ((held.toxic == 1) & found).sum() >= 0.8 * (held.toxic == 1).sum() and ((held.toxic == 0) & found).sum() <= 0.02 * (held.toxic == 0).sum()
+    scored = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    every = scored.join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    print({(lang, y): (int((g.score >= 0.7).sum()), len(g)) for (lang, y), g in every.groupby(["lang", "toxic"])})
+    # words of English toxic documents are plain; those of the other languages overlap with clean ones, see the README
+    for held, clean in ((every[every.lang == "en"], 0.02), (every, 0.06)):
+        found = held.score >= 0.7
+        assert ((held.toxic == 1) & found).sum() >= 0.8 * (held.toxic == 1).sum() and ((held.toxic == 0) & found).sum() <= clean * (held.toxic == 0).sum()
     best = lambda t: model.probability(np.array([max(model.values(list(toxicity.words_of(t))))]))[0]
     assert all(best(t) >= 0.7 for t in ("you i d i o t", "st*up-id", "m0ron", "idi.ot")) and best("hello world") < 0.3
     got = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
