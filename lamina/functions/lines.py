@@ -56,9 +56,9 @@ def pair_class(a: Column, b: Column) -> Column:
 
 
 def header_range(text: Column) -> Column:
-    """The numbers of a header Dhp a or Dhp a-b; null without one."""
-    a = F.regexp_extract(text, r"Dhp\s+(\d+)(?:\s*-\s*(\d+))?", 1)
-    b = F.regexp_extract(text, r"Dhp\s+(\d+)(?:\s*-\s*(\d+))?", 2)
+    """The numbers of a header Dhp a or Dhp a-b, with a hyphen, an en or an em dash; null without one."""
+    pattern = r"Dhp\s+(\d+)(?:\s*[-–—]\s*(\d+))?"
+    a, b = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     first = F.when(a != "", a).cast("long")
     return F.sequence(first, F.coalesce(F.when(b != "", b).cast("long"), first))
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no content in comparisons of texts.
-STOP_WORDS = "a an and are as at be by for from has have he her his in is it its of on or she that the their they this to was were which who will with".split()
+STOP_WORDS = (
+    "the a an is are was were be been of in to and or that this with as for by on at "
+    "it its one who not but from his her their"
+).split()
 
 
 def tokens(text: Column) -> Column:

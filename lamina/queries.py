@@ -14,6 +14,7 @@ from lamina.operators import joins as J
 from lamina.operators import retrieval as R
 from lamina.plans import audits, pages, quotes, tables, texts  # noqa: F401  they register queries too
 from lamina.registry import ORACLES, QUERIES, SQL_CONTENT, SQL_TOKENS, query, table  # noqa: F401
+from lamina.sources.scratch import stored
 
 # --- retrieval: every 100th vector asks, in queries named _50 every 50th; a vector's label is its group --------------
 
@@ -74,7 +75,7 @@ def rnk_rrf(spark, d, every=100):
     + " " + " UNION ALL ".join(f"SELECT {k} AS k, q, id, rank::INTEGER AS rank FROM k{k} WHERE rank <= 10" for k in (10, 20, 40, 60))
 )
 def rnk_rrf_k_sweep(spark, d, every=100):
-    arms = [a.persist() for a in _arms(spark, d, every=every)]
+    arms = [stored(a, "arm") for a in _arms(spark, d, every=every)]
     out = None
     for k in (10, 20, 40, 60):
         one = R.rrf(arms, k).where("rank <= 10").select(F.lit(k).alias("k"), "q", "id", "rank")
@@ -147,17 +148,16 @@ def evl_ir_metrics(spark, d, every=100):
 FROM x GROUP BY GROUPING SETS ((condition), (condition, own))""")
 def evl_grouping_sets(spark, d, every=100):
     """Means over all questions and by type, in one pass."""
-    E.ir_metrics(_first_hits(spark, d, every)).createOrReplaceTempView("lamina_metrics")
-    mean = lambda c: f"round(avg({c}), 4) AS {c}"
-    return spark.sql(f"""SELECT condition, own, CAST(grouping(own) AS INT) AS level, count(*) AS n, {mean('recall_1')}, {mean('recall_10')}, {mean('ndcg_10')}, {mean('mrr')}
-        FROM lamina_metrics GROUP BY GROUPING SETS ((condition), (condition, own))""")
+    sets = E.ir_metrics(_first_hits(spark, d, every)).groupingSets([["condition"], ["condition", "own"]], "condition", "own")
+    means = [F.round(F.avg(c), 4).alias(c) for c in ("recall_1", "recall_10", "ndcg_10", "mrr")]
+    return sets.agg(F.grouping("own").cast("int").alias("level"), F.count("*").alias("n"), *means)
 
 
-@query(f"""WITH {SQL_HITS}, g AS (SELECT condition, avg(ndcg_10) AS m FROM x GROUP BY condition)
+@query(f"""WITH {SQL_HITS}, g AS (SELECT condition, round(avg(ndcg_10), 4) AS m FROM x GROUP BY condition)
 SELECT g.condition, round(b.m - g.m, 4) AS delta FROM g CROSS JOIN (SELECT m FROM g WHERE condition = 'fused') b WHERE g.condition <> 'fused'""")
 def evl_delta(spark, d, every=100):
-    """What each ablation costs against the baseline, from unrounded means."""
-    means = E.ir_metrics(_first_hits(spark, d, every)).groupBy("condition").agg(F.avg("ndcg_10").alias("m"))
+    """What each ablation costs against the baseline: the difference of the means as reported, that is, of four digits."""
+    means = E.ir_metrics(_first_hits(spark, d, every)).groupBy("condition").agg(F.round(F.avg("ndcg_10"), 4).alias("m"))
     base = means.where("condition = 'fused'").select(F.col("m").alias("base"))
     return means.where("condition <> 'fused'").crossJoin(F.broadcast(base)).select("condition", F.round(F.col("base") - F.col("m"), 4).alias("delta"))
 

@@ -41,8 +41,8 @@ def test_components_of_a_path(spark):
 
 
 def test_lines_at_their_limits(spark):
-    df = spark.createDataFrame([("Dhp 5-7",), ("Dhp 9",), ("none",), (None,)], "t string")
-    assert [r[0] for r in df.select(L.header_range(F.col("t"))).collect()] == [[5, 6, 7], [9], None, None]
+    df = spark.createDataFrame([("Dhp 5-7",), ("Dhp 5–7",), ("Dhp 5 — 7.",), ("Dhp 9",), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(L.header_range(F.col("t"))).collect()] == [[5, 6, 7], [5, 6, 7], [5, 6, 7], [9], None, None]
     assert spark.range(1).select(L.joined_lines(F.lit("well-\nknown  \n\n words")).alias("x")).first().x == "well-known words"
     pairs = spark.createDataFrame([("a", "a"), ("Ab-c", "abcd"), ("abc", "xyz")], "a string, b string")
     assert [r[0] for r in pairs.select(L.pair_class(F.col("a"), F.col("b"))).collect()] == ["exact", "boundary", "distinct"]
