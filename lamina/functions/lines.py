@@ -43,6 +43,12 @@ def is_nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.is_normalized("NFC", s))
 
 
+@F.pandas_udf(StringType())
+def ascii_fold(text: pd.Series) -> pd.Series:
+    """Letters without their marks, other characters beyond ASCII left out, in lower case; the compatible form has no built-in function."""
+    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
+
+
 def folded(text: Column) -> Column:
     """Composed, lower case, with one sign for the nasal and without spaces, hyphens, apostrophes and marks."""
     return F.regexp_replace(F.translate(F.lower(nfc(text)), "ṃṅ", "ṁṁ"), r"""[\s.,;:!?"“”’'-]""", "")

@@ -25,6 +25,22 @@ def compare_and_set(rows: DataFrame, corrections: DataFrame, key: str, column: s
     return joined.withColumn("applied", hit).withColumn(column, F.when(hit, F.col("after")).otherwise(F.col(column))).drop("expected", "after")
 
 
+def assembled(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """Each hit's groups, its own first (place 0), then the others that explain its key, by name: the hit's columns, place, group.
+
+    hits: q, id, key, own (null: a hit that stands for its key alone, whose groups are just those of the key); members: key,
+    group, in any number of copies. A hit without any group fails, as nothing could be returned for it. Groups stay rows, so
+    that a key with many of them is no long array.
+    """
+    others = members.select("key", "group").distinct().where("group is not null")
+    own = hits.where("own is not null").withColumn("group", F.col("own"))
+    siblings = hits.join(others, "key", "left").where("own is null or group <> own")
+    empty = F.raise_error(F.concat(F.lit("no group for "), F.col("key").cast("string"))).cast("int")
+    order = Window.partitionBy("q", "id").orderBy(~F.col("own").eqNullSafe(F.col("group")), "group")
+    place = F.when(F.col("group").isNull(), empty).otherwise(F.row_number().over(order) - 1)
+    return own.unionByName(siblings.select(own.columns)).withColumn("place", place)
+
+
 def range_band(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     """Each row's band by low <= value <= high. bands: a dimension of a few dozen rows."""
     return rows.join(F.broadcast(bands), F.col(value).between(F.col("low"), F.col("high")))

@@ -29,6 +29,19 @@ def sparse_arm(query_terms: DataFrame, postings: DataFrame, k: int) -> DataFrame
     return ranked(hits, F.col("s"), k).select("q", "id", "score", "rank")
 
 
+def filled(hits: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """hits (q, id, score, rank), where queries with under k of them get the smallest other ids with a score of zero, up to k.
+
+    A query lacks k rows at most and has fewer than k that could be in the way, so that the 2 k smallest ids are enough:
+    these few rows are what is sent to every task.
+    """
+    low = F.broadcast(ids.select("id").distinct().orderBy("id").limit(2 * k))
+    found = queries.select("q").distinct().join(hits.groupBy("q").agg(F.count("*").alias("n")), "q", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    free = found.where(F.col("n") < k).crossJoin(low).join(hits.select("q", "id"), ["q", "id"], "left_anti")
+    more = free.withColumn("rank", (F.col("n") + F.row_number().over(Window.partitionBy("q").orderBy("id"))).cast("int")).where(F.col("rank") <= k)
+    return hits.unionByName(more.select("q", "id", F.lit(0).cast(hits.schema["score"].dataType).alias("score"), "rank"))
+
+
 def rrf(arms: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: q, id, score, rank. Ties go to the first arm that has the row, then to its rank there."""
     rows = reduce(DataFrame.unionByName, [a.select("q", "id", "rank").withColumn("arm", F.lit(i)) for i, a in enumerate(arms)])

@@ -70,6 +70,12 @@ def str_nfc_all(spark, d):
     return rows.select("doc_id", L.nfc("text").alias("text"), F.coalesce(~L.is_nfc("text"), F.lit(False)).alias("changed"))
 
 
+@query(r"SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^\x00-\x7f]', '', 'g')) AS folded FROM documents")
+def str_ascii_fold(spark, d):
+    """Texts in ASCII: marks go, other characters beyond it too."""
+    return table(spark, d, "documents").select("doc_id", L.ascii_fold("text").alias("folded"))
+
+
 @query("""WITH h AS (SELECT o_orderkey, o_orderkey % 400 + 1 AS a, (o_orderkey // 7) % 4 AS k FROM orders)
 SELECT o_orderkey, CASE WHEN k = 3 THEN NULL ELSE array_to_string(range(a, a + k + 1), ',') END AS verses FROM h""")
 def str_range_header(spark, d):

@@ -65,6 +65,18 @@ def rnk_sparse_topk(spark, d):
     return R.sparse_arm(terms, _terms(table(spark, d, "documents"), "doc_id", "id"), 20)
 
 
+@query(
+    "WITH qt AS (" + SQL_TERMS.format(id="item_id", name="q", table="benchmark") + "), p AS (" + SQL_TERMS.format(id="doc_id", name="id", table="documents") + """),
+s AS (SELECT q, id, sum(qt.w * p.w)::BIGINT AS score FROM qt JOIN p ON qt.term = p.term GROUP BY q, id),
+o AS (SELECT b.q, d.id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT item_id AS q FROM benchmark) b CROSS JOIN (SELECT DISTINCT doc_id AS id FROM documents) d LEFT JOIN s ON s.q = b.q AND s.id = d.id)
+SELECT q, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM o) WHERE rank <= 20"""
+)
+def rnk_sparse_topk_filled(spark, d):
+    """As rnk_sparse_topk, but every item gets 20 rows: rows without a common term score zero and fill up, smallest ids first."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("q"))
+    return R.filled(stored(rnk_sparse_topk(spark, d), "hits"), items, table(spark, d, "documents").select(F.col("doc_id").alias("id")), 20)
+
+
 @query(f"WITH {SQL_ARMS}, {SQL_RRF.format(k=60)} SELECT q, id, rank::INTEGER AS rank FROM f")
 def rnk_rrf(spark, d, every=100):
     return R.rrf(list(_arms(spark, d, every=every))).select("q", "id", "rank")
@@ -191,6 +203,22 @@ def boot_cluster(spark, d):
     return E.bootstrap(_numbered(table(spark, d, "conversations").groupBy((F.col("conv_id") % 997).alias("c")).agg(user.alias("num"), F.count("*").alias("den"))), 200, "cluster")
 
 
+@query(f"""WITH {SQL_ARM.format(name="a", cut="", k=10).replace("vec_id % 100", "vec_id % 50")},
+h AS (SELECT a.q, a.id, a.rank, e.vec_id // 8 AS key, CASE WHEN e.vec_id % 3 > 0 THEN e.label END AS own FROM a JOIN embeddings e ON e.vec_id = a.id),
+m AS (SELECT DISTINCT vec_id // 8 AS key, label AS g FROM embeddings),
+x AS (SELECT q, id, rank, key, own AS g, 0 AS late FROM h WHERE own IS NOT NULL UNION ALL SELECT q, id, rank, key, m.g, 1 FROM h JOIN m USING (key) WHERE h.own IS NULL OR m.g <> h.own)
+SELECT q, id, rank::INTEGER AS rank, key, g AS "group", (row_number() OVER (PARTITION BY q, id ORDER BY late, g) - 1)::INTEGER AS place FROM x""")
+def dom_assemble(spark, d):
+    """The groups that each of a question's ten hits stands for. Eight vectors share a key; a group is a label; every third vector stands for its key alone."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    hits = R.dense_arm(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
+    keys = e.select(F.col("vec_id").alias("id"), F.expr("vec_id div 8").alias("key"), "label")
+    own = F.when(F.col("id") % 3 > 0, F.col("label")).alias("own")
+    found = J.assembled(hits.join(keys, "id").select("q", "id", "rank", "key", own), keys.select("key", F.col("label").alias("group")))
+    return found.select("q", "id", "rank", "key", "group", "place")
+
+
 #: Searches whose query set is every 50th vector too, as name_50: their SQL differs in that only.
 SEARCHES = [dom_query, rnk_dense_topk, rnk_rrf, rnk_rrf_k_sweep, rnk_score_fusion, rnk_rerank_head_tail, evl_ir_metrics, evl_grouping_sets, evl_delta, tables.rnk_max_sim]
 for _f in SEARCHES:

@@ -47,6 +47,27 @@ def whole_texts(spark: SparkSession, path: str, glyphs: dict[str, str] | None =
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), text.alias("text"))
 
 
+def verified(spark: SparkSession, folder: str, pins: DataFrame) -> DataFrame:
+    """Each pinned file's state in folder: ok, changed or missing. pins: path (below folder), sha256 (lowercase hex). A pin counts once; files without one don't.
+
+    Files are read whole, one a row, by Spark's reader of binary files (2 GB each at most); a folder that isn't there has none.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        files = reader.load(folder)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        return pins.select("path", "sha256").distinct().withColumn("state", F.lit("missing"))
+    # the reader gives qualified paths: what comes after the folder's own is compared
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index(F.col("path"), root, -1)
+    found = files.select(below.alias("path"), F.sha2("content", 256).alias("actual"))
+    state = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.lower("sha256"), "ok").otherwise("changed")
+    return pins.select("path", "sha256").distinct().join(found, "path", "left").select("path", "sha256", state.alias("state"))
+
+
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of rows with one key, that of the smallest order."""
     w = Window.partitionBy(key).orderBy(order)

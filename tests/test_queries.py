@@ -157,3 +157,26 @@ def test_every_50th_vector_asks(spark):
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
     for name in ("rnk_dense_topk_50", "dom_query_50", "evl_ir_metrics_50"):
         assert QUERIES[name](spark, SF).select("q").distinct().count() == asked
+
+
+def test_zero_scores_fill_up(spark):
+    hits = spark.createDataFrame([(1, 4, 9, 1), (1, 2, 3, 2), (2, 1, 5, 1), (2, 3, 4, 2), (2, 5, 1, 3)], "q int, id int, score long, rank int")
+    queries = spark.createDataFrame([(1,), (1,), (2,), (3,)], "q int")
+    ids = spark.createDataFrame([(i,) for i in range(1, 9)], "id int")
+    got = sorted((r.q, r["rank"], r.id, r.score) for r in R.filled(hits, queries, ids, 3).collect())
+    assert got == [(1, 1, 4, 9), (1, 2, 2, 3), (1, 3, 1, 0), (2, 1, 1, 5), (2, 2, 3, 4), (2, 3, 5, 1), (3, 1, 1, 0), (3, 2, 2, 0), (3, 3, 3, 0)]
+
+
+def test_own_group_comes_first(spark):
+    members = spark.createDataFrame([(7, "b"), (7, "a"), (7, "c"), (7, "a"), (8, "z")], "key int, group string")
+    hits = spark.createDataFrame([(1, 10, 7, "b"), (1, 11, 7, None), (1, 12, 9, "x")], "q int, id int, key int, own string")
+    got = sorted((r.id, r.place, r["group"]) for r in J.assembled(hits, members).collect())
+    assert got == [(10, 0, "b"), (10, 1, "a"), (10, 2, "c"), (11, 0, "a"), (11, 1, "b"), (11, 2, "c"), (12, 0, "x")]
+    lost = spark.createDataFrame([(1, 13, 9, None)], "q int, id int, key int, own string")
+    with pytest.raises(Exception, match="no group for 9"):
+        J.assembled(lost, members).collect()
+
+
+def test_ascii_fold(spark):
+    df = spark.createDataFrame([("Ānanda ﬁt ß…",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(L.ascii_fold("t")).collect()] == ["ananda fit ...", "", None]

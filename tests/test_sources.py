@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import hashlib
 import json
 
 import pytest
@@ -60,3 +61,14 @@ def test_writers(spark, tmp_path):
     back = readers.json_lines(spark, str(tmp_path / "j"), "k int, a array<string>, t string, v double")
     assert sorted((r.k, r.t) for r in back.collect()) == [(1, None), (2, "new")]
     assert writers.report_markdown(df.select("k", "t", "v"), "R").splitlines() == ["## R", "", "| k | t | v |", "|-|-|-|", "| 1 | n/a | 0.5000 |", '| 2 | q"uote | n/a |']
+
+
+def test_files_against_their_sums(spark, tmp_path):
+    (tmp_path / "in" / "deep er").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_bytes(b"alpha")
+    (tmp_path / "in" / "deep er" / "b.bin").write_bytes(b"beta")
+    sums = {p: hashlib.sha256(b).hexdigest() for p, b in [("a.txt", b"alpha"), ("deep er/b.bin", b"other"), ("c.txt", b"")]}
+    pins = spark.createDataFrame([*sums.items(), ("a.txt", sums["a.txt"])], "path string, sha256 string")
+    got = {r.path: r.state for r in readers.verified(spark, str(tmp_path / "in"), pins).collect()}
+    assert got == {"a.txt": "ok", "deep er/b.bin": "changed", "c.txt": "missing"}
+    assert {r.state for r in readers.verified(spark, str(tmp_path / "none"), pins).collect()} == {"missing"}
