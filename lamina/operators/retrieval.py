@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Rows of the two sides that a task compares at a time, about.
+QUERIES, VECTORS = 2048, 8192
 
 
 def ranked(df: DataFrame, score: Column, k: int, by: str = "q", id: str = "id") -> DataFrame:
@@ -18,9 +20,73 @@ def ranked(df: DataFrame, score: Column, k: int, by: str = "q", id: str = "id")
     return df.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocked(queries: DataFrame, vectors: DataFrame, solve, schema: str) -> DataFrame:
+    """Scores of all queries with all vectors, a block of queries and one of vectors at a time, of which solve keeps rows.
+
+    Neither side is sent whole to a task: a cell of the grid has about QUERIES by VECTORS rows, however large the tables
+    are. Vectors are dealt by their place in the table, so that rows that repeat share no block. Rows without a vector
+    take no part. solve gets the frames of the cell and a slice of the first with its scores (queries by vectors).
+    """
+    queries, vectors = queries.where("qv is not null"), vectors.where("v is not null")
+    rows, columns = max(1, -(-queries.count() // QUERIES)), max(1, -(-vectors.count() // VECTORS))
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("row", dealt(rows)).withColumn("column", every(columns))
+    v = vectors.withColumn("column", dealt(columns)).withColumn("row", every(rows))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        a, b = (np.stack(x.to_numpy()).astype("f8") for x in (left["qv"], right["v"]))
+        if a.shape[1] != b.shape[1]:
+            raise ValueError(f"vectors of {a.shape[1]} and of {b.shape[1]} components")
+        out = []
+        for at in range(0, len(a), 64):
+            part = a[at : at + 64]
+            scores = np.zeros((len(part), len(b)))
+            for x, y in zip(part.T, b.T):  # components in order, so that a sum is the same in every block
+                scores += x[:, None] * y
+            out.append(solve(left.iloc[at : at + 64], right, scores))
+        return pd.concat(out)[names]
+
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    return q.groupBy("row", "column").cogroup(v.groupBy("row", "column")).applyInPandas(cell, schema)
+
+
 def dense_arm(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact inner product top-k: q, id, score, rank. queries: q, qv, a stated set, sent to every task in blocks; vectors: id, v."""
-    return ranked(vectors.crossJoin(F.broadcast(queries)), F.round(dot(F.col("qv"), F.col("v")), 6), k).select("q", "id", "score", "rank")
+    """Exact inner product top-k: q, id, score (of six digits), rank. queries: q, qv; vectors: id, v."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        ids, out = right["id"].to_numpy(), []
+        for q, s in zip(left["q"], scores):
+            # what rounding may tie with the k-th stays, of equal scores the k smallest ids
+            least = np.partition(s, -k)[-k] - 2e-6 if len(s) > k else -np.inf
+            near = np.flatnonzero(~(s < least))
+            near = near[np.lexsort((ids[near], -s[near]))]
+            new = np.r_[True, s[near][1:] != s[near][:-1]]
+            run = np.arange(len(near)) - np.maximum.accumulate(np.where(new, np.arange(len(near)), 0))
+            near = near[run < k]
+            out.append(pd.DataFrame({"q": q, "id": ids[near], "s": s[near]}))
+        return pd.concat(out)
+
+    types = queries.schema["q"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    found = _blocked(queries.select("q", "qv"), vectors.select("id", "v"), best, "q {}, id {}, s double".format(*types))
+    return ranked(found, F.round("s", 6), k).select("q", "id", "score", "rank")
+
+
+def best_of_groups(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """q, part, id and best: each query vector's highest inner product with a vector of a group. queries: q, part, qv; vectors: id (the group), v."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        groups, place = np.unique(right["id"].to_numpy(), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        most = np.maximum.reduceat(scores[:, order], np.searchsorted(place[order], np.arange(len(groups))), axis=1)
+        n = len(groups)
+        return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), n), "part": np.repeat(left["part"].to_numpy(), n), "id": np.tile(groups, len(left)), "best": most.ravel()})
+
+    types = [f.schema[c].dataType.simpleString() for f, c in ((queries, "q"), (queries, "part"), (vectors, "id"))]
+    found = _blocked(queries.select("q", "part", "qv"), vectors.select("id", "v"), best, "q {}, part {}, id {}, best double".format(*types))
+    return found.groupBy("q", "part", "id").agg(F.max("best").alias("best"))
 
 
 def sparse_arm(query_terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:

@@ -90,7 +90,7 @@ def rnk_max_sim(spark, d, every=250):
     """Groups of vectors by the mean, over a query's vectors, of the best inner product with one of theirs."""
     e = table(spark, d, "embeddings")
     q = e.where(f"vec_id % {every} = 0").select((F.col("label") % 3).alias("q"), F.col("vec_id").alias("part"), F.col("embedding").alias("qv"))
-    best = q.crossJoin(e.select(F.col("label").alias("id"), "embedding")).groupBy("q", "part", "id").agg(F.max(R.dot(F.col("qv"), F.col("embedding"))).alias("best"))
+    best = R.best_of_groups(q, e.select(F.col("label").alias("id"), F.col("embedding").alias("v")))
     means = best.groupBy("q", "id").agg(F.round(F.avg("best"), 6).alias("m"))
     return R.ranked(means, F.col("m"), 10).select("q", "id", "rank")
 

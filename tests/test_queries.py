@@ -180,3 +180,19 @@ def test_own_group_comes_first(spark):
 def test_ascii_fold(spark):
     df = spark.createDataFrame([("Ānanda ﬁt ß…",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(L.ascii_fold("t")).collect()] == ["ananda fit ...", "", None]
+
+
+def test_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERIES", 3)
+    monkeypatch.setattr(R, "VECTORS", 7)
+    rows = [(i, [float(i % 5), float(i % 3), 0.1 * (i % 7)]) for i in range(60)] + [(60 + i, [4.0, 2.0, 0.6]) for i in range(40)] + [(100, None)]
+    v = spark.createDataFrame(rows, "id long, v array<float>")
+    q = v.where("id % 9 = 0").selectExpr("id as q", "v as qv").unionByName(spark.createDataFrame([(999, None)], "q long, qv array<float>"))
+    got = sorted((r.q, r["rank"], r.id) for r in R.dense_arm(q, v, 5).collect())
+    plain = {r.id: r.v for r in v.where("v is not null").collect()}
+    want = []
+    for a in (i for i in plain if i % 9 == 0):
+        scored = sorted((-round(sum(x * y for x, y in zip(plain[a], plain[b])), 6), b) for b in plain)
+        want += [(a, n + 1, b) for n, (_, b) in enumerate(scored[:5])]
+    assert got == sorted(want)
+    assert R.dense_arm(q.limit(0), v, 5).count() == 0 and R.dense_arm(q, v.limit(0), 5).count() == 0
