@@ -75,7 +75,7 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
     later = attach(windows, repeated, ["h1", "h2"], "n", ["first"], ["k1", "k2", "pos"]).where(F.col("first").isNotNull() & (F.col("first") != at))
     starts = later.groupBy("k1", "k2").agg(F.collect_set("pos").alias("starts"), F.count("*").alias("n"))
     starts = stored(starts.select("k1", "k2", "starts", F.ceil(F.col("n") / F.size("starts")).alias("copies")), "starts")
-    joined = attach(rows.select("row", "k1", "k2", "at"), starts, ["k1", "k2"], "copies", ["starts"], ["at"]).select("row", F.col("row.text").alias("text"), "starts")
+    joined = attach(rows.select("row", "k1", "k2", "at"), starts, ["k1", "k2"], "copies", ["starts"], ["at"], merge=True).select("row", F.col("row.text").alias("text"), "starts")
     return joined.mapInArrow(_cleaned, StructType([joined.schema["row"], *_ADDED]))
 
 

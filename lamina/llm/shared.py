@@ -44,12 +44,13 @@ def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(doc_id, text), F.xxhash64(F.lit("second"), text, doc_id)
 
 
-def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str]) -> DataFrame:
+def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, values: list[str], spread: list[str], merge: bool = False) -> DataFrame:
     """Left join of rows with summary (one row a key, keys not null), safe against hot keys.
 
     weight is the number of rows of the key. Keys that hold 1/HOT_SHARE of all counted rows or more are
     broadcast: by their definition there are at most HOT_SHARE of them. Their rows get a salt from the
-    spread columns, so that the shuffle for the other keys deals them out evenly.
+    spread columns, so that the shuffle for the other keys deals them out evenly. merge: those are joined by sorting
+    both sides, however small the summary is, so that the plan is the same at every size.
     """
     total = summary.agg(F.sum(weight).alias("_total"))
     hot = summary.crossJoin(F.broadcast(total)).where(F.col(weight) * HOT_SHARE >= F.col("_total"))
@@ -58,7 +59,7 @@ def attach(rows: DataFrame, summary: DataFrame, keys: list[str], weight: str, va
         "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long"))
     )
     rest = summary.select(*keys, *[F.col(v).alias(f"_rest_{v}") for v in values], F.lit(0).cast("long").alias("_salt"))
-    joined = salted.join(rest, [*keys, "_salt"], "left")
+    joined = salted.join(rest.hint("merge") if merge else rest, [*keys, "_salt"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_hot_{v}", f"_rest_{v}").alias(v) for v in values])
 
 
