@@ -89,6 +89,24 @@ def best_of_groups(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return found.groupBy("q", "part", "id").agg(F.max("best").alias("best"))
 
 
+def max_sim(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, parts: int) -> DataFrame:
+    """Candidates (q, id) ranked by late interaction: q, id, score, rank. queries: q, qv; vectors: id, v.
+
+    Vectors are rows of so many parts of one length; the score is the mean over the query's parts of the highest inner
+    product with a part of the candidate's. A pair stands for itself, so that the work is that of the candidates alone.
+    """
+
+    @F.pandas_udf("double")
+    def late(qv: pd.Series, v: pd.Series) -> pd.Series:
+        a, b = (np.stack(x.to_numpy()).astype("f8").reshape(len(x), parts, -1) for x in (qv, v))
+        return pd.Series(np.einsum("nid,njd->nij", a, b).max(2).mean(1))
+
+    pairs = candidates.select("q", "id").join(queries.select("q", "qv"), "q").join(vectors.select("id", "v"), "id")
+    scored = pairs.select("q", "id", F.round(late("qv", "v"), 6).alias("s"))
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "id")
+    return scored.select("q", "id", F.col("s").alias("score"), F.row_number().over(order).alias("rank"))
+
+
 def sparse_arm(query_terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """Lexical top-k by a join on terms: q, id, score, rank. query_terms: q, term, wq; postings: term, id, w. Rows without a common term aren't ranked."""
     hits = query_terms.join(postings, "term").groupBy("q", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("s"))

@@ -196,3 +196,12 @@ def test_blocks_lose_nothing(spark, monkeypatch):
         want += [(a, n + 1, b) for n, (_, b) in enumerate(scored[:5])]
     assert got == sorted(want)
     assert R.dense_arm(q.limit(0), v, 5).count() == 0 and R.dense_arm(q, v.limit(0), 5).count() == 0
+
+
+def test_late_interaction(spark):
+    pairs = spark.createDataFrame([(1, 7), (1, 8), (1, 9)], "q int, id int")
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 1.0])], "q int, qv array<float>")
+    v = spark.createDataFrame([(7, [0.0, 1.0, 0.0, 2.0]), (8, [1.0, 0.0, 0.5, 1.0]), (9, [1.0, 1.0, 0.0, 0.0]), (6, [9.0, 9.0, 9.0, 9.0])], "id int, v array<float>")
+    got = [(r.id, r.score, r["rank"]) for r in R.max_sim(pairs, q, v, 2).orderBy("rank").collect()]
+    assert got == [(7, 1.0, 1), (8, 1.0, 2), (9, 1.0, 3)]
+    assert [r.score for r in R.max_sim(pairs, q, v, 4).orderBy("id").collect()] == [1.0, 0.5, 0.5]
