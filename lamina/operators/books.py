@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions import lines as L
+from lamina.operators import evaluation as E
 from lamina.operators import scan
 from lamina.sources.scratch import stored
 
@@ -104,7 +106,8 @@ def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     wherever they stand. Parts: none, title, meta, rating, body, heading, preface, colophon, footnote.
 
     Defined cases: a null line is blank; a book without a story is all none; of several verse lines below one header the
-    last one counts; a heading whose end never comes is one line; a footnote's last line may be taken for that end only where no other line is;
+    last one counts; a heading whose end never comes is one line (an end within a footnote
+    counts as to come, and what follows the heading then stays heading);
     lines of any length are read as a whole; an empty table gives an empty result; other columns are ignored.
     """
     line = F.coalesce("line", F.lit(""))
@@ -209,3 +212,186 @@ def footnotes(parts: DataFrame) -> DataFrame:
         "book", "story", "note", F.regexp_extract(F.col("t")[0], NOTE_NUMBER, 1).alias("marker"), F.coalesce(F.nullif(head[0], F.lit("")), F.lit("unlabeled")).alias("author"),
         wrapped(F.concat(F.array(head[1]), F.slice("t", 3, F.greatest(F.size("t"), F.lit(1))))).alias("text"),
     )
+
+
+#: A footnote's number in running text, as lamina.functions.lines.without_marks takes it out.
+MARK = rf"{L.BEFORE_MARK}(\d{{1,3}}){L.AFTER_MARK}"
+
+
+def _marks(parts: DataFrame, which: Column) -> DataFrame:
+    """book, story and each number that may be a footnote's in lines of these parts."""
+    return parts.where(which).select("book", "story", F.explode(F.regexp_extract_all("line", F.lit(MARK), F.lit(1))).alias("marker")).distinct()
+
+
+def returned(parts: DataFrame, notes: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """notes (as footnotes returns them) with home, the story that each belongs to.
+
+    A footnote is printed at the foot of the page that its number is on, and so now and then among the lines of the story before
+    or after. In the order of stories, a story whose text has a number without a footnote of it takes the footnote of its neighbour before, or else
+    of the one behind, unless that one's text has the number too. What a story takes depends on what its neighbours took before:
+    that is a state of a machine that goes over the stories of each book and number. Footnotes of the colophon's numbers are left out.
+
+    Defined cases: a number that no neighbour's text has leaves its footnote where it is; several footnotes of one number in a
+    story move together; a null book is a book; without footnotes the result is empty.
+    """
+    stories = E.numbered(parts.where("story is not null").select("book", "story").distinct(), ["book"], ["story"]).select("book", "story", F.col("i").alias("k"))
+    stories = stored(stories, "stories")
+    left = _marks(parts, F.col("part") == "colophon")
+    gone = left.select(F.col("book").alias("_b"), F.col("story").alias("_s"), F.col("marker").alias("_m"))
+    notes = notes.join(gone, notes["book"].eqNullSafe(gone["_b"]) & (notes["story"] == gone["_s"]) & (notes["marker"] == gone["_m"]), "left_anti")
+    place = stories.select(F.col("book").alias("_b"), F.col("story").alias("_s"), "k")
+
+    def at_k(rows: DataFrame) -> DataFrame:
+        return rows.join(place, rows["book"].eqNullSafe(place["_b"]) & (rows["story"] == place["_s"])).drop("_b", "_s")
+
+    notes = stored(at_k(notes), "notes")
+    text = F.col("part").isin("title", "body") | ((F.col("part") == "meta") & ~F.col("line").rlike(KEYWORDS))
+    found = at_k(_marks(parts, text)).select("book", "k", "marker", F.lit(0).alias("has"), F.lit(1).alias("found"))
+    both = notes.select("book", "k", "marker", F.lit(1).alias("has"), F.lit(0).alias("found")).union(found)
+    both = stored(both.groupBy("book", "k", "marker").agg(F.max("has").alias("has"), F.max("found").alias("found")), "marks")
+    rows = both
+    for name, by in (("prev", 1), ("next", -1)):
+        other = both.select(F.col("book").alias("_b"), (F.col("k") + by).alias("_k"), F.col("marker").alias("_m"), F.col("has").alias(f"has_{name}"), F.col("found").alias(f"found_{name}"))
+        rows = rows.join(other, rows["book"].eqNullSafe(other["_b"]) & (rows["k"] == other["_k"]) & (rows["marker"] == other["_m"]), "left").drop("_b", "_k", "_m")
+    bits = ["has", "found", "has_prev", "found_prev", "has_next", "found_next"]
+    symbol = sum((F.coalesce(b, F.lit(0)) * 2**i for i, b in enumerate(bits)), F.lit(0)) + F.when(F.col("has_prev").isNull(), 64).otherwise(0)
+    rows = rows.select("book", "marker", "k", symbol.alias("symbol"))
+
+    def takes(symbol: int, state: int) -> int:
+        """1: the footnote of the story before, 2: of the one behind, 0: none. state: 1 if the story's own was taken, 2 if that of the story before was."""
+        has, found, has_prev, found_prev, has_next, found_next, alone = ((symbol >> i) & 1 for i in range(7))
+        state = 0 if alone else state
+        if not found or (has and not state & 1):
+            return 0
+        if has_prev and not found_prev and not state & 2:
+            return 1
+        return 2 if has_next and not found_next else 0
+
+    table = [[(takes(x, s) == 2) + 2 * (s & 1 if x < 64 else 0) for s in range(4)] for x in range(128)]
+    found = scan.states(stored(rows, "marks"), ["book", "marker"], "k", "symbol", table, block=block)
+    choice = F.array(*[F.lit(takes(x, s)) for x in range(128) for s in range(4)])
+    found = found.withColumn("took", choice[F.col("symbol") * 4 + F.col("before")]).where("took > 0")
+    # a move's source is next to its target, and each footnote moves once at most
+    moves = found.select(F.col("book").alias("_b"), F.col("marker").alias("_m"), (F.col("k") + F.when(F.col("took") == 1, -1).otherwise(1)).alias("_k"), F.col("k").alias("to"))
+    notes = notes.join(moves, notes["book"].eqNullSafe(moves["_b"]) & (notes["k"] == moves["_k"]) & (notes["marker"] == moves["_m"]), "left").drop("_b", "_k", "_m")
+    notes = notes.withColumn("to", F.coalesce("to", "k"))
+    homes = stories.select(F.col("book").alias("_b"), F.col("k").alias("_k"), F.col("story").alias("home"))
+    return notes.join(homes, notes["book"].eqNullSafe(homes["_b"]) & (notes["to"] == homes["_k"])).select("book", "story", "note", "marker", "author", "text", "home")
+
+
+# Words of the translation that the original never has, letters that only the original has, widths and signs of the layout.
+ENGLISH = """the and of is with through like one not by at for who he she it that this his her their was were are to in on as if but so
+from which when where how what why then than or an a i we you they them its our your no all has have do does did will would can could may might
+those these without into should be been whose""".split()
+MARKED_LETTERS = "āīūṁṅñṭḍṇḷṛśṣ"
+SHORT, VERSE_LINE, FULL_LINE, INDENTED = 62, 55, 60, 3
+SENTENCE_END, RUNS_ON = r"[.!?:;”’)–]$", r"[.,;:!?–—’”]$"
+NUMBERED = r"^\s*(\d{1,3})\.\s+(\S.*)$"
+
+
+def language(line: Column) -> Column:
+    """english, pali or unknown: whether more words are English function words or hold a marked letter."""
+    words = F.regexp_extract_all(F.lower(line), F.lit(r"(\p{L}+)"), F.lit(1))
+    e, p = F.size(F.filter(words, lambda w: w.isin(ENGLISH))), F.size(F.filter(words, lambda w: w.rlike(f"[{MARKED_LETTERS}]")))
+    return F.when((e == 0) & (p == 0), "unknown").when(p > e, "pali").otherwise("english")
+
+
+def tidy(line: Column) -> Column:
+    """A line without form feeds, page numbers in brackets, white space at its end and more than one space within; its indent stays."""
+    bare = F.regexp_replace(F.regexp_replace(F.replace(line, F.lit("\f"), F.lit("")), L.PAGE_CRUMB, ""), r"\s+$", "")
+    return F.concat(F.regexp_extract(bare, "^( *)", 1), F.regexp_replace(F.regexp_replace(bare, "^ +", ""), " {2,}", " "))
+
+
+def _body(parts: DataFrame) -> DataFrame:
+    rows = parts.where("part = 'body'").select("book", "story", "n", tidy(F.col("line")).alias("line")).where("line <> ''")
+    bare = F.regexp_replace("line", "^ +", "")
+    rows = rows.withColumns({"bare": bare, "indent": F.length("line") - F.length(bare), "tongue": language(bare)})
+    return rows.withColumn("indented", F.col("indent") >= INDENTED)
+
+
+def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """book, story, first_line (its n), kind (paragraph or verse) and text of each block of each story's body.
+
+    Wrapped lines are joined to paragraphs, which end behind a sentence that ends early, or before verse or another indent; verse
+    lines (indented, and short, numbered or in the original's language) stay lines. Whether a paragraph is open is a state of a machine over the lines; the line behind is
+    what a scan from the end carries along.
+
+    Defined cases: blank lines are no lines; the last line of a story ends its paragraph; a story without a body has no rows; a block of any
+    length is one row, as its text is.
+    """
+    rows = _body(parts)
+    verse = F.col("indented") & ((F.length("bare") < VERSE_LINE) | F.col("line").rlike(NUMBERED) | (F.col("tongue") == "pali"))
+    rows = rows.withColumn("verse", verse)
+    packed = F.col("indent") * 8 + F.col("verse").cast("int") * 4 + F.col("indented").cast("int") * 2 + ((F.length("bare") >= FULL_LINE) & (F.col("tongue") != "pali")).cast("int")
+    rows = stored(rows.withColumns({"s": F.lit(0), "packed": packed.cast("long"), "own": F.col("story")}), "body")
+    rows = scan.states(rows, ["book"], "n", "s", [[0]], ["packed", "own"], backward=True, block=block)
+    last = ~F.col("prior_own").eqNullSafe(F.col("story"))
+    behind = F.when(~last, F.col("prior_packed"))
+    opens = ~F.col("line").rlike(RUNS_ON) & (F.floor(behind / 8) == F.col("indent")) & (behind.bitwiseAND(1) == 1)
+    alone = F.col("verse") & ~F.coalesce(opens, F.lit(False))
+    turn = (behind.bitwiseAND(4) > 0) | ((behind.bitwiseAND(2) > 0) != F.col("indented")) | (F.length("bare") < F.lit(SHORT) - F.col("indent"))
+    ends = last | (F.col("bare").rlike(SENTENCE_END) & F.coalesce(turn, F.lit(False)))
+    symbol = alone.cast("int") * 4 + ends.cast("int") * 2 + last.cast("int")
+    rows = stored(rows.select("book", "story", "n", "line", "bare", alone.alias("alone"), symbol.alias("symbol")), "body")
+
+    def after(alone: int, ends: int, last: int, state: int) -> int:
+        """0: nothing is open, 1: a paragraph, 2: a verse."""
+        if alone and state != 1:
+            return 0 if last else 2
+        return 0 if ends else 1
+
+    rows = scan.states(rows, ["book"], "n", "symbol", [[after(x >> 2, (x >> 1) & 1, x & 1, s) for s in range(3)] for x in range(8)], block=block)
+    kept = F.col("alone") & (F.col("before") != 1)
+    starts = F.when(kept, F.col("before") != 2).otherwise(F.col("before") != 1)
+    rows = rows.select("book", "story", "n", "bare", kept.alias("kept"), F.when(starts, F.col("n")).alias("at"), F.lit(0).alias("symbol"))
+    rows = scan.states(stored(rows, "blocks"), ["book"], "n", "symbol", [[0]], ["at"], block=block)
+    lines = _in_order(F.lit(True), F.col("bare"))
+    blocks = rows.groupBy("book", "story", F.col("last_at").alias("first_line")).agg(F.max("kept").alias("kept"), lines.alias("lines"))
+    text = F.when(F.col("kept"), F.array_join("lines", "\n")).otherwise(wrapped(F.col("lines")))
+    return blocks.select("book", "story", "first_line", F.when(F.col("kept"), "verse").otherwise("paragraph").alias("kind"), text.alias("text"))
+
+
+def verses(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
+    """book, story, number, original and translation of the first verse of its own that each story's body quotes in full.
+
+    The original begins at a numbered line in its language whose number is among the story's; it goes on while lines are indented,
+    not numbered and not English, and the translation while they are indented and not in the original's language.
+
+    Defined cases: a story that quotes none of its verses has no row; no translation: null; numbers are those of the story's own verse line.
+    """
+    rows = _body(parts)
+    own = titles(parts).select(F.col("book").alias("_b"), F.col("story").alias("_s"), "first_verse", "last_verse")
+    number = F.nullif(F.regexp_extract("line", NUMBERED, 1), F.lit("")).cast("long")
+    tail = F.regexp_extract("line", NUMBERED, 2)
+    inner = F.length(F.regexp_replace(tail, r"[^\p{L}]", ""))
+    marked = F.length(F.regexp_replace(F.lower(tail), f"[^{MARKED_LETTERS}]", ""))
+    rows = rows.withColumns({"number": number, "pali_like": (inner >= 8) & (marked > F.lit(0.1) * inner)})
+    heads = rows.where("number is not null and pali_like").select("book", "story", "n", "number")
+    heads = heads.join(own, heads["book"].eqNullSafe(own["_b"]) & (heads["story"] == own["_s"])).where("number between first_verse and last_verse")
+    heads = heads.select(F.col("book").alias("_b"), F.col("n").alias("_n"))
+    rows = rows.join(heads, rows["book"].eqNullSafe(heads["_b"]) & (rows["n"] == heads["_n"]), "left").withColumn("match", F.col("_n").isNotNull()).drop("_b", "_n")
+    first = parts.where("n = story").select("book", "story", "n", F.lit(5).alias("symbol"), F.lit(None).cast("string").alias("bare"), F.lit(None).cast("long").alias("number"))
+    goes_on = F.col("indented") & F.col("number").isNull() & (F.col("tongue") != "english")
+    translates = F.col("indented") & (F.col("tongue") != "pali")
+    symbol = F.when(F.col("match"), F.when(translates, 1).otherwise(0)).otherwise(F.when(goes_on & translates, 2).when(goes_on, 3).when(translates, 4).otherwise(6))
+    tail_or_all = F.when(F.col("match"), tail).otherwise(F.col("bare"))
+    rows = rows.select("book", "story", "n", symbol.alias("symbol"), tail_or_all.alias("head"), "bare", "number")
+    rows = stored(rows.unionByName(first.withColumn("head", F.col("bare"))), "verses")
+
+    def after(symbol: int, state: int) -> int:
+        """0: no verse yet, 1: the original, 2: the translation, 3: behind it. A story's first line (5) begins anew."""
+        if symbol == 5:
+            return 0
+        if state == 0:
+            return int(symbol in (0, 1))
+        if state == 1 and symbol in (2, 3):
+            return 1
+        return 2 if state < 3 and symbol in (1, 2, 4) else 3
+
+    rows = scan.states(rows, ["book"], "n", "symbol", [[after(x, s) for s in range(4)] for x in range(7)], block=block).where("after in (1, 2)")
+    original = F.when(F.col("before") == 0, F.col("head")).otherwise(F.col("bare"))
+    grouped = rows.groupBy("book", "story").agg(
+        F.max(F.when(F.col("before") == 0, F.col("number"))).alias("number"), F.array_join(_in_order(F.col("after") == 1, original), " ").alias("original"),
+        F.nullif(F.array_join(_in_order(F.col("after") == 2, F.col("bare")), " "), F.lit("")).alias("translation"),
+    )
+    return grouped

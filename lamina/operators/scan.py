@@ -48,7 +48,7 @@ def states(rows: DataFrame, by: list[str], n: str, symbol: str, table: list[list
     """rows with before and after, the state before and after each row of a machine that reads the rows of each group in the order of n.
 
     table[symbol][state] is the next state (at most 256 states), start the first one. For each column of carry
-    (long) last_column is its last value so far that isn't null, the row's own included. backward: from the largest n to the smallest.
+    (long) last_column is its last value so far that isn't null, the row's own included, and prior_column the same without the row's own. backward: from the largest n to the smallest.
     n (long, not null, not below 0) is unique in a group; where it has gaps, blocks hold fewer rows.
 
     Each block of rows becomes a map from every state that it may be entered in to the one that it is left in; maps are
@@ -128,9 +128,9 @@ def states(rows: DataFrame, by: list[str], n: str, symbol: str, table: list[list
             state = state if s is None else table[s][state]
             found.append((before, state))
         columns = [part[c].combine_chunks() for c in kept] + [pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)]
-        columns += [_before(part[c].cast(pa.int64()), part[f"_e{a}"][0].as_py(), True) for c, a in zip(carry, carried)]
-        return pa.Table.from_arrays(columns, [*kept, "before", "after", *[f"last_{c}" for c in carry]])
+        columns += [_before(part[c].cast(pa.int64()), part[f"_e{a}"][0].as_py(), own) for own in (True, False) for c, a in zip(carry, carried)]
+        return pa.Table.from_arrays(columns, [*kept, "before", "after", *[f"{when}_{c}" for when in ("last", "prior") for c in carry]])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_block"]
-    out_schema = ", ".join([*fields, "before int", "after int", *[f"last_{c} long" for c in carry]])
+    out_schema = ", ".join([*fields, "before int", "after int", *[f"{when}_{c} long" for when in ("last", "prior") for c in carry]])
     return joined.groupBy(*keys).applyInArrow(replayed, out_schema)

@@ -27,7 +27,8 @@ SQL_LINES = r"""docs AS (
     CASE WHEN d % 9 <> 4 THEN ['Keywords: a, b'] ELSE [] END,
     [''],
     CASE WHEN d % 11 <> 3 THEN [repeat('*', (2 + d % 4)::INTEGER)] ELSE [] END,
-    list_transform(w[4:], lambda x, i: CASE WHEN i % 9 = 4 THEN '      ' || x[1:40] WHEN i % 9 = 5 THEN '      ' || x[1:30] || (d * 7 % 10) || ' ' || x[31:40]
+    list_transform(w[4:], lambda x, i: CASE WHEN i = 11 AND d % 3 > 0 THEN '      ' || (d % 423 + 1) || '. Manopubbaṅgamā dhammā, manoseṭṭhā manomayā,' WHEN i = 12 THEN '      manasā ce paduṭṭhena bhāsatī vā'
+      WHEN i = 13 AND d % 2 = 0 THEN '      The mind goes before all states' WHEN i % 9 = 4 THEN '      ' || x[1:40] WHEN i % 9 = 5 THEN '      ' || x[1:30] || (d * 7 % 10) || ' ' || x[31:40]
       WHEN i % 9 = 7 THEN x || (d * 3 % 10) ELSE x END),
     CASE WHEN d % 7 = 0 THEN ['12. The Chapter about X, Y - 345', chr(12) || '   129'] ELSE [] END,
     CASE WHEN d % 4 = 1 THEN ['   ' || (d % 10), '     BG: ' || coalesce(w[1], 'nothing')[1:30], '   continued here'] ELSE [] END,
@@ -56,8 +57,10 @@ def _lines(spark, d):
 
     def body(x, k):
         k = k + 1
+        verse = F.concat(F.lit("      "), text(i % 423 + 1), F.lit(". Manopubbaṅgamā dhammā, manoseṭṭhā manomayā,"))
+        quoted = F.when((k == 11) & (i % 3 > 0), verse).when(k == 12, "      manasā ce paduṭṭhena bhāsatī vā").when((k == 13) & (i % 2 == 0), "      The mind goes before all states")
         inner = F.concat(F.lit("      "), F.substring(x, 1, 30), text(i * 7 % 10), F.lit(" "), F.substring(x, 31, 10))
-        return F.when(k % 9 == 4, F.concat(F.lit("      "), F.substring(x, 1, 40))).when(k % 9 == 5, inner).when(k % 9 == 7, F.concat(x, text(i * 3 % 10))).otherwise(x)
+        return quoted.when(k % 9 == 4, F.concat(F.lit("      "), F.substring(x, 1, 40))).when(k % 9 == 5, inner).when(k % 9 == 7, F.concat(x, text(i * 3 % 10))).otherwise(x)
 
     verses = F.concat(F.lit("Dhp "), text(i % 423 + 1), F.when(i % 4 == 1, F.concat(F.lit("-"), text(i % 423 + 3))).when(i % 4 == 2, ".").otherwise(""))
     laid = F.flatten(F.array(
@@ -113,7 +116,7 @@ s5 AS (SELECT *, coalesce(inside AND last_value(CASE WHEN inside AND opens THEN
 s6 AS (SELECT *, min(CASE WHEN inside AND NOT noted AND regexp_matches(line, '^[ \t\f\r]{4,}\d{1,2}\. The (Chapter about|Miscellaneous Chapter)\b') THEN n END) OVER (PARTITION BY book, story) AS chapter_n,
   min(CASE WHEN inside AND NOT noted AND regexp_matches(line, '^[ \t\f\r]*Conclusion, Nigamanakathā') THEN n END) OVER (PARTITION BY book, story) AS colophon_n FROM s5),
 s7 AS (SELECT *, min(CASE WHEN n > chapter_n AND NOT noted AND regexp_matches(line, 'vagga[ \t\f\r]*$') THEN n END) OVER (PARTITION BY book, story) AS end_n FROM s6),
-parts AS (
+parts AS MATERIALIZED (
   SELECT book, n, line, story, CASE WHEN noted THEN max(CASE WHEN inside AND opens THEN n END) OVER (PARTITION BY book, story ORDER BY n) END AS note,
     CASE WHEN story IS NULL THEN 'none' WHEN n < meta_from THEN 'title' WHEN n = rating_n THEN 'rating' WHEN NOT inside THEN 'meta' WHEN noted THEN 'footnote'
       WHEN n < least(coalesce(chapter_n, n + 1), coalesce(colophon_n, n + 1)) THEN 'body' WHEN chapter_n IS NULL OR colophon_n < chapter_n THEN 'colophon'
@@ -161,3 +164,83 @@ def dom_book_stories(spark, d):
     m = m.select(F.col("book").alias("_book"), F.col("story").alias("_story"), *[c for c in m.columns if c not in ("book", "story")])
     rows = t.join(m, t["book"].eqNullSafe(m["_book"]) & (t["story"] == m["_story"])).drop("_book", "_story")
     return rows.join(counts, rows["book"].eqNullSafe(counts["_b"]) & (rows["story"] == counts["_s"])).drop("_b", "_s")
+
+
+SQL_NOTES = rf"""n0 AS (SELECT book, story, note, list(line ORDER BY n) AS t FROM parts WHERE part = 'footnote' GROUP BY book, story, note),
+notes AS (SELECT book, story, note, {SQL_BARE.format('t[1]')} AS marker, coalesce(nullif(regexp_extract(t[2], '^[ \t\f\r]*(AJ|BG):', 1), ''), 'unlabeled') AS author,
+  {SQL_WRAPPED.format(f"list_transform(list_concat([regexp_replace(t[2], '^[ {chr(92)}t{chr(92)}f{chr(92)}r]*((AJ|BG):)?', '')], t[3:]), lambda x: {SQL_BARE.format('x')})")} AS text FROM n0)"""
+
+
+@query(f"WITH {SQL_PARTS}, {SQL_NOTES} SELECT * FROM notes")
+def str_footnotes(spark, d):
+    """The footnotes of each story: number, author and text in one line."""
+    return B.footnotes(_parts(spark, d))
+
+
+#: DuckDB knows no look-behind; whether a number stands in a line as a footnote's needs none.
+SQL_HOLDS = r"""CASE WHEN contains({0}, {1}) THEN regexp_matches({0}, '((^|[^0-9])[.,]|[\p{{L}};:!?’”)\]–—])' || {1} || '([ \t\n\f\r.,;:!?’”)\]]|$)') ELSE false END"""
+
+
+@query(rf"""WITH RECURSIVE {SQL_PARTS}, {SQL_NOTES}, ks AS (SELECT book, story, row_number() OVER (PARTITION BY book ORDER BY story) - 1 AS k FROM (SELECT DISTINCT book, story FROM parts WHERE story IS NOT NULL)),
+markers AS (SELECT DISTINCT marker FROM notes),
+p AS MATERIALIZED (SELECT parts.*, k FROM parts JOIN ks USING (book, story)),
+kept AS MATERIALIZED (SELECT notes.*, k FROM notes JOIN ks USING (book, story) WHERE NOT EXISTS (
+  SELECT 1 FROM p WHERE p.book = notes.book AND p.story = notes.story AND p.part = 'colophon' AND {SQL_HOLDS.format('p.line', 'notes.marker')})),
+b0 AS MATERIALIZED (SELECT DISTINCT book, k, marker, 0 AS has, 1 AS found FROM p JOIN markers ON {SQL_HOLDS.format('p.line', 'marker')} WHERE part IN ('title', 'body') OR (part = 'meta' AND NOT regexp_matches(line, '^[ \t\f\r]*Keywords:'))),
+b1 AS MATERIALIZED (SELECT book, k, marker, max(has) AS has, max(found) AS found FROM (SELECT * FROM b0 UNION ALL SELECT book, k, marker, 1, 0 FROM kept) GROUP BY ALL),
+b2 AS MATERIALIZED (SELECT x.*, coalesce(a.has, 0) AS has_a, coalesce(a.found, 0) AS found_a, coalesce(z.has, 0) AS has_z, coalesce(z.found, 0) AS found_z, row_number() OVER (PARTITION BY x.book, x.marker ORDER BY x.k) AS r
+  FROM b1 x LEFT JOIN b1 a ON a.book = x.book AND a.marker = x.marker AND a.k = x.k - 1 LEFT JOIN b1 z ON z.book = x.book AND z.marker = x.marker AND z.k = x.k + 1),
+steps AS (
+  SELECT book, marker, r, k, 0 AS own_taken, CASE WHEN found = 0 OR has = 1 THEN 0 WHEN has_a = 1 AND found_a = 0 THEN 1 WHEN has_z = 1 AND found_z = 0 THEN 2 ELSE 0 END AS took FROM b2 WHERE r = 1
+  UNION ALL
+  SELECT y.book, y.marker, y.r, y.k, (y.k = s.k + 1 AND s.took = 2)::INTEGER AS own_taken,
+    CASE WHEN y.found = 0 OR (y.has = 1 AND NOT (y.k = s.k + 1 AND s.took = 2)) THEN 0 WHEN y.has_a = 1 AND y.found_a = 0 AND NOT (y.k = s.k + 1 AND s.own_taken = 1) THEN 1
+      WHEN y.has_z = 1 AND y.found_z = 0 THEN 2 ELSE 0 END AS took
+  FROM steps s JOIN b2 y ON y.book = s.book AND y.marker = s.marker AND y.r = s.r + 1
+), moves AS (SELECT book, marker, CASE took WHEN 1 THEN k - 1 ELSE k + 1 END AS k, k AS target FROM steps WHERE took > 0)
+SELECT kept.book, kept.story, kept.note, kept.marker, kept.author, kept.text, ks.story AS home FROM kept LEFT JOIN moves USING (book, marker, k) JOIN ks ON ks.book = kept.book AND ks.k = coalesce(moves.target, kept.k)""")
+def jn_notes_home(spark, d):
+    """Footnotes, each with the story whose text has its number: its own or a neighbour, by a machine over stories."""
+    parts = _parts(spark, d)
+    return B.returned(parts, B.footnotes(parts))
+
+
+_LETTERS = B.MARKED_LETTERS
+_ENGLISH = ", ".join(f"'{w}'" for w in B.ENGLISH)
+SQL_BODY = rf"""y0 AS (SELECT book, story, n, regexp_replace(regexp_replace(replace(line, chr(12), ''), ' ?(?:\{{[0-9]+\.[0-9]+\}}|\[[0-9]+(?:\.[0-9]+)?\])', '', 'g'), '\s+$', '') AS x FROM parts WHERE part = 'body'),
+y1 AS (SELECT book, story, n, length(regexp_extract(x, '^ *')) AS indent, regexp_replace(regexp_replace(x, '^ +', ''), ' {{2,}}', ' ', 'g') AS bare FROM y0 WHERE x <> ''),
+y2 AS (SELECT *, regexp_extract_all(lower(bare), '\p{{L}}+') AS ws FROM y1),
+y3 AS (SELECT *, len(list_filter(ws, lambda w: w IN ({_ENGLISH}))) AS e, len(list_filter(ws, lambda w: regexp_matches(w, '[{_LETTERS}]'))) AS p FROM y2),
+y4 AS (SELECT *, indent >= 3 AS indented, CASE WHEN e = 0 AND p = 0 THEN 'unknown' WHEN p > e THEN 'pali' ELSE 'english' END AS tongue, regexp_extract(bare, '^(\d{{1,3}})\.\s+\S', 1) AS num,
+  regexp_extract(bare, '^\d{{1,3}}\.\s+(\S.*)$', 1) AS tail FROM y3)"""
+
+
+@query(rf"""WITH {SQL_PARTS}, {SQL_BODY},
+z0 AS (SELECT *, indented AND (length(bare) < 55 OR num <> '' OR tongue = 'pali') AS verse FROM y4),
+z1 AS (SELECT *, lead(n) OVER w IS NULL AS last, lead(indent) OVER w AS indent2, lead(length(bare)) OVER w AS length2, lead(tongue) OVER w AS tongue2, lead(verse) OVER w AS verse2, lead(indented) OVER w AS indented2
+  FROM z0 WINDOW w AS (PARTITION BY book, story ORDER BY n)),
+z2 AS (SELECT *, verse AND NOT coalesce(NOT regexp_matches(bare, '[.,;:!?–—’”]$') AND indent2 = indent AND length2 >= 60 AND tongue2 <> 'pali', false) AS alone,
+  last OR (regexp_matches(bare, '[.!?:;”’)–]$') AND (length(bare) < 62 - indent OR verse2 OR indented2 <> indented)) AS ends FROM z1),
+z3 AS (SELECT *, coalesce(last_value(CASE WHEN ends THEN 0 WHEN NOT alone THEN 1 END IGNORE NULLS) OVER (PARTITION BY book, story ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM z2),
+z4 AS (SELECT *, alone AND open = 0 AS kept FROM z3),
+z5 AS (SELECT *, CASE WHEN kept THEN NOT coalesce(lag(kept) OVER (PARTITION BY book, story ORDER BY n), false) ELSE open = 0 END AS starts FROM z4),
+z6 AS (SELECT *, max(CASE WHEN starts THEN n END) OVER (PARTITION BY book, story ORDER BY n) AS first_line FROM z5)
+SELECT book, story, first_line, CASE WHEN bool_or(kept) THEN 'verse' ELSE 'paragraph' END AS kind,
+  CASE WHEN bool_or(kept) THEN string_agg(bare, chr(10) ORDER BY n) ELSE {SQL_WRAPPED.format(f"list({SQL_BARE.format('bare')} ORDER BY n)")} END AS text FROM z6 GROUP BY book, story, first_line""")
+def str_reflow(spark, d):
+    """Bodies as paragraphs and verses: wrapped lines are joined, lines of verse stay."""
+    return B.reflow(_parts(spark, d))
+
+
+@query(rf"""WITH {SQL_PARTS}, {SQL_BOOK_TITLES}, {SQL_BODY},
+v0 AS (SELECT y4.*, num <> '' AND try_cast(num AS BIGINT) BETWEEN first_verse AND last_verse AND length(regexp_replace(tail, '[^\p{{L}}]', '', 'g')) >= 8
+  AND length(regexp_replace(lower(tail), '[^{_LETTERS}]', '', 'g')) > 0.1 * length(regexp_replace(tail, '[^\p{{L}}]', '', 'g')) AS match
+  FROM y4 JOIN titles t ON t.story = y4.story AND t.book IS NOT DISTINCT FROM y4.book),
+v1 AS (SELECT *, min(CASE WHEN match THEN n END) OVER (PARTITION BY book, story) AS start_n FROM v0),
+v2 AS (SELECT *, min(CASE WHEN n > start_n AND NOT (indented AND num = '' AND tongue <> 'english') THEN n END) OVER (PARTITION BY book, story) AS end_n FROM v1),
+v3 AS (SELECT *, min(CASE WHEN n >= end_n AND NOT (indented AND tongue <> 'pali') THEN n END) OVER (PARTITION BY book, story) AS stop_n FROM v2)
+SELECT book, story, max(CASE WHEN n = start_n THEN num::BIGINT END) AS number, string_agg(CASE WHEN n = start_n THEN tail ELSE bare END, ' ' ORDER BY n) FILTER (n < coalesce(end_n, n + 1)) AS original,
+  string_agg(bare, ' ' ORDER BY n) FILTER (n >= end_n AND n < coalesce(stop_n, n + 1)) AS translation FROM v3 WHERE n >= start_n GROUP BY book, story""")
+def str_verse_blocks(spark, d):
+    """The first of its own verses that each story quotes: number, original and translation."""
+    return B.verses(_parts(spark, d))
