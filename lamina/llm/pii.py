@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from lamina.llm.shared import attach, keyed, rows_with, stored
 
+# Words of a name, with apostrophes (O'Brien, d'Arc), initials, hyphens and what stands between them in lower case. Their number has no bound.
+PARTICLES = "af|al|av|bin|da|dal|das|de|degli|dei|del|della|den|der|des|di|do|dos|du|el|ibn|la|las|le|los|ten|ter|van|vom|von|y|zu|zum|zur"
+WORD = r"(?:[dl]['’])?\p{Lu}(?:\p{L}|['’](?=\p{Lu}))*+"
+NAME = rf"(?:(?:{PARTICLES}) )*+(?:\p{{Lu}}\. ?(?=\p{{Lu}}))*+{WORD}(?:[ -](?:(?:{PARTICLES}) )*+(?:\p{{Lu}}\. ?(?=\p{{Lu}}))*+{WORD})*+"
 # What counts as an entity, as Java patterns in order of preference. Each begins only where a word
 # or number can begin, and its repeats are possessive or of a fixed format, so that a search takes linear time.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"\b(?:(?i:password|passwd|pwd|token|secret|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9+/_-]{8,}+(?:[.~][A-Za-z0-9+/_-]++)*+=*+[\"']?|AKIA[A-Z0-9]{16}+\b)",
     "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?[\p{L}\p{N}])",
-    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\p{L}\p{N}:])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d{2,4}[ /-]\d{3,4}[ -]\d{3,4}|0\d(?:[ .]\d{2}){4})(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?:(?: ?[a-z]{4})?(?: ?\d{4}){2,7}+(?: ?\d{1,3})?|[a-z0-9]{11,30}+))(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19}+)(?![\p{L}\p{N}])",
-    "female": r"\b(?:Mrs|Ms|Miss|Mme|Madame|Mademoiselle|Frau|Sra|Señora|Señorita|Doña|г-жа|κυρία)\b\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
-    "male": r"\b(?:Mr|Monsieur|Herrn?|Sr|Señor|Don|г-н|κύριος)\b\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}",
+    "female": r"\b(?:Mrs|Ms|Miss|Mme|Madame|Mademoiselle|Frau|Sra|Señora|Señorita|Doña|г-жа|κυρία)\b\.? " + NAME,
+    "neutral": r"\b(?:Dr|Prof|Professor|Professorin|Doktor|Docteur|Doctor|Doctora)\b\.? " + NAME,
+    "male": r"\b(?:Mr|Monsieur|Herrn?|Sr|Señor|Don|г-н|κύριος)\b\.? " + NAME,
 }
 # Syllables and endings of made-up names by script and gender.
 SYLLABLES = {
@@ -29,21 +34,25 @@ SYLLABLES = {
 }
 ENDINGS = {("Cyrillic", "female"): "на", ("Cyrillic", "male"): "н", ("Greek", "female"): "α", ("Greek", "male"): "ος", ("Latin", "female"): "na", ("Latin", "male"): "n"}
 # What comes before the part of a mention that is replaced.
-KEEP = {"secret": r"^(?:AKIA|\w+(?:-\w+)?\s*[=:]\s*[\"']?)", "female": r"^[^ ]+ ", "male": r"^[^ ]+ "}
-PERSONS = ("female", "male")
+KEEP = {"secret": r"^(?:AKIA|\w+(?:-\w+)?\s*[=:]\s*[\"']?)", "female": r"^[^ ]+ ", "male": r"^[^ ]+ ", "neutral": r"^[^ ]+ "}
+PERSONS = ("female", "neutral", "male")
 
 #: What the first characters of a kind look like: a quick test before the pattern itself.
 GATES = {
-    "secret": "(?=[PpTtSsAa])", "ip": "(?=[0-9])", "ipv6": "(?=[0-9A-Fa-f]{1,4}:)", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])",
-    "iban": "(?=[A-Z]{2}[0-9])", "card": "(?=[0-9])", "female": "(?=[MFSDгκ])", "male": "(?=[MHSDгκ])",
+    "secret": "(?=[PpTtSsAa])", "ip": "(?=[0-9])", "ipv6": "(?=[0-9A-Fa-f]{0,4}:)", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])",
+    "iban": "(?=[A-Za-z]{2}[0-9])", "card": "(?=[0-9])", "female": "(?=[MFSDгκ])", "neutral": "(?=[DP])", "male": "(?=[MHSDгκ])",
 }
 ANY = "|".join(f"{GATES.get(k, '')}(?:{p})" for k, p in PATTERNS.items())
 #: What every mention has some of: a text without it has none.
-NEEDED = r"[0-9@=:]|AKIA|M(?:rs?|s|iss|me|adame|ademoiselle|onsieur)\b|Frau|Herr|Sr|Señor|Do[nñ]|г-|κ[υύ]ρ"
+NEEDED = r"[0-9@=:]|AKIA|M(?:rs?|s|iss|me|adame|ademoiselle|onsieur)\b|Frau|Herr|Sr|Señor|Do[nñkc]|Dr|Prof|г-|κ[υύ]ρ"
 #: Rounds of new surrogates for entities whose surrogate another entity has; rounds after which names of hosts and mailboxes get longer.
 MAX_ROUNDS, GROWING = 30, 6
 
 
+#: What parts the words of a name.
+GAP = r"[ -]|(?<=\.)(?=\p{L})"
+
+
 def _by_type(kind: Column, cases: dict[str, Column], default: Column) -> Column:
     out = default
     for name, value in reversed(cases.items()):
@@ -73,14 +82,15 @@ def _entities(kind: Column, body: Column) -> Column:
     """
     one = lambda k, name: F.struct(k.alias("kind"), name.alias("name"))
     digits = F.regexp_replace(body, r"\D", "")
-    words = F.split(F.lower(body), "[ -]")
+    words = F.split(F.lower(body), GAP)
 
     def person(gender: str) -> Column:
-        return F.transform(words, lambda w, i: one(F.when((i == 0) & (F.size(words) > 1), f"given-{gender}").otherwise("surname"), w))
+        kinds = lambda w, i: F.when(w.rlike(f"^(?:{PARTICLES})?$"), "other").when((i == 0) & (F.size(words) > 1), f"given-{gender}").otherwise("surname")
+        return F.transform(words, lambda w, i: one(kinds(w, i), w))
 
     name = _by_type(
         kind,
-        {"phone": F.regexp_replace(digits, r"^1(?=\d{10}$)", ""), "card": digits, "ssn": digits, "ipv6": F.lower(body), "iban": F.regexp_replace(body, " ", "")},
+        {"phone": F.regexp_replace(digits, r"^1(?=\d{10}$)", ""), "card": digits, "ssn": digits, "ipv6": F.lower(body), "iban": F.upper(F.regexp_replace(body, " ", ""))},
         body,
     )
     address = F.array(one(F.lit("mailbox"), F.lower(body)), one(F.lit("domain"), F.lower(F.substring_index(body, "@", -1))))
@@ -175,7 +185,9 @@ def _word(name: Column, ending: str, stream: Column, attempt: Column) -> Column:
     def made(script: str) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script].split()))
         word = F.transform(F.sequence(F.lit(1), 4 + attempt), lambda j: F.element_at(parts, F.conv(F.substring(stream, j, F.lit(1)), 16, 10).cast("int") + 1))
-        return F.concat(F.array_join(word, ""), F.lit(ENDINGS[script, ending] if ending else ""))
+        # a surname that has a woman's ending keeps one
+        last = F.lit(ENDINGS[script, ending]) if ending else F.when(name.rlike("[ая]$"), "ва").otherwise("") if script == "Cyrillic" else F.lit("")
+        return F.concat(F.array_join(word, ""), last)
 
     return F.coalesce(*[F.when(name.rlike(rf"\p{{Is{s}}}"), made(s)) for s in SYLLABLES], made("Latin"))
 
@@ -194,7 +206,7 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
         "iban": _iban(name, stream),
         "card": _card(name, stream),
         "surname": _word(name, "", stream, attempt),
-        **{f"given-{g}": _word(name, g, stream, attempt) for g in PERSONS},
+        **{f"given-{g}": _word(name, "" if g == "neutral" else g, stream, attempt) for g in PERSONS},
     }
     return _by_type(kind, cases, name)
 
@@ -244,14 +256,16 @@ def _cased(like: Column, made: Column) -> Column:
 def _formatted(kind: Column, mention: Column, made: Column) -> Column:
     """The surrogates (made, an array) in the form of the mention."""
     body, first = _body(kind, mention), made[0]
-    words = F.zip_with(F.split(body, "[ -]"), made, lambda old, new: F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new)))
-    name = F.array_join(F.zip_with(words, F.regexp_extract_all(body, F.lit("[ -]"), F.lit(0)), lambda w, gap: F.concat(w, F.coalesce(gap, F.lit("")))), "")
+    initial = lambda new: F.concat(F.upper(F.substring(new, 1, 1)), F.lit("."))
+    form = lambda old, new: F.when(old.rlike(r"^\p{L}\.$"), initial(new)).when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
+    words = F.zip_with(F.split(body, GAP), made, lambda old, new: F.coalesce(form(old, new), old))
+    name = F.array_join(F.zip_with(words, F.regexp_extract_all(body, F.lit(GAP), F.lit(0)), lambda w, gap: F.concat(w, F.coalesce(gap, F.lit("")))), "")
     address = F.concat(F.substring_index(first, "@", 1), F.lit("@"), made[1])
     new = _by_type(
         kind,
         {
             **dict.fromkeys(("phone", "card", "ssn"), _filled(body, first, "0-9")),
-            "iban": _filled(body, first, "A-Z0-9"),
+            "iban": F.when(body == F.lower(body), F.lower(_filled(F.upper(body), first, "A-Z0-9"))).otherwise(_filled(body, first, "A-Z0-9")),
             "ipv6": _cased(body, first),
             "email": _cased(body, address),
             **dict.fromkeys(PERSONS, name),
@@ -265,7 +279,7 @@ def _formatted(kind: Column, mention: Column, made: Column) -> Column:
 def replace_pii(docs: DataFrame, key: str = "lamina") -> DataFrame:
     """doc_id, text and n_entities (mentions) of each row, with every detected entity replaced by its surrogate.
 
-    Kinds are those of PATTERNS; names count after a title only. A surrogate depends on the key, the kind and the entity
+    Kinds are those of PATTERNS; names count after a title only, with all their words, initials and particles (which stay). A surrogate depends on the key, the kind and the entity
     alone: the same entity gets the same one in every document and form (letter case of an address, punctuation of a
     number), different entities get different ones, and none is an entity of the data. Each word of a name is an entity,
     and an address is two, its mailbox and its domain: one surname, and one domain, is replaced alike wherever it stands,
@@ -303,7 +317,8 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     found = stored(found.withColumn("of", _entities(F.col("kind"), _body(F.col("kind"), F.col("mention")))), "mentions")
     parts = found.select("k1", "k2", "pos", F.posexplode("of").alias("j", "one")).select("k1", "k2", "pos", "j", "one.kind", "one.name")
     table = entities(parts.select("kind", "name"), key)
-    made = attach(parts, table, ["kind", "name"], "n", ["surrogate"], ["k1", "k2", "pos", "j"])
+    made = attach(parts.where("kind <> 'other'"), table, ["kind", "name"], "n", ["surrogate"], ["k1", "k2", "pos", "j"])
+    made = made.unionByName(parts.where("kind = 'other'").withColumn("surrogate", F.lit(None).cast("string")))
     made = made.groupBy("k1", "k2", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
     made = found.join(made, ["k1", "k2", "pos"]).withColumn("new", _formatted(F.col("kind"), F.col("mention"), F.col("made")))
     by_row = made.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("made"), F.first("copies").alias("copies"))
