@@ -11,18 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.shared import stored
-from lamina.llm.tokens import encoded
+from lamina.llm.tokens import KEPT, encoded
 
 SEQUENCE = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, spaced: bool, end_id: int, kept: int = KEPT) -> DataFrame:
     """First pass: part, doc_id, start (ids before it in its partition), ids (little-endian) and n_tokens, in the shared folder."""
 
     def run(batches):
         part, total = TaskContext.get().partitionId(), 0
-        for rows, ids, at in encoded(batches, path, spaced, end_id):
+        for rows, ids, at in encoded(batches, path, spaced, end_id, kept=kept):
             wide = ids.itemsize
             blob = pa.BinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * wide).astype("int64")), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays(
@@ -35,7 +35,7 @@ def tokenised(docs: DataFrame, path: str, spaced: bool, end_id: int) -> DataFram
     return stored(rows.mapInArrow(run, "part long, doc_id long, start long, ids binary, n_tokens long, wide long"), "tokens")
 
 
-def pack(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 1, length: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 1, length: int = SEQUENCE, kept: int = KEPT) -> DataFrame:
     """One row per piece of a document in a sequence: PIECES.
 
     The first pass tokenises every partition once and keeps its ids with their offsets in the partition. A prefix
@@ -46,11 +46,13 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end_id: int = 1, lengt
 
     Only the partitions' totals meet in one task and are broadcast: a row of 16 bytes for each task of the scan.
 
+    kept bounds the pieces whose ids a Python worker holds: about 250 bytes each; fewer are encoded more often.
+
     Defined cases: a null text counts as empty, an empty one is its end id alone; the name of a special token in a text
     is plain text; a long text goes through as many sequences as it takes; null and repeated doc_ids are rows like
     others; an empty table gives an empty result; other columns of docs are ignored.
     """
-    table = tokenised(docs, path, spaced, end_id)
+    table = tokenised(docs, path, spaced, end_id, kept)
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))

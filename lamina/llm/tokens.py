@@ -189,9 +189,14 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
             yield batch.slice(a, b - a)
 
 
-def encoded(batches, path: str, spaced: bool, end_id: int, column: str = "text"):
+#: Pieces whose ids a Python worker keeps, at most.
+KEPT = 1_000_000
+
+
+def encoded(batches, path: str, spaced: bool, end_id: int, column: str = "text", kept: int = KEPT):
     """For slices of the batches: the slice, ids and offsets, with end_id after each text. A null text counts as empty."""
     one = encoder(path, spaced)
+    one.most = kept
     one.known = worker_cache(path)
     for batch in batches:
         for part in blocks(batch, column):
