@@ -13,6 +13,8 @@ from lamina.llm import jaccard, line_dedup, packing, pii, toxicity
 from lamina.llm.shared import stored
 
 TOXIC_FROM = 0.7
+#: Pieces whose ids a Python worker keeps in the last stage: by then the executors' JVMs have grown to their full size.
+PIECES_KEPT = 250_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: a row for each piece of a document in one."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=PIECES_KEPT)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("pii", replace_private), ("packing", pack)]
