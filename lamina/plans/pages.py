@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import lines as L
+from lamina.operators import interlinear as I
 from lamina.operators import joins as J
 from lamina.operators import pages as P
 from lamina.registry import query, table
@@ -74,3 +75,28 @@ def jn_prefer_own(spark, d):
     """A host's page in the preferred language, else its first."""
     rows = table(spark, d, "pages").select(P.host(F.col("url")).alias("host"), "page_id", F.regexp_extract("html", '(?i)<html lang="([a-z]+)"', 1).alias("lang"), F.contains("url", F.lit("/en/")).alias("own"))
     return J.prefer(rows, "host", [F.desc("own"), F.col("page_id")]).select("host", "page_id", "lang")
+
+
+@query(rf"""WITH {SQL_PARTS}, q AS (SELECT page_id, i, string_split(t[i + 1], ' ') AS w FROM p, range(0, len(t)) r(i)),
+x AS (SELECT page_id, i, array_to_string(w[1:2], '') AS bold, array_to_string(w[3:], ' ') AS plain, CASE WHEN i % 3 = 1 THEN 'Note on ' || w[1] WHEN i % 7 = 2 THEN '*' END AS note,
+  CASE WHEN i % 2 = 1 THEN page_id * 100 + i END AS number FROM q WHERE i % 5 <> 4),
+y AS (SELECT *, min(number) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS record FROM x)
+SELECT page_id, record::BIGINT AS number, string_agg(bold, ' ' ORDER BY i) AS bold, coalesce(string_agg(nullif(plain, ''), ' ' ORDER BY i), '') AS plain, coalesce(string_agg(note, '|' ORDER BY i), '') AS notes
+FROM y WHERE record IS NOT NULL GROUP BY page_id, record""")
+def str_interlinear(spark, d):
+    """Records of interlinear pages that are made from the paragraphs of each page: bold words, the rest, notes, numbers that close a record."""
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.col("page_id")
+
+    def line(t, i):
+        w = F.split(escaped(t), " ")
+        bold = F.concat(F.lit("<b><i>"), w[0], F.lit("</i>"), F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.lit("</b><br>\n "))
+        plain = F.array_join(F.slice(w, 3, F.size(w)), " ")
+        note = F.when(i % 3 == 1, F.concat(F.lit('<span class="x TT">*<span><i>Note</i> on '), w[0], F.lit("</span> more</span>"))).when(i % 7 == 2, '<span class="TT">*</span>').otherwise("")
+        number = F.when(i % 2 == 1, F.concat(F.lit(' <span class="number">['), (page * 100 + i).cast("string"), F.lit("]</span>"))).otherwise("")
+        text = F.when(i % 5 == 4, plain).otherwise(F.concat(bold, plain, note, number))
+        return F.concat(F.lit('<div class="verse'), i.cast("string"), F.lit('"><p>'), text, F.when(i % 2 == 0, "</p>").otherwise(""), F.lit("</div>"))
+
+    html = F.array_join(F.transform(P.paragraphs(F.col("html")), line), "\n")
+    found = table(spark, d, "pages").select("page_id", F.explode(I.records(html)).alias("r"))
+    return found.select("page_id", "r.number", "r.bold", "r.plain", F.array_join("r.notes", "|").alias("notes"))
