@@ -75,8 +75,8 @@ def codes(text: Column, pattern: str) -> Column:
 
 
 def _outside(entries: Column, name: str, pattern: str) -> Column:
-    mine = F.filter(entries, lambda e: e["key"] == name)
-    return F.transform(mine, lambda e: _finding(e["key"], F.concat(F.lit("charset "), F.nullif(codes(e["value"]["value"], pattern), F.lit("")))))
+    mine = F.filter(entries, lambda e: (e["key"] == name) & e["value"]["value"].rlike(pattern))
+    return F.transform(mine, lambda e: _finding(e["key"], F.concat(F.lit("charset "), codes(e["value"]["value"], pattern))))
 
 
 def badly_encoded(fields: Column, charsets: dict[str, str]) -> Column:
@@ -88,16 +88,15 @@ def badly_encoded(fields: Column, charsets: dict[str, str]) -> Column:
     odd = F.filter(entries, lambda e: e["value"]["value"].rlike(r"[^\x00-\x{2FF}]"))
     raw = _not_composed(F.transform(odd, lambda e: e["key"]), F.transform(odd, lambda e: e["value"]["value"]))
     plain = F.transform(raw, lambda n: _finding(n, F.lit("not composed")))
-    controls = F.transform(entries, lambda e: _finding(e["key"], F.concat(F.lit("control "), F.nullif(codes(e["value"]["value"], CONTROLS), F.lit("")))))
-    parts = [plain, controls]
-    parts += [_outside(entries, name, pattern) for name, pattern in charsets.items()]
-    return F.coalesce(F.filter(F.concat(*parts), lambda x: x["problem"].isNotNull()), _none())
+    ruled = F.filter(entries, lambda e: e["value"]["value"].rlike(CONTROLS))
+    controls = F.transform(ruled, lambda e: _finding(e["key"], F.concat(F.lit("control "), codes(e["value"]["value"], CONTROLS))))
+    return F.coalesce(F.concat(plain, controls, *[_outside(entries, name, pattern) for name, pattern in charsets.items()]), _none())
 
 
 def odd_segments(path: str, text: Column, split: str, vowels: str, least: int, most: int) -> Column:
-    """Segments of a text, numbered from 0 among those that aren't blank, with fewer or more vowels than a line of verse has."""
-    parts = F.filter(F.transform(F.split(text, split), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    counted = F.transform(parts, lambda s, i: F.struct(i.alias("i"), F.regexp_count(s, F.lit(vowels)).alias("n")))
+    """Segments of a text, numbered from 0 among those that aren't blank, with fewer or more vowels (of the characters given) than a line of verse has."""
+    parts = F.filter(F.split(text, split), lambda s: s.rlike(r"\S"))
+    counted = F.transform(parts, lambda s, i: F.struct(i.alias("i"), (F.length(s) - F.length(F.translate(s, vowels, ""))).alias("n")))
     odd = F.filter(counted, lambda x: (x["n"] < least) | (x["n"] > most))
     return F.coalesce(F.transform(odd, lambda x: _finding(F.concat(F.lit(f"{path}["), x["i"].cast("string"), F.lit("]")), F.concat(x["n"].cast("string"), F.lit(" vowels")))), _none())
 
@@ -105,7 +104,8 @@ def odd_segments(path: str, text: Column, split: str, vowels: str, least: int, m
 def title_absent(path: str, title: Column, body: Column, least: int = 5) -> Column:
     """A title with words of least letters or more, of which the body has none."""
     words = F.filter(F.split(F.regexp_replace(F.lower(title), r"[^\p{L}\s]", " "), r"\s+"), lambda w: F.length(w) >= least)
-    absent = (F.size(words) > 0) & ~F.exists(words, lambda w: F.contains(F.lower(body), w))
+    # as the variable of a lambda, the body is folded once, not once for each word
+    absent = (F.size(words) > 0) & ~F.transform(F.array(F.lower(body)), lambda b: F.exists(words, lambda w: F.contains(b, w)))[0]
     return F.when(absent, F.array(_finding(F.lit(path), F.array_join(words, " ")))).otherwise(_none())
 
 

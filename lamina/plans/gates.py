@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamina.functions import text as T
 from lamina.operators import gates as G
 from lamina.registry import query, table
+from lamina.sources import index_table as I
+from lamina.sources.scratch import scratch_path
 
 # The bounds of a segment's vowels, where segments end, and the letters and marks that a checked field may hold.
-LEAST_VOWELS, MOST_VOWELS, SEGMENT_END, VOWELS = 4, 18, "[,;:–?!.]", "[aāiīuūeoĕŏAĀIĪUŪEOĔŎ]"
+LEAST_VOWELS, MOST_VOWELS, SEGMENT_END, VOWELS = 4, 18, "[,;:–?!.]", "aāiīuūeoĕŏAĀIĪUŪEOĔŎ"
 CHARSET = r"[^a-zA-ZāīūṁṃṅñṭḍṇḷĕŏĀĪŪṀṂṄÑṬḌṆḶĔŎ\s.,;:?!()'‘’“”—–-]"
 OWNERS = {"text": "main", "note": "side"}
 
@@ -76,3 +79,32 @@ def gate_closure(spark, d):
     """Customers that no order covers, or several do, and orders of customers that aren't expected."""
     covered = table(spark, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("key"))
     return G.closure(covered, table(spark, d, "customer").where("c_custkey % 11 > 0").select(F.col("c_custkey").alias("key")), "key")
+
+
+#: The most words of a text that an encoder takes.
+MOST_WORDS = 512
+
+
+@query(f"""SELECT doc_id AS key, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> ''))::BIGINT AS length FROM documents
+WHERE len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) > {MOST_WORDS}""")
+def src_too_long(spark, d):
+    """Texts that an encoder would cut: an index over these rows is refused."""
+    return I.too_long(table(spark, d, "documents"), "doc_id", F.size(T.tokens(F.col("text"))), MOST_WORDS)
+
+
+@query("""WITH u AS (SELECT doc_id AS key, 1 AS texts, 0 AS labels, 0 AS vectors FROM documents UNION ALL SELECT doc_id, 0, 1, 0 FROM labels UNION ALL SELECT vec_id, 0, 0, 1 FROM embeddings),
+c AS (SELECT key, sum(texts)::BIGINT AS texts, sum(labels)::BIGINT AS labels, sum(vectors)::BIGINT AS vectors FROM u GROUP BY key) SELECT * FROM c WHERE texts <> 1 OR labels <> 1 OR vectors <> 1""")
+def src_artifact_keys(spark, d):
+    """Keys that aren't exactly once in texts, labels and vectors."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return I.mismatches({"texts": table(spark, d, "documents"), "labels": table(spark, d, "labels"), "vectors": vectors}, "doc_id")
+
+
+@query("""WITH i AS (SELECT vec_id, label FROM embeddings), k AS (SELECT DISTINCT doc_id AS vec_id FROM documents WHERE doc_id % 50 = 0 UNION SELECT DISTINCT -o_custkey FROM orders)
+SELECT k.vec_id, CASE WHEN i.vec_id IS NULL THEN 'missing' ELSE 'found' END AS state, i.label FROM k LEFT JOIN i ON i.vec_id = k.vec_id""")
+def snk_index_lookup(spark, d):
+    """Labels by vector from a written index: numbers of documents divisible by 50, and some that no vector has."""
+    path = scratch_path(spark, "index")
+    I.write_index(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", path, buckets=8)
+    asked = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("k"))
+    return I.Index(spark, path).join(asked.union(table(spark, d, "orders").select((-F.col("o_custkey")).alias("k"))))
