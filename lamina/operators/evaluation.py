@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +59,34 @@ def bootstrap(rows: DataFrame, n_resamples: int, seed: str) -> DataFrame:
     return whole.crossJoin(s.select(F.col("s")[int(0.025 * n_resamples)].alias("low"), F.col("s")[int(0.975 * n_resamples)].alias("high")))
 
 
+#: The smallest of 2^32 hash values that has a Poisson variate (of mean 1) above 0, above 1 and so on.
+POISSON = [t for k in range(16) if (t := math.ceil(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))) < 2**32]
+
+
+def poisson_bootstrap(units: DataFrame, key: str, n_resamples: int, seed: str) -> DataFrame:
+    """mean, low and high as of bootstrap, but each resample takes a unit as often as a Poisson variate of mean 1 says, which is a hash of resample and key.
+
+    No unit needs a number and no draw looks for its unit, so that nothing is numbered, sorted or joined: a task weighs its own units and adds up
+    n_resamples pairs of sums, and only those are shuffled. Resamples vary in size, by which the interval is that of the ordinary bootstrap for many units.
+    units: key, num, den (whole numbers). A hash serves four resamples. Defined cases: no units: 0.0 for all three; a resample without weight: 0.0; units of
+    one key share their weights; null keys are one key.
+    """
+    groups = -(-n_resamples // 4)
+    hashed = units.select("num", "den", F.col(key).cast("string").alias("_key")).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    h = F.md5(F.concat_ws(":", "_g", "_key", F.lit(seed)))
+    value = [F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("long") for j in range(4)]
+    drawn = hashed.select("_g", "num", "den", *[v.alias(f"_v{j}") for j, v in enumerate(value)])
+    weight = [reduce(lambda a, b: a + b, [(F.col(f"_v{j}") >= t).cast("long") for t in POISSON]) for j in range(4)]
+    weighed = drawn.select("_g", "num", "den", *[w.alias(f"_w{j}") for j, w in enumerate(weight)])
+    sums = weighed.groupBy("_g").agg(*[F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"_{c}{j}") for j in range(4) for c in ("num", "den")])
+    four = F.explode(F.array(*[F.struct((4 * F.col("_g") + j).alias("b"), F.col(f"_num{j}").alias("num"), F.col(f"_den{j}").alias("den")) for j in range(4)]))
+    ratio = F.when(F.col("r.den") == 0, 0.0).otherwise(F.round(F.col("r.num") / F.col("r.den"), 9))
+    means = sums.select(four.alias("r")).where(F.col("r.b") < n_resamples).select(ratio.alias("m")).agg(F.array_sort(F.collect_list("m")).alias("s"))
+    whole = units.agg(F.when(F.coalesce(F.sum("den"), F.lit(0)) == 0, 0.0).otherwise(F.round(F.sum("num") / F.sum("den"), 9)).alias("mean"))
+    at = lambda q: F.coalesce(F.get("s", F.lit(int(q * n_resamples))), F.lit(0.0))
+    return whole.crossJoin(means.select(at(0.025).alias("low"), at(0.975).alias("high")))
+
+
 def confusion(pairs: DataFrame, labels: list) -> DataFrame:
     """gold, predicted and n for every pair of labels, zeros too. pairs: gold, predicted."""
     spark = pairs.sparkSession

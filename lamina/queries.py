@@ -250,6 +250,28 @@ def boot_cluster_conversations(spark, d):
     return E.bootstrap(E.numbered(sums, [], ["c"]).select("i", "num", "den"), 2000, "cluster")
 
 
+SQL_POISSON = f"""h AS (SELECT g, md5(concat_ws(':', g, c, '{{seed}}')) AS h, num, den FROM r, range(0, 500) t(g)),
+v AS (SELECT 4 * g + j AS b, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT AS v, num, den FROM h, range(0, 4) u(j)),
+w AS (SELECT b, {' + '.join(f'(v >= {t})::INTEGER' for t in E.POISSON)} AS w, num, den FROM v),
+m AS (SELECT b, CASE WHEN sum(w * den) = 0 THEN 0 ELSE round(sum(w * num)::DOUBLE / sum(w * den), 9) END AS m FROM w GROUP BY b),
+s AS (SELECT list_sort(list(m)) AS s FROM m)
+SELECT (SELECT round(sum(num)::DOUBLE / sum(den), 9) FROM r) AS mean, s[51] AS low, s[1951] AS high FROM s"""
+
+
+@query(f"""WITH r AS (SELECT conv_id AS c, sum((role = 'user')::INTEGER) AS num, count(*) AS den FROM conversations GROUP BY c), {SQL_POISSON.format(seed='cluster')}""")
+def boot_poisson_conversations(spark, d):
+    """As boot_cluster_conversations, with weights in place of draws: no draw is a row that is shuffled."""
+    user = F.count_if(F.col("role") == "user")
+    return E.poisson_bootstrap(table(spark, d, "conversations").groupBy(F.col("conv_id").alias("c")).agg(user.alias("num"), F.count("*").alias("den")), "c", 2000, "cluster")
+
+
+@query(f"""WITH r AS (SELECT doc_id AS c, sum((quality = 1)::INTEGER - (toxic = 1)::INTEGER)::BIGINT AS num, count(*) AS den FROM labels GROUP BY c), {SQL_POISSON.format(seed='delta')}""")
+def boot_poisson_delta(spark, d):
+    """Interval of the mean difference of two 0/1 marks, paired by document: 2,000 weighted resamples."""
+    paired = F.sum((F.col("quality") == 1).cast("long") - (F.col("toxic") == 1).cast("long"))
+    return E.poisson_bootstrap(table(spark, d, "labels").groupBy(F.col("doc_id").alias("c")).agg(paired.alias("num"), F.count("*").alias("den")), "c", 2000, "delta")
+
+
 ROLES = ["user", "assistant", "system"]
 
 
