@@ -85,7 +85,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: str) -> DataFrame:
                 bucket, of = ngrams(part["text"])
                 n = np.bincount(of, minlength=part.num_rows)
                 weight = np.bincount(of, ratio[bucket], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["by"], part["u"], pa.array(weight), pa.array(n.astype("int64"))], ["doc_id", "by", "u", "log_weight", "n_grams"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["by"], part["u"], pa.array(weight, pa.float64()), pa.array(n.astype("int64"))], ["doc_id", "by", "u", "log_weight", "n_grams"])
 
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + 0.5) / float(1 << 53)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", "doc_id").alias("by"), uniform.alias("u"), "text")
