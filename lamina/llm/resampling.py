@@ -114,9 +114,11 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part)), pa.array(np.arange(n + 1, n + 1 + batch.num_rows))], [*batch.schema.names, "part", "place"])
             n += batch.num_rows
 
-    order = [F.desc("gumbel_key"), F.col("doc_id").asc_nulls_last(), F.col("by").asc()]
+    # the place comes last, so that rows that repeat doc_id and text, and with them the key, are dealt to many parts
+    order = [F.desc("gumbel_key"), F.col("doc_id").asc_nulls_last(), F.col("by").asc(), F.col("at").asc()]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = weighed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(place, "doc_id long, by long, log_weight double, n_grams long, gumbel_key double, part long, place long")
+    dealt = weighed.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = dealt.drop("at").mapInArrow(place, "doc_id long, by long, log_weight double, n_grams long, gumbel_key double, part long, place long")
     placed = stored(placed, "placed")
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -202,8 +202,8 @@ class Reader:
 def write_tables(docs: DataFrame, folder: str, path: str, spaced: bool, end_id: int) -> DataFrame:
     """Encode the whole texts and write them as tables into folder, which all executors share.
 
-    Documents are dealt out by ranges of (doc_id, a hash of the text) and sorted in each range, so that files named
-    <range>-<number>.sst hold them in ascending order of doc_id. A file is closed at FILE_BYTES, or after the one
+    Documents are dealt out by ranges of (doc_id, a hash of the text, the row's place) and sorted in each range, so that
+    files named <range>-<number>.sst hold them in ascending order of doc_id and rows that repeat both fill many ranges. A file is closed at FILE_BYTES, or after the one
     document that passes it. Returns the manifest: shard, number, file, n_docs, n_ids, and the first and last doc_id.
 
     A task that runs again writes the same bytes under the same name. The name of a special token in a text is plain
@@ -242,9 +242,10 @@ def write_tables(docs: DataFrame, folder: str, path: str, spaced: bool, end_id:
         types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("by"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("by"), F.monotonically_increasing_id().alias("at"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "by").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "by", F.length("text"))
+    order = [F.col("doc_id").asc_nulls_first(), "by", "at"]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     jfolder = spark._jvm.org.apache.hadoop.fs.Path(folder)
     jfolder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jfolder)
     return stored(rows.select("doc_id", "text").mapInArrow(run, "shard long, number long, file string, n_docs long, n_ids long, first_id long, last_id long"), "manifest")
