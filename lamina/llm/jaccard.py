@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.graph import components
-from lamina.llm.shared import attach, keyed, stored
+from lamina.llm.graph import components, local_roots
+from lamina.llm.shared import appended, attach, keyed, scratch_path, stored
 from lamina.llm.tokens import blocks
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -27,6 +27,7 @@ DENSE = 0.75
 LOOSE = math.floor(TOKENS * THRESHOLD - 5 * math.sqrt(TOKENS * THRESHOLD * (1 - THRESHOLD)))
 #: Sets in a block of a larger bucket.
 SKETCH_BLOCK = 1024
+EDGES = "a long, b long"
 #: Sets in a block whose shingles are compared in full.
 EXACT_BLOCK = 256
 
@@ -155,20 +156,6 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(0, np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row that each row is connected with."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(batches):
     """Buckets in full by their sketches: an edge from each set to the first it is connected with."""
     keys = ["path", "lo", "hi"]
@@ -252,29 +239,30 @@ def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Edges a, b between sets that a bucket held together and whose sketches agree. reps: node, sketch, low.
+    """Edges a, b between sets that a bucket held together and whose sketches agree, some more than once. reps: node, sketch, low.
 
     A pair can only be lost below the planned depth if both of its sets have been in a bucket that was split there. So
     the sets that were get the runs that the depth reached takes, until no bucket goes deeper than was planned for.
+    The edges of all runs and depths are parts of one table, so that they are read in few tasks, however many parts there are.
     """
-    edges, depth, done, sets, total = None, SHALLOW, 0, reps, reps.count()
+    path = scratch_path(reps.sparkSession, "candidates")
+    depth, done, sets, total = SHALLOW, 0, reps, reps.count()
     while done < runs_for(recall, depth):
         runs = range(done, runs_for(recall, depth))
-        found, reached, deep = _run(sets, runs, depth, total)
-        edges = found if edges is None else edges.union(found)
+        reached, deep = _run(sets, runs, depth, total, path)
         done = runs.stop
         if deep is None:
             break
         depth, sets = reached, stored(sets.join(deep, "node", "left_semi"), "deep")
-    return edges
+    return reps.sparkSession.read.schema(EDGES).parquet(path)
 
 
-def _run(reps: DataFrame, runs: range, planned: int, total: int) -> tuple[DataFrame, int, DataFrame | None]:
-    """The edges of these runs, the depth reached, and the nodes of buckets below the planned depth, if there are any.
+def _run(reps: DataFrame, runs: range, planned: int, total: int, path: str) -> tuple[int, DataFrame | None]:
+    """Adds the edges of these runs to the table at path. The depth reached, and the nodes of buckets below the planned depth, if there are any.
 
     First buckets are measured against all sets (total), also if only some of them run again."""
     rows = stored(reps.mapInArrow(_first_split(runs), "path long, node long").withColumn("before", F.lit(total).cast("long")), "paths")
-    edges = deep = None
+    deep = None
     for depth in range(1, DEPTH + 1):
         if depth == planned + 1:
             deep = stored(rows.select("node").distinct(), "deep")
@@ -283,12 +271,10 @@ def _run(reps: DataFrame, runs: range, planned: int, total: int) -> tuple[DataFr
         split = (F.col("n") > BUCKET) & (F.col("n") < DENSE * F.col("before")) if depth < DEPTH else F.lit(False)
         ready = attach(rows.drop("before"), sizes.where(~split), ["path"], "n", ["n"], ["node"]).where("n is not null")
         ready = ready.join(reps.select("node", F.col("low")), "node").select("path", "node", "n", "low")
-        own = _in_blocks(ready, "path", SKETCH_BLOCK).mapInArrow(_compare, "a long, b long").distinct()
-        own = stored(own, "candidates")
-        edges = own if edges is None else edges.union(own)
+        appended(_in_blocks(ready, "path", SKETCH_BLOCK).mapInArrow(_compare, EDGES), path)
         large = sizes.where(split)
         if depth == DEPTH or large.isEmpty():
-            return edges, depth, deep
+            return depth, deep
         on = attach(rows.drop("before"), large, ["path"], "n", ["n"], ["node"]).where("n is not null")
         rows = stored(on.join(reps.select("node", "sketch"), "node").select("path", "node", "n", "sketch").mapInArrow(_next_split, "path long, node long, before long"), "paths")
 
@@ -327,7 +313,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sets = stored(texts.mapInArrow(_sets, "root long, n long, node long, shingles binary"), "shingles")
     linked = stored(_in_blocks(sets, "root", EXACT_BLOCK).mapInArrow(_verify, "node long, links long, first long"), "links")
     n_links = linked.groupBy("node").agg(F.sum("links").alias("n_links")).where("n_links > 0")
-    classes = stored(components(linked.select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()), "classes")
+    classes = stored(components(linked.select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b")), "classes")
 
     named = reps.select("node", "s1", "s2", "first", "copies").join(classes, "node", "left").join(n_links, "node", "left")
     named = stored(named.withColumn("root", F.coalesce("root", "node")), "in_classes")

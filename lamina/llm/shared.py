@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def appended(df: DataFrame, path: str) -> None:
+    """Add the rows of df to the Parquet table at path, which scratch_path named."""
+    df.write.mode("append").parquet(path)
+
+
 def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     """128 bits that name a row by its doc_id and text, never null. Rows that repeat both share a key."""
     return F.xxhash64(doc_id, text), F.xxhash64(F.lit("second"), text, doc_id)
