@@ -44,3 +44,20 @@ def assembled(hits: DataFrame, members: DataFrame) -> DataFrame:
 def range_band(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     """Each row's band by low <= value <= high. bands: a dimension of a few dozen rows."""
     return rows.join(F.broadcast(bands), F.col(value).between(F.col("low"), F.col("high")))
+
+
+def bundles(chunks: DataFrame, explains: DataFrame) -> DataFrame:
+    """What each chunk stands for: id, verses (ascending), stories (its own first, then by name). chunks: id, verse, own; explains: story, verse, distinct.
+
+    A chunk with a story of its own stands for it and for every other story that explains one of its verses; one without
+    (own null) for all stories of its verse. The verses are those of all these stories. A chunk without any story fails.
+    """
+    chunks = chunks.select("id", "verse", "own")
+    spoken = chunks.where("own is not null").join(explains.select(F.col("story").alias("own"), F.col("verse").alias("v")), "own", "left")
+    verses = spoken.select("id", "own", F.coalesce("v", "verse").alias("verse")).unionByName(chunks.where("own is null").select("id", "own", "verse"))
+    stories = verses.join(explains, "verse", "left").select("id", "own", "story").distinct()
+    missing = F.raise_error(F.concat(F.lit("no story for chunk "), F.col("id").cast("string"))).cast("string")
+    stories = stories.withColumn("story", F.coalesce("story", "own", missing))
+    names = stories.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((~F.col("story").eqNullSafe(F.col("own"))).alias("other"), "story"))).alias("s"))
+    held = stories.join(explains, "story").groupBy("id").agg(F.array_sort(F.collect_set("verse")).alias("verses"))
+    return names.join(held, "id").select("id", "verses", F.transform("s", lambda x: x["story"]).alias("stories"))

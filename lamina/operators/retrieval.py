@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lamina.sources.scratch import stored
+
 #: Rows of the two sides that a task compares at a time, about.
 QUERIES, VECTORS = 2048, 8192
 
@@ -165,3 +167,40 @@ def group_dedupe(hits: DataFrame, k: int) -> DataFrame:
     found = F.array_sort(F.collect_list(F.struct("rank", "id")))
     out = held.groupBy("q", "group_rank", "g").agg(found.alias("f"))
     return out.select("q", "group_rank", "g", F.col("f")[0]["id"].alias("best_id"), F.array_join(F.transform("f", lambda x: x["id"].cast("string")), ",").alias("ids"))
+
+
+#: Terms with at most so many postings give a question its first bar. A term with 1/HOT_SHARE of all postings or more is dealt to SALTS tasks.
+SEEDS, HOT_SHARE, SALTS = 1024, 1024, 64
+
+
+def bounded_sparse_arm(query_terms: DataFrame, postings: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
+    """Lexical top-k as sparse_arm has it, without scoring what can't reach the k-th place. query_terms: q, term, wq; postings: term, id, w; weights positive.
+
+    A question's rare terms (seeds postings at most) are scored first; the k-th sum is its bar, as sums only grow. A term
+    adds wq times its highest weight at most. Terms, the weakest first, that stay below the bar together can't bring
+    a row to it alone, so that only rows with one of the other terms are candidates. Of these, rows that fall short even with all
+    that the weak terms could add go; the others' sums are completed by a join on term and row. The result is that of
+    the whole join. Without k rows of rare terms there is no bar, and every term counts as strong.
+    Hot terms are HOT_SHARE at most by their definition: they are what is broadcast, and their postings are salted.
+    """
+    stats = stored(postings.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("top")), "terms")
+    terms = stored(query_terms.join(stats, "term").withColumn("most", F.col("wq") * F.col("top")), "query_terms")
+    best = Window.partitionBy("q").orderBy(F.desc("s"), "id")
+    first = terms.where(F.col("df") <= seeds).select("q", "term", "wq").join(postings, "term").groupBy("q", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("s"))
+    bars = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("q", F.col("s").alias("bar"))
+    so_far = Window.partitionBy("q").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = terms.join(bars, "q", "left").withColumn("reach", F.sum("most").over(so_far))
+    ordered = stored(ordered.withColumn("weak", F.coalesce(F.col("reach") < F.col("bar"), F.lit(False))), "ordered")
+
+    total = stats.agg(F.sum("df").alias("total"))
+    hot = F.broadcast(stats.crossJoin(F.broadcast(total)).where(F.col("df") * HOT_SHARE >= F.col("total")).select("term", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    strong = ordered.where("not weak").select("q", "term", "wq").join(hot, "term", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    dealt = postings.join(hot, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("salts")
+    found = strong.join(dealt, ["term", "salt"]).groupBy("q", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("s"))
+
+    rest = ordered.groupBy("q").agg(F.sum(F.when(F.col("weak"), F.col("most")).otherwise(0)).alias("rest"), F.max("bar").alias("bar"))
+    near = stored(found.join(rest, "q").where(F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar"))).select("q", "id", "s"), "near")
+    more = near.select("q", "id").join(ordered.where("weak").select("q", "term", "wq"), "q").join(postings, ["id", "term"])
+    sums = near.unionByName(more.select("q", "id", (F.col("wq") * F.col("w")).alias("s"))).groupBy("q", "id").agg(F.sum("s").alias("s"))
+    return ranked(sums, F.col("s"), k).select("q", "id", "score", "rank")
