@@ -32,10 +32,18 @@ def windows(text: Column, width: int, overlap: int) -> Column:
     return F.transform(F.array(tokens(text)), cut)[0]
 
 
+def plain(text: Column) -> Column:
+    """Lower-case letters, digits and underscores, all else as spaces."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
+
+
+def is_content(word: Column) -> Column:
+    return (F.length(word) > 2) & ~word.isin(STOP_WORDS)
+
+
 def content_words(text: Column) -> Column:
     """Distinct lower-case words of over two characters that aren't stop words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
-    return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(F.split(plain(text), r"\s+"), is_content))
 
 
 def containment(claim: Column, source: Column, least: int = 6) -> Column:

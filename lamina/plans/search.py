@@ -20,7 +20,8 @@ from lamina.sources.scratch import stored
 
 def _postings(texts: DataFrame) -> DataFrame:
     """term, id, w: one for each content word of a text. texts: id, text."""
-    return texts.select("id", F.explode(T.content_words(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("w"))
+    words = texts.select("id", F.explode(F.array_distinct(F.split(T.plain(F.col("text")), r"\s+"))).alias("term"))
+    return words.where(T.is_content(F.col("term"))).withColumn("w", F.lit(1).cast("long"))
 
 
 def _weighted(terms: DataFrame, postings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from lamina.functions import text as T
 from lamina.operators import evaluation as E
 from lamina.operators import joins as J
 from lamina.operators import retrieval as R
-from lamina.plans import audits, books, gates, hybrid, pages, quotes, records, reports, search, tables, texts  # noqa: F401  they register queries too
+from lamina.plans import audits, books, gates, grid, hybrid, pages, quotes, records, reports, search, tables, texts  # noqa: F401  they register queries too
 from lamina.registry import ORACLES, QUERIES, SQL_CONTENT, SQL_TOKENS, query, table  # noqa: F401
 from lamina.sources.scratch import stored
 
