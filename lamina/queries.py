@@ -47,8 +47,9 @@ def rnk_dense_topk(spark, d, every=100):
 
 
 def _terms(df: DataFrame, id: str, name: str) -> DataFrame:
-    words = T.tokens(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", " ")))
-    return df.select(F.col(id).alias(name), F.explode(words).alias("term")).groupBy(name, "term").agg(F.count("*").alias("w"))
+    """A row for each word of a text, as often as it is there."""
+    words = F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", " ")), r"\s+")
+    return df.select(F.col(id).alias(name), F.explode(words).alias("term")).where("term <> ''")
 
 
 SQL_TERMS = "SELECT {id} AS {name}, term, count(*) AS w FROM (SELECT {id}, unnest(" + SQL_TOKENS.format("lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'))") + ") AS term FROM {table}) GROUP BY ALL"
@@ -61,8 +62,8 @@ SELECT q, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PA
 )
 def rnk_sparse_topk(spark, d):
     """Lexical top-k of benchmark items over documents by term counts."""
-    terms = _terms(table(spark, d, "benchmark"), "item_id", "q").withColumnRenamed("w", "wq")
-    return R.sparse_arm(terms, _terms(table(spark, d, "documents"), "doc_id", "id"), 20)
+    terms = _terms(table(spark, d, "benchmark"), "item_id", "q").groupBy("q", "term").agg(F.count("*").alias("wq"))
+    return R.sparse_arm(terms, _terms(table(spark, d, "documents"), "doc_id", "id").withColumn("w", F.lit(1)), 20)
 
 
 @query(
