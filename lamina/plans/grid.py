@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lamina.functions import text as T
 from lamina.operators import grid as G
 from lamina.operators import retrieval as R
-from lamina.plans.search import SQL_POSTINGS, _postings, _weighted
+from lamina.plans.search import SQL_POSTINGS, _asked, _postings, _weighted
 from lamina.registry import SQL_CONTENT, query, table
 from lamina.sources.scratch import scratch_path, stored
 
@@ -39,9 +39,9 @@ def evl_validation_grid(spark, d):
     """Every question under every condition, with what was retrieved, the context, the answer and the cell's state."""
     docs = table(spark, d, "documents")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
-    postings = stored(_postings(docs.select(F.col("doc_id").alias("id"), "text")), "postings")
-    asked = _postings(items.select(F.col("q").alias("id"), "text")).select(F.col("id").alias("q"), "term")
-    hits = R.bounded_sparse_arm(_weighted(asked, postings), postings, HITS).select("q", "id", "rank")
+    asked = stored(_postings(items.select(F.col("q").alias("id"), "text")).select(F.col("id").alias("q"), "term"), "asked")
+    postings, n = _asked(docs.select(F.col("doc_id").alias("id"), "text"), asked)
+    hits = R.bounded_sparse_arm(_weighted(asked, postings, n), postings, HITS).select("q", "id", "rank")
 
     found = hits.join(docs.select(F.col("doc_id").alias("id"), "lang", "source", F.coalesce("text", F.lit("")).alias("text")), "id")
     found = found.withColumn("verse", F.substring_index("text", "\n", 1))

@@ -24,9 +24,14 @@ def _postings(texts: DataFrame) -> DataFrame:
     return words.where(T.is_content(F.col("term"))).withColumn("w", F.lit(1).cast("long"))
 
 
-def _weighted(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """q, term, wq: the whole part of the binary logarithm of how rare a term is; terms of over half the rows weigh nothing and go. terms: q, term."""
-    n = postings.agg(F.count_distinct("id").alias("n"))
+def _asked(texts: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of terms, and n, the number of texts that have a content word at all. texts: id, text; terms: term."""
+    n = texts.where(F.exists(F.split(T.plain(F.col("text")), r"\s+"), T.is_content)).agg(F.count_distinct("id").alias("n"))
+    return stored(_postings(texts).join(terms.select("term").distinct(), "term", "left_semi"), "postings"), n
+
+
+def _weighted(terms: DataFrame, postings: DataFrame, n: DataFrame) -> DataFrame:
+    """q, term, wq: the whole part of the binary logarithm of how rare a term is; terms of over half the rows weigh nothing and go. terms: q, term; n: a row with the number of rows that have terms."""
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     rare = df.select("term", (F.length(F.bin(F.expr("n div df"))) - 1).cast("long").alias("wq")).where("wq > 0")
     return terms.join(rare, "term").select("q", "term", "wq")
@@ -39,10 +44,10 @@ SQL_POSTINGS = f"p AS (SELECT id, unnest({SQL_CONTENT.format('text')}) AS term F
 SELECT q, id, score, (row_number() OVER (PARTITION BY q ORDER BY score DESC, id))::INTEGER AS rank FROM (
   SELECT q, p.id, sum(wq)::BIGINT AS score FROM b JOIN i USING (term) JOIN p USING (term) WHERE wq > 0 GROUP BY q, p.id) QUALIFY rank <= 20""")
 def rnk_sparse_bounded(spark, d):
-    """Lexical top-k of benchmark items over documents by rare words; rows that can't reach an item's k-th place aren't scored."""
-    postings = stored(_postings(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), "postings")
-    asked = _postings(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("q"), "term")
-    return R.bounded_sparse_arm(_weighted(asked, postings), postings, 20)
+    """Lexical top-k of benchmark items over documents by rare words; rows that can't reach an item's k-th place aren't returned by any task."""
+    asked = stored(_postings(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select(F.col("id").alias("q"), "term"), "asked")
+    postings, n = _asked(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), asked)
+    return R.bounded_sparse_arm(_weighted(asked, postings, n), postings, 20)
 
 
 def _story() -> Column:
@@ -92,7 +97,7 @@ def dom_search(spark, d):
     postings = stored(_postings(e.select(F.col("vec_id").alias("id"), "text")), "postings")
     dense = stored(R.dense_arm(q, v, 100), "dense")
     asked = postings.where("id % 50 = 0").select(F.col("id").alias("q"), "term")
-    sparse = stored(R.bounded_sparse_arm(_weighted(asked, postings), postings, 100), "sparse")
+    sparse = stored(R.bounded_sparse_arm(_weighted(asked, postings, postings.agg(F.count_distinct("id").alias("n"))), postings, 100), "sparse")
     both = dense.where("rank <= 50").select("q", "id").union(sparse.where("rank <= 50").select("q", "id")).distinct()
     fused = R.rrf([dense, sparse, R.max_sim(both, q, v, PARTS)])
     chunks, explains = _corpus(spark, d)
