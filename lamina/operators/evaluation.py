@@ -72,11 +72,13 @@ def poisson_bootstrap(units: DataFrame, key: str, n_resamples: int, seed: str) -
     one key share their weights; null keys are one key.
     """
     groups = -(-n_resamples // 4)
-    hashed = units.select("num", "den", F.col(key).cast("string").alias("_key")).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    h = F.md5(F.concat_ws(":", "_g", "_key", F.lit(seed)))
-    value = [F.conv(F.substring(h, 8 * j + 1, 8), 16, 10).cast("long") for j in range(4)]
-    drawn = hashed.select("_g", "num", "den", *[v.alias(f"_v{j}") for j, v in enumerate(value)])
-    weight = [reduce(lambda a, b: a + b, [(F.col(f"_v{j}") >= t).cast("long") for t in POISSON]) for j in range(4)]
+    # units are few bytes but n_resamples rows of work each: a set number of parts is not merged by their bytes
+    dealt = units.select("num", "den", F.col(key).cast("string").alias("_key")).repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashed = dealt.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    hashed = hashed.select("_g", "num", "den", F.md5(F.concat_ws(":", "_g", "_key", F.lit(seed))).alias("_h"))
+    drawn = hashed.select("_g", "num", "den", *[F.substring("_h", 8 * j + 1, 8).alias(f"_v{j}") for j in range(4)])
+    # eight hexadecimal digits are in the order of their values; the smallest that holds is looked for from below, where most are
+    weight = [reduce(lambda c, x: c.when(F.col(f"_v{j}") < f"{x[1]:08x}", F.lit(x[0])), enumerate(POISSON), F).otherwise(len(POISSON)).cast("long") for j in range(4)]
     weighed = drawn.select("_g", "num", "den", *[w.alias(f"_w{j}") for j, w in enumerate(weight)])
     sums = weighed.groupBy("_g").agg(*[F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"_{c}{j}") for j in range(4) for c in ("num", "den")])
     four = F.explode(F.array(*[F.struct((4 * F.col("_g") + j).alias("b"), F.col(f"_num{j}").alias("num"), F.col(f"_den{j}").alias("den")) for j in range(4)]))

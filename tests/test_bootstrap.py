@@ -3,6 +3,8 @@
 import hashlib
 import math
 
+from pyspark.sql import functions as F
+
 from lamina.operators import evaluation as E
 
 
@@ -47,3 +49,17 @@ def test_draws_are_added_up_before_the_shuffle(spark):
     plan = E.poisson_bootstrap(units, "k", 400, "s")._jdf.queryExecution().executedPlan().toString()
     first = plan[plan.index("Exchange hashpartitioning(_g") :]
     assert "partial_sum" in first.split("Generate")[0] and "Join" not in first
+
+
+def test_weights_need_no_number_of_a_hash(spark):
+    """Eight digits are compared as they are: conv of each was most of the work."""
+    units = spark.range(50).select("id", F.lit(1).cast("long").alias("num"), F.lit(1).cast("long").alias("den"))
+    plan = E.poisson_bootstrap(units, "id", 8, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and "conv(" not in plan
+
+
+def test_units_of_few_bytes_are_many_tasks_work(spark):
+    """Sums of a grouping are merged by their bytes, to one part here, though each is thousands of rows of work."""
+    units = spark.range(400).groupBy((F.col("id") % 100).alias("id")).agg(F.count("*").alias("num"), F.count("*").alias("den"))
+    plan = E.poisson_bootstrap(units, "id", 8, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in plan
