@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.graph import components
+from lamina.operators.retrieval import scored
+from lamina.sources.scratch import stored
 
 # The severity of each code.
 SEVERITY = {
@@ -59,15 +61,23 @@ def containments(claims: DataFrame, sources: DataFrame, keys: list[str], share:
 
     claims: keys, claim, words; sources: keys, source, words (arrays of distinct words). A source with a share s of n
     words has one of any n - ceil(s n) + 1 of them, so that a claim meets sources by its rarest words only, and no
-    pair is lost. Counting the words and joining on them share one exchange.
+    pair is lost. Counting the words and joining on them share one exchange. Without keys, claims and sources may all meet:
+    common words are then counted in cells (retrieval.scored), from which only pairs of that share come (or more, where rows of one name add up).
     """
-    big = claims.where(F.size("words") >= least).select(*keys, "claim", F.size("words").alias("n"), F.explode("words").alias("word"))
-    posted = sources.select(*keys, "source", F.explode("words").alias("word"))
-    counts = posted.groupBy(*keys, "word").agg(F.count("*").alias("seen"))
-    order = Window.partitionBy(*keys, "claim").orderBy("seen", "word")
-    rare = big.join(counts, [*keys, "word"], "left").withColumn("seen", F.coalesce("seen", F.lit(0))).withColumn("place", F.row_number().over(order))
-    rare = rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-    met = rare.join(posted, [*keys, "word"]).select(*keys, "claim", "source").distinct()
+    if keys:
+        big = claims.where(F.size("words") >= least).select(*keys, "claim", F.size("words").alias("n"), F.explode("words").alias("word"))
+        posted = sources.select(*keys, "source", F.explode("words").alias("word"))
+        counts = posted.groupBy(*keys, "word").agg(F.count("*").alias("seen"))
+        order = Window.partitionBy(*keys, "claim").orderBy("seen", "word")
+        rare = big.join(counts, [*keys, "word"], "left").withColumn("seen", F.coalesce("seen", F.lit(0))).withColumn("place", F.row_number().over(order))
+        rare = rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
+        met = rare.join(posted, [*keys, "word"]).select(*keys, "claim", "source").distinct()
+    else:
+        n = F.size("words")
+        asked = claims.where(n >= least).select(F.col("claim").alias("q"), F.lit(1).alias("wq"), F.ceil(n * share - 1e-9).alias("bar"), F.explode("words").alias("term"))
+        posted = sources.select(F.col("source").alias("id"), F.explode("words").alias("term"), F.lit(1).alias("w"))
+        met = stored(scored(asked, posted).select(F.col("q").alias("claim"), F.col("id").alias("source")), "met")
+        claims = claims.where(n >= least)
     met = met.join(claims.select(*keys, "claim", F.col("words").alias("c")), [*keys, "claim"]).join(sources.select(*keys, "source", F.col("words").alias("s")), [*keys, "source"])
     contained = F.size(F.array_intersect("c", "s")) / F.size("c")
     return met.select(*keys, "claim", "source", contained.alias("contained")).where(F.col("contained") >= share)

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import lines as L
 from lamina.operators import audit as A
+from lamina.operators import retrieval as R
 from lamina.operators.graph import components
 from lamina.queries import QUERIES
 
@@ -55,3 +57,19 @@ def test_long_conversations_keep_their_turns_apart(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["dom_claim_clusters"](spark, str(tmp_path)).select("conv_id", "turn", "cluster").collect())
     assert got == [(1, 100_005, 100_005), (1, 100_007, 100_005), (2, 5, 5), (2, 7, 7)]
     assert tuple(QUERIES["agg_tag_stability"](spark, str(tmp_path)).first()) == (1, 1)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_containments_equal_loops(spark, monkeypatch, keys):
+    r = random.Random(3)
+    some = lambda n: sorted(r.sample("abcdefghijklmnop", n))
+    claims, sources = [(1, i, some(r.randint(4, 9))) for i in range(30)], [(1, i, some(r.randint(0, 16))) for i in range(60)]
+    want = {(c, s, len(set(a) & set(b)) / len(a)) for _, c, a in claims for _, s, b in sources if len(a) >= 6 and len(set(a) & set(b)) / len(a) >= 0.6}
+    cells = []
+    monkeypatch.setattr(A, "scored", lambda *x: cells.append(x) or R.scored(*x))
+    sources += sources[:7]
+    frames = [spark.createDataFrame(rows, f"k int, {name} int, words array<string>") for rows, name in ((claims, "claim"), (sources, "source"))]
+    found = A.containments(*[df if keys else df.drop("k") for df in frames], keys, 0.6)
+    assert {(x.claim, x.source, x.contained) for x in found.collect()} == want and want
+    assert found.count() == sum(1 + (s < 7) for _, s, _ in want)
+    assert len(cells) == (not keys)  # without keys, no pair is a row before its words are counted
