@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 
 def truncated(text: Column, markers: list[str]) -> Column:
@@ -32,15 +32,10 @@ def without_controls(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f]", "")
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """The composed form, which no built-in function gives."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
-
-
-@F.pandas_udf(BooleanType())
-def is_nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.is_normalized("NFC", s))
+@F.udf(StringType(), useArrow=False)
+def nfc(text: str | None) -> str | None:
+    """The composed form, which no built-in function gives. Rows are sent a hundred at a time, so that long texts don't add up in a worker."""
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
 @F.pandas_udf(StringType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import lines as L
@@ -55,19 +55,24 @@ def str_orthographic_fold(spark, d):
     return table(spark, d, "part").select("p_partkey", L.folded(F.col("p_name")).alias("folded"))
 
 
+def _composed(rows: DataFrame) -> DataFrame:
+    """Texts in composed form, and whether that is another text."""
+    return rows.withColumn("composed", L.nfc("text")).select("doc_id", F.col("composed").alias("text"), (F.col("composed") != F.col("text")).alias("changed"))
+
+
 @query("SELECT doc_id, nfc_normalize(replace(text, 'o', 'o' || chr(776))) AS text, text IS NOT NULL AND contains(text, 'o') AS changed FROM documents WHERE length(text) < 500")
 def str_nfc(spark, d):
     """Composed forms; every o gets a combining mark first."""
     t = F.replace("text", F.lit("o"), F.lit("o\u0308"))
     rows = table(spark, d, "documents").where(F.length("text") < 500).select("doc_id", t.alias("text"))
-    return rows.select("doc_id", L.nfc("text").alias("text"), (~L.is_nfc("text")).alias("changed"))
+    return _composed(rows)
 
 
 @query("SELECT doc_id, nfc_normalize(replace(text, 'o', 'o' || chr(776))) AS text, text IS NOT NULL AND contains(text, 'o') AS changed FROM documents")
 def str_nfc_all(spark, d):
     """As str_nfc, over texts of any length; a null text isn't changed."""
     rows = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("o"), F.lit("o\u0308")).alias("text"))
-    return rows.select("doc_id", L.nfc("text").alias("text"), F.coalesce(~L.is_nfc("text"), F.lit(False)).alias("changed"))
+    return _composed(rows).withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
 @query(r"SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^\x00-\x7f]', '', 'g')) AS folded FROM documents")

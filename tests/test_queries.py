@@ -205,3 +205,12 @@ def test_late_interaction(spark):
     got = [(r.id, r.score, r["rank"]) for r in R.max_sim(pairs, q, v, 2).orderBy("rank").collect()]
     assert got == [(7, 1.0, 1), (8, 1.0, 2), (9, 1.0, 3)]
     assert [r.score for r in R.max_sim(pairs, q, v, 4).orderBy("id").collect()] == [1.0, 0.5, 0.5]
+
+
+def test_long_texts_are_composed_a_few_at_a_time(spark, tmp_path):
+    """No batch of thousands of texts is a worker's: their number does not go into its memory."""
+    spark.createDataFrame([(1, "no"), (2, None), (3, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["str_nfc_all"](spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert {(r.doc_id, r.text, r.changed) for r in rows.collect()} == {(1, "n\u00f6", True), (2, None, False), (3, "a", False)}
