@@ -112,23 +112,24 @@ def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     """
     line = F.coalesce("line", F.lit(""))
     like = lambda pattern: line.rlike(pattern)
-    kinds = lines.select("book", F.col("n").cast("long").alias("n"), line.alias("line"), like(VERSES).alias("is_verses"), like(NOTE_NUMBER).alias("_digits"), like(NOTE_BODY).alias("is_note_body"),
-                         F.when(like(BLANK), "b").when(like(HEADER), "h").otherwise("x").alias("_sign"))
-    kinds = kinds.withColumn("is_number", F.col("_digits") & ~F.startswith("line", F.lit("\f"))).drop("_digits")
-    rows = _looked_around(kinds, block)
     number = {k: F.lit(2 * i) for i, k in enumerate(KINDS)}
-    kind = F.when(F.col("starts"), number["story"]).when(F.col("header").isNotNull(), number["verses"]).when(F.col("line").rlike(RATING), number["rating"])
-    kind = kind.when(F.col("line").rlike(KEYWORDS), number["keywords"]).when(F.col("_sign") == "b", number["blank"]).when(F.col("notes"), number["note"]).when(F.col("_sign") == "h", number["header"])
-    kind = kind.when(F.col("line").rlike(CHAPTER), number["chapter"]).when(F.col("line").rlike(COLOPHON), number["colophon"]).otherwise(number["other"])
-    rows = rows.select("book", "n", "line", (kind + F.col("line").rlike(CHAPTER_END).cast("int")).alias("symbol"))
-    rows = stored(rows, "lines")
+    lines = lines.select("book", F.col("n").cast("long").alias("n"), line.alias("line"))
+    # windows and scans see what a line is, not the line
+    early = F.when(like(RATING), number["rating"]).when(like(KEYWORDS), number["keywords"])
+    late = F.when(like(CHAPTER), number["chapter"]).when(like(COLOPHON), number["colophon"]).otherwise(number["other"])
+    kinds = lines.select("book", "n", like(VERSES).alias("is_verses"), (like(NOTE_NUMBER) & ~F.startswith("line", F.lit("\f"))).alias("is_number"), like(NOTE_BODY).alias("is_note_body"),
+                         F.when(like(BLANK), "b").when(like(HEADER), "h").otherwise("x").alias("_sign"), early.alias("_early"), late.alias("_late"), like(CHAPTER_END).cast("int").alias("_ends"))
+    rows = _looked_around(kinds, block)
+    kind = F.when(F.col("starts"), number["story"]).when(F.col("header").isNotNull(), number["verses"]).when(F.col("_early").isNotNull(), F.col("_early"))
+    kind = kind.when(F.col("_sign") == "b", number["blank"]).when(F.col("notes"), number["note"]).when(F.col("_sign") == "h", number["header"]).otherwise(F.col("_late"))
+    rows = stored(rows.select("book", "n", (kind + F.col("_ends")).alias("symbol")), "kinds")
 
     ahead = scan.states(rows, ["book"], "n", "symbol", AHEAD, backward=True, block=block)
     plain = F.col("symbol") - F.col("symbol") % 2
     unrated, endless = F.col("before").bitwiseAND(1) == 0, F.col("before").bitwiseAND(2) == 0
     shift = F.when((plain == number["blank"]) & unrated, number["blank_without_rating"] - number["blank"]).when((plain == number["chapter"]) & endless, number["chapter_without_end"] - number["chapter"])
-    ahead = ahead.select("book", "n", "line", (F.col("symbol") + F.coalesce(shift, F.lit(0))).alias("symbol"))
-    ahead = stored(ahead.withColumns({"story": F.when(F.col("symbol") < 2, F.col("n")), "note": F.when(F.floor(F.col("symbol") / 2) == KINDS.index("note"), F.col("n"))}), "lines")
+    ahead = ahead.select("book", "n", (F.col("symbol") + F.coalesce(shift, F.lit(0))).alias("symbol"))
+    ahead = stored(ahead.withColumns({"story": F.when(F.col("symbol") < 2, F.col("n")), "note": F.when(F.floor(F.col("symbol") / 2) == KINDS.index("note"), F.col("n"))}), "kinds")
 
     found = scan.states(ahead, ["book"], "n", "symbol", MACHINE, ["story", "note"], block=block)
     zone = F.floor((F.col("after") - 4) / 2)
@@ -138,7 +139,14 @@ def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     part = part.when((F.col("before") < 4) & (F.floor(F.col("symbol") / 2) == KINDS.index("rating")), "rating")
     part = part.when((zone == 1) | ((zone == 2) & (was < 2)), "heading")
     part = part.otherwise(F.element_at(F.array(*map(F.lit, ZONES)), (zone + 1).cast("int")))
-    return found.select("book", "n", "line", F.col("last_story").alias("story"), F.when(noted, F.col("last_note")).alias("note"), part.alias("part"))
+    found = found.select("book", "n", F.col("last_story").alias("story"), F.when(noted, F.col("last_note")).alias("note"), part.alias("part"))
+    return _with_lines(found, lines).select("book", "n", "line", "story", "note", "part")
+
+
+def _with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """found with the columns that lines (book, n and more) has besides: the one time that a line's text is shuffled to what was found of it."""
+    texts = lines.select(F.col("book").alias("_b"), F.col("n").alias("_n"), *[c for c in lines.columns if c not in found.columns])
+    return found.join(texts, found["book"].eqNullSafe(texts["_b"]) & (found["n"] == texts["_n"])).drop("_b", "_n")
 
 
 # The labels of metadata, in the layout's order, and how a footnote names its author.
@@ -155,7 +163,7 @@ def wrapped(parts: Column) -> Column:
 
 def _in_order(condition: Column, value: Column) -> Column:
     """The values of a group's rows that meet the condition, in the order of n."""
-    rows = F.array_sort(F.collect_list(F.when(condition, F.struct("n", value.alias("v")))))
+    rows = F.sort_array(F.collect_list(F.when(condition, F.struct("n", value.alias("v")))))
     return F.transform(rows, lambda x: x["v"])
 
 
@@ -291,19 +299,22 @@ NUMBERED = r"^\s*(\d{1,3})\.\s+(\S.*)$"
 
 def language(line: Column) -> Column:
     """english, pali or unknown: whether more words are English function words or hold a marked letter."""
-    words = F.regexp_extract_all(F.lower(line), F.lit(r"(\p{L}+)"), F.lit(1))
-    e, p = F.size(F.filter(words, lambda w: w.isin(ENGLISH))), F.size(F.filter(words, lambda w: w.rlike(f"[{MARKED_LETTERS}]")))
-    return F.when((e == 0) & (p == 0), "unknown").when(p > e, "pali").otherwise("english")
+    low = F.lower(line)
+    words = F.regexp_extract_all(low, F.lit(r"(\p{L}+)"), F.lit(1))
+    marked = lambda x: x.rlike(f"[{MARKED_LETTERS}]")
+    # as variables of lambdas, words are taken out and counted once
+    counts = F.transform(F.array(words), lambda ws: F.struct(F.size(F.filter(ws, lambda w: w.isin(ENGLISH))).alias("e"), F.when(marked(low), F.size(F.filter(ws, marked))).otherwise(0).alias("p")))
+    return F.transform(counts, lambda c: F.when((c["e"] == 0) & (c["p"] == 0), "unknown").when(c["p"] > c["e"], "pali").otherwise("english"))[0]
 
 
 def tidy(line: Column) -> Column:
     """A line without form feeds, page numbers in brackets, white space at its end and more than one space within; its indent stays."""
     bare = F.regexp_replace(F.regexp_replace(F.replace(line, F.lit("\f"), F.lit("")), L.PAGE_CRUMB, ""), r"\s+$", "")
-    return F.concat(F.regexp_extract(bare, "^( *)", 1), F.regexp_replace(F.regexp_replace(bare, "^ +", ""), " {2,}", " "))
+    return F.transform(F.array(bare), lambda x: F.concat(F.regexp_extract(x, "^( *)", 1), F.regexp_replace(F.regexp_replace(x, "^ +", ""), " {2,}", " ")))[0]
 
 
 def _body(parts: DataFrame) -> DataFrame:
-    rows = parts.where("part = 'body'").select("book", "story", "n", tidy(F.col("line")).alias("line")).where("line <> ''")
+    rows = parts.where("part = 'body'").select("book", "story", "n", F.explode(F.filter(F.array(tidy(F.col("line"))), lambda x: x != "")).alias("line"))
     bare = F.regexp_replace("line", "^ +", "")
     rows = rows.withColumns({"bare": bare, "indent": F.length("line") - F.length(bare), "tongue": language(bare)})
     return rows.withColumn("indented", F.col("indent") >= INDENTED)
@@ -323,16 +334,19 @@ def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     verse = F.col("indented") & ((F.length("bare") < VERSE_LINE) | F.col("line").rlike(NUMBERED) | (F.col("tongue") == "pali"))
     rows = rows.withColumn("verse", verse)
     packed = F.col("indent") * 8 + F.col("verse").cast("int") * 4 + F.col("indented").cast("int") * 2 + ((F.length("bare") >= FULL_LINE) & (F.col("tongue") != "pali")).cast("int")
-    rows = stored(rows.withColumns({"s": F.lit(0), "packed": packed.cast("long"), "own": F.col("story")}), "body")
+    fields = {"runs_on": F.col("line").rlike(RUNS_ON), "sentence": F.col("bare").rlike(SENTENCE_END), "short": F.length("bare") < F.lit(SHORT) - F.col("indent")}
+    body = rows.select("book", "story", "n", "bare", "indent", "indented", "verse", packed.cast("long").alias("packed"), *[c.alias(name) for name, c in fields.items()])
+    body = stored(body, "body")
+    rows = body.drop("bare").withColumns({"s": F.lit(0), "own": F.col("story")})
     rows = scan.states(rows, ["book"], "n", "s", [[0]], ["packed", "own"], backward=True, block=block)
     last = ~F.col("prior_own").eqNullSafe(F.col("story"))
     behind = F.when(~last, F.col("prior_packed"))
-    opens = ~F.col("line").rlike(RUNS_ON) & (F.floor(behind / 8) == F.col("indent")) & (behind.bitwiseAND(1) == 1)
+    opens = ~F.col("runs_on") & (F.floor(behind / 8) == F.col("indent")) & (behind.bitwiseAND(1) == 1)
     alone = F.col("verse") & ~F.coalesce(opens, F.lit(False))
-    turn = (behind.bitwiseAND(4) > 0) | ((behind.bitwiseAND(2) > 0) != F.col("indented")) | (F.length("bare") < F.lit(SHORT) - F.col("indent"))
-    ends = last | (F.col("bare").rlike(SENTENCE_END) & F.coalesce(turn, F.lit(False)))
+    turn = (behind.bitwiseAND(4) > 0) | ((behind.bitwiseAND(2) > 0) != F.col("indented")) | F.col("short")
+    ends = last | (F.col("sentence") & F.coalesce(turn, F.lit(False)))
     symbol = alone.cast("int") * 4 + ends.cast("int") * 2 + last.cast("int")
-    rows = stored(rows.select("book", "story", "n", "line", "bare", alone.alias("alone"), symbol.alias("symbol")), "body")
+    rows = stored(rows.select("book", "story", "n", alone.alias("alone"), symbol.alias("symbol")), "symbols")
 
     def after(alone: int, ends: int, last: int, state: int) -> int:
         """0: nothing is open, 1: a paragraph, 2: a verse."""
@@ -343,8 +357,9 @@ def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     rows = scan.states(rows, ["book"], "n", "symbol", [[after(x >> 2, (x >> 1) & 1, x & 1, s) for s in range(3)] for x in range(8)], block=block)
     kept = F.col("alone") & (F.col("before") != 1)
     starts = F.when(kept, F.col("before") != 2).otherwise(F.col("before") != 1)
-    rows = rows.select("book", "story", "n", "bare", kept.alias("kept"), F.when(starts, F.col("n")).alias("at"), F.lit(0).alias("symbol"))
-    rows = scan.states(stored(rows, "blocks"), ["book"], "n", "symbol", [[0]], ["at"], block=block)
+    rows = rows.select("book", "story", "n", kept.alias("kept"), F.when(starts, F.col("n")).alias("at"), F.lit(0).alias("symbol"))
+    rows = scan.states(stored(rows, "blocks"), ["book"], "n", "symbol", [[0]], ["at"], block=block).select("book", "story", "n", "kept", "last_at")
+    rows = _with_lines(rows, body.select("book", "n", "bare"))
     lines = _in_order(F.lit(True), F.col("bare"))
     blocks = rows.groupBy("book", "story", F.col("last_at").alias("first_line")).agg(F.max("kept").alias("kept"), lines.alias("lines"))
     text = F.when(F.col("kept"), F.array_join("lines", "\n")).otherwise(wrapped(F.col("lines")))
@@ -376,7 +391,8 @@ def verses(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     symbol = F.when(F.col("match"), F.when(translates, 1).otherwise(0)).otherwise(F.when(goes_on & translates, 2).when(goes_on, 3).when(translates, 4).otherwise(6))
     tail_or_all = F.when(F.col("match"), tail).otherwise(F.col("bare"))
     rows = rows.select("book", "story", "n", symbol.alias("symbol"), tail_or_all.alias("head"), "bare", "number")
-    rows = stored(rows.unionByName(first.withColumn("head", F.col("bare"))), "verses")
+    texts = stored(rows.unionByName(first.withColumn("head", F.col("bare"))), "verses")
+    rows = texts.select("book", "story", "n", "symbol")
 
     def after(symbol: int, state: int) -> int:
         """0: no verse yet, 1: the original, 2: the translation, 3: behind it. A story's first line (5) begins anew."""
@@ -389,6 +405,7 @@ def verses(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
         return 2 if state < 3 and symbol in (1, 2, 4) else 3
 
     rows = scan.states(rows, ["book"], "n", "symbol", [[after(x, s) for s in range(4)] for x in range(7)], block=block).where("after in (1, 2)")
+    rows = _with_lines(rows.select("book", "story", "n", "before", "after"), texts.select("book", "n", "head", "bare", "number"))
     original = F.when(F.col("before") == 0, F.col("head")).otherwise(F.col("bare"))
     grouped = rows.groupBy("book", "story").agg(
         F.max(F.when(F.col("before") == 0, F.col("number"))).alias("number"), F.array_join(_in_order(F.col("after") == 1, original), " ").alias("original"),

@@ -223,3 +223,13 @@ def test_language_of_lines(spark):
     lines = {"karoti so tathattānaṁ yathā naṁ icchatī diso": "pali", "Those sages without violence,": "english", "Anāthapiṇḍika of Sāvatthi": "pali", "12 34": "unknown", "of Sāvatthi": "english"}
     df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", B.language(F.col("line")).alias("t"))
     assert {r.line: r.t for r in df.collect()} == lines
+
+
+def test_scans_and_windows_see_no_text(spark, parts, monkeypatch):
+    """What a line is goes through the windows and scans; its text is shuffled once, to what was found of it."""
+    seen, states, around = [], scan.states, B._looked_around
+    monkeypatch.setattr(scan, "states", lambda rows, *a, **k: seen.append(rows.columns) or states(rows, *a, **k))
+    monkeypatch.setattr(B, "_looked_around", lambda rows, block: seen.append(rows.columns) or around(rows, block))
+    B.segmented(spark.createDataFrame([("x", 0, "1.1 Title")], SCHEMA))
+    B.reflow(parts), B.verses(parts)
+    assert len(seen) == 7 and not {c for columns in seen for c in columns} & {"line", "bare", "head"}
