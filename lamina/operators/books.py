@@ -2,11 +2,17 @@
 
 Lines are rows (book, n from 0 without gaps, line); windows look at most NEAR lines around, within blocks of lines that overlap
 by as much, and what reaches further is a state of lamina.operators.scan, so that a book of any length is many tasks' work.
+What segmented and reflow find of lines is held in pieces (scan.packed), and so is the text that it is joined to: a row has some thousand lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import lines as L
@@ -28,6 +34,10 @@ COLOPHON = rf"^{WHITE}*Conclusion, Nigamanakathā"
 NOTE_NUMBER = rf"^{WHITE}*(\d{{1,3}}){WHITE}*$"
 NOTE_BODY = rf"^{WHITE}+(?:(?:AJ|BG):|{WHITE}\p{{L}})"
 BLANK = rf"^{WHITE}*$"
+#: How each line begins that one of these is like, but for NOTE_BODY and CHAPTER_END.
+MARKED = rf"^{WHITE}*(?:$|[\d*]|Dhp|Keywords:|Conclusion)"
+#: Characters at a line's end before which a pattern's end may match, or which are white space to it.
+WHITE_CHARS, TERMINATORS = list(" \t\f\r"), list("\n\r\x85\u2028\u2029")
 NEAR = 8
 
 #: What a line is to the machine, each alone or with the end of a chapter's heading on it (the number doubled, and one more).
@@ -36,11 +46,12 @@ KINDS = ["story", "verses", "rating", "keywords", "blank", "blank_without_rating
 NONE, TITLE, META, KEYED = range(4)
 ZONES = ["body", "heading", "preface", "colophon"]
 STATES = 4 + 2 * len(ZONES)
+PARTS = ["none", "title", "meta", "footnote", "rating", *ZONES]
 
 
 def is_noise(line: Column) -> Column:
     """Running footers and page numbers of title pages."""
-    return line.rlike(FOOTER) | line.rlike(PAGE_NUMBER)
+    return (F.contains(line, F.lit(" - ")) & line.rlike(FOOTER)) | (F.startswith(line, F.lit("\f")) & line.rlike(PAGE_NUMBER))
 
 
 def _next(kind: str, ends: bool, state: int) -> int:
@@ -72,29 +83,66 @@ MACHINE = [[_next(k, e, s) for s in range(STATES)] for k in KINDS for e in (Fals
 AHEAD = [[(0 if k == "story" else s | (k == "rating") | 2 * e) for s in range(4)] for k in KINDS for e in (False, True)]
 
 
-def _looked_around(lines: DataFrame, block: int) -> DataFrame:
-    """lines with header (number of the header that a verse line belongs to), starts (whether the line is a story's header) and
-    notes (whether a footnote begins). Windows run within blocks of lines; NEAR lines on either side are copied into a block."""
-    own = F.floor(F.col("n") / block).cast("long")
-    at = F.col("n") % block
-    sides = F.array_compact(F.array(own, F.when(at < NEAR, own - 1), F.when(at >= block - NEAR, own + 1)))
-    spread = lines.withColumn("_own", own).withColumn("_block", F.explode(sides))
-    w = Window.partitionBy("book", "_block").orderBy("n")
-    above, below = w.rowsBetween(-NEAR, -1), w.rowsBetween(1, NEAR)
-    # nearest first: blank lines, then title lines up to a header (h)
-    seen = F.reverse(F.array_join(F.collect_list("_sign").over(above), ""))
-    back = F.length(F.regexp_extract(seen, "^(b*x*h)", 1)).cast("long")
-    found = spread.withColumn("_back", F.when(F.col("is_verses"), back)).withColumn("_header", F.when(F.col("_back") > 0, F.col("n") - F.col("_back")))
-    later = F.collect_list("_header").over(below)
-    found = found.withColumns(
-        {
-            # of several verse lines below one header the last one counts
-            "header": F.when(~F.array_contains(later, F.col("_header")), F.col("_header")),
-            "starts": F.array_contains(later, F.col("n")),
-            "notes": F.col("is_number") & F.coalesce(F.lead("is_note_body").over(w), F.lit(False)),
-        }
-    )
-    return found.where("_own = _block").drop("_own", "_block", "_back", "_header")
+def _looked_around(pieces: DataFrame, block: int) -> DataFrame:
+    """book, n, upto and at of pieces with symbol: twice the number of each line's kind, and one more where a chapter's heading ends.
+
+    Pieces are read in blocks of lines; those that have one of the NEAR lines on either side are copied into a block. A line of verses has its header above:
+    blank lines first, then title lines. Of several verse lines below one header the last one counts.
+    """
+    wide = block * scan.WIDE
+    own = F.floor(F.col("n") / wide).cast("long")
+    sides = F.array_compact(F.array(own, F.when(F.col("n") % wide < NEAR, own - 1), F.when(F.col("upto") % wide >= wide - NEAR, own + 1)))
+    spread = pieces.select("book", "n", "upto", "at", "flags", own.alias("_own"), F.explode(sides).alias("_block"))
+    number = {k: 2 * i for i, k in enumerate(KINDS)}
+
+    def looked(part: pa.Table) -> pa.Table:
+        held = scan.Pieces(part)
+        order = np.argsort(held.places, kind="stable")
+        flags = held.values("flags").data[order]
+        sign = flags & 3
+        starts, verses = np.zeros(len(flags), bool), np.zeros(len(flags), bool)
+        latest: dict[int, int] = {}
+        for v in np.flatnonzero(flags & VERSES_FLAG).tolist():
+            at, low = v - 1, max(0, v - NEAR)
+            while at >= low and sign[at] == BLANK_SIGN:
+                at -= 1
+            while at >= low and sign[at] == OTHER_SIGN:
+                at -= 1
+            if at >= low and sign[at] == HEADER_SIGN:
+                starts[at] = verses[v] = True
+                if at in latest:
+                    verses[latest[at]] = False
+                latest[at] = v
+        notes = ((flags & NUMBER_FLAG) > 0) & np.append((flags[1:] & NOTE_BODY_FLAG) > 0, False)
+        early, late = (flags >> EARLY_SHIFT) & 3, flags >> LATE_SHIFT
+        kinds = np.select(
+            [starts, verses, early == 1, early == 2, sign == BLANK_SIGN, notes, sign == HEADER_SIGN, late == 1, late == 2],
+            [number[k] for k in ("story", "verses", "rating", "keywords", "blank", "note", "header", "chapter", "colophon")], number["other"],
+        )
+        symbol = np.empty(len(flags), np.int32)
+        symbol[order] = kinds + ((flags & ENDS_FLAG) > 0)
+        mine = np.equal(part["_own"].to_numpy(), part["_block"].to_numpy())
+        return held.table(["book", "n", "upto", "at"], {"symbol": symbol}, {"symbol": "byte"}).filter(pa.array(mine))
+
+    return spread.groupBy("book", "_block").applyInArrow(looked, f"book {pieces.schema['book'].dataType.simpleString()}, n long, upto long, at binary, symbol binary")
+
+
+#: What a line is, as the bits of a number: its sign in the lowest two, and what it is like.
+OTHER_SIGN, BLANK_SIGN, HEADER_SIGN = range(3)
+VERSES_FLAG, NUMBER_FLAG, NOTE_BODY_FLAG, ENDS_FLAG, EARLY_SHIFT, LATE_SHIFT = 4, 8, 16, 32, 6, 8
+
+
+def _flags(line: Column, marked: Column) -> Column:
+    """What a line (not null) is like; marked: whether it is like MARKED, without which most patterns needn't be tried."""
+    like = lambda pattern: marked & line.rlike(pattern)
+    bit = lambda condition, value: F.when(condition, value).otherwise(0)
+    indented = reduce(lambda a, b: a | b, [F.startswith(line, F.lit(x)) for x in WHITE_CHARS])
+    sign = F.when(like(BLANK), BLANK_SIGN).when(like(HEADER), HEADER_SIGN).otherwise(OTHER_SIGN)
+    early = F.when(like(RATING), 1 << EARLY_SHIFT).when(like(KEYWORDS), 2 << EARLY_SHIFT).otherwise(0)
+    late = F.when(like(CHAPTER), 1 << LATE_SHIFT).when(like(COLOPHON), 2 << LATE_SHIFT).otherwise(0)
+    number = ~F.startswith(line, F.lit("\f")) & like(NOTE_NUMBER)
+    ends = F.contains(line, F.lit("vagga")) & line.rlike(CHAPTER_END)
+    return sign + bit(like(VERSES), VERSES_FLAG) + bit(number, NUMBER_FLAG) + bit(indented & line.rlike(NOTE_BODY), NOTE_BODY_FLAG) + bit(ends, ENDS_FLAG) + early + late
 
 
 def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
@@ -110,37 +158,42 @@ def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     counts as to come, and what follows the heading then stays heading);
     lines of any length are read as a whole; an empty table gives an empty result; other columns are ignored.
     """
-    line = F.coalesce("line", F.lit(""))
-    like = lambda pattern: line.rlike(pattern)
-    number = {k: F.lit(2 * i) for i, k in enumerate(KINDS)}
-    lines = lines.select("book", F.col("n").cast("long").alias("n"), line.alias("line"))
+    lines = lines.select("book", F.col("n").cast("long").alias("n"), F.coalesce("line", F.lit("")).alias("line"))
+    lines = lines.withColumn("_marked", F.col("line").rlike(MARKED)).withColumn("flags", _flags(F.col("line"), F.col("_marked")).cast("short"))
+    texts = stored(scan.packed(lines, ["book"], "n", ["flags", "line"], block), "lines")
     # windows and scans see what a line is, not the line
-    early = F.when(like(RATING), number["rating"]).when(like(KEYWORDS), number["keywords"])
-    late = F.when(like(CHAPTER), number["chapter"]).when(like(COLOPHON), number["colophon"]).otherwise(number["other"])
-    kinds = lines.select("book", "n", like(VERSES).alias("is_verses"), (like(NOTE_NUMBER) & ~F.startswith("line", F.lit("\f"))).alias("is_number"), like(NOTE_BODY).alias("is_note_body"),
-                         F.when(like(BLANK), "b").when(like(HEADER), "h").otherwise("x").alias("_sign"), early.alias("_early"), late.alias("_late"), like(CHAPTER_END).cast("int").alias("_ends"))
-    rows = _looked_around(kinds, block)
-    kind = F.when(F.col("starts"), number["story"]).when(F.col("header").isNotNull(), number["verses"]).when(F.col("_early").isNotNull(), F.col("_early"))
-    kind = kind.when(F.col("_sign") == "b", number["blank"]).when(F.col("notes"), number["note"]).when(F.col("_sign") == "h", number["header"]).otherwise(F.col("_late"))
-    rows = stored(rows.select("book", "n", (kind + F.col("_ends")).alias("symbol")), "kinds")
-
-    ahead = scan.states(rows, ["book"], "n", "symbol", AHEAD, backward=True, block=block)
-    plain = F.col("symbol") - F.col("symbol") % 2
-    unrated, endless = F.col("before").bitwiseAND(1) == 0, F.col("before").bitwiseAND(2) == 0
-    shift = F.when((plain == number["blank"]) & unrated, number["blank_without_rating"] - number["blank"]).when((plain == number["chapter"]) & endless, number["chapter_without_end"] - number["chapter"])
-    ahead = ahead.select("book", "n", (F.col("symbol") + F.coalesce(shift, F.lit(0))).alias("symbol"))
-    ahead = stored(ahead.withColumns({"story": F.when(F.col("symbol") < 2, F.col("n")), "note": F.when(F.floor(F.col("symbol") / 2) == KINDS.index("note"), F.col("n"))}), "kinds")
-
-    found = scan.states(ahead, ["book"], "n", "symbol", MACHINE, ["story", "note"], block=block)
-    zone = F.floor((F.col("after") - 4) / 2)
-    was = F.floor((F.col("before") - 4) / 2)
-    noted = (F.col("after") >= 4) & (F.col("after") % 2 == 1)
-    part = F.when(F.col("after") == NONE, "none").when(F.col("after") == TITLE, "title").when(F.col("after") < 4, "meta").when(noted, "footnote")
-    part = part.when((F.col("before") < 4) & (F.floor(F.col("symbol") / 2) == KINDS.index("rating")), "rating")
-    part = part.when((zone == 1) | ((zone == 2) & (was < 2)), "heading")
-    part = part.otherwise(F.element_at(F.array(*map(F.lit, ZONES)), (zone + 1).cast("int")))
-    found = found.select("book", "n", F.col("last_story").alias("story"), F.when(noted, F.col("last_note")).alias("note"), part.alias("part"))
-    return _with_lines(found, lines).select("book", "n", "line", "story", "note", "part")
+    rows = stored(_looked_around(texts.select("book", "n", "upto", "at", "flags"), block), "kinds")
+    kind = {k: i for i, k in enumerate(KINDS)}
+
+    def with_ahead(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        symbol, to_come = x["symbol"].data, x["before"]
+        is_ = symbol // 2
+        symbol = symbol + 2 * ((is_ == kind["blank"]) & (to_come & 1 == 0)) + 2 * ((is_ == kind["chapter"]) & (to_come & 2 == 0))
+        return {"symbol": symbol, "story": np.ma.masked_array(x["n"], symbol >= 2), "note": np.ma.masked_array(x["n"], symbol // 2 != kind["note"])}
+
+    ahead = scan.states(rows, ["book"], "n", "symbol", AHEAD, backward=True, block=block, derived=({"symbol": "byte", "story": "long", "note": "long"}, with_ahead))
+
+    def parted(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        before, after = x["before"], x["after"]
+        zone, was = (after - 4) // 2, (before - 4) // 2
+        noted = (after >= 4) & (after % 2 == 1)
+        rated = (before < 4) & (x["symbol"].data // 2 == kind["rating"])
+        heading = (zone == 1) | ((zone == 2) & (was < 2))
+        names = ["none", "title", "meta", "footnote", "rating", "heading"]
+        part = np.select([after == NONE, after == TITLE, after < 4, noted, rated, heading], [PARTS.index(p) for p in names], len(PARTS) - len(ZONES) + zone)
+        last = x["last_note"]
+        return {"story": x["last_story"], "note": np.ma.masked_array(last.data, np.ma.getmaskarray(last) | ~noted), "part": part}
+
+    found = scan.states(stored(ahead, "kinds"), ["book"], "n", "symbol", MACHINE, ["story", "note"], block=block, derived=({"story": "long", "note": "long", "part": "byte"}, parted))
+
+    def unpacked(text: pa.Table, found: pa.Table) -> pa.Table:
+        lines, place = scan.Pieces(text), scan.Pieces(found)
+        columns = [pa.array(np.ma.getdata(x), mask=np.ma.getmaskarray(x)) for x in (place.values("story"), place.values("note"))]
+        part = pa.DictionaryArray.from_arrays(place.values("part").data, pa.array(PARTS)).cast(pa.string())
+        return pa.Table.from_arrays([pa.repeat(text["book"][0], len(part)), pa.array(lines.places), lines.texts("line"), *columns, part], ["book", "n", "line", "story", "note", "part"])
+
+    out = f"book {lines.schema['book'].dataType.simpleString()}, n long, line string, story long, note long, part string"
+    return texts.select("book", "n", "at", "line").groupBy("book", "n").cogroup(found.groupBy("book", "n")).applyInArrow(unpacked, out)
 
 
 def _with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
@@ -155,10 +208,17 @@ LABEL = rf"^{WHITE}*(CST4|Burlingame|Compare|Cast|Keywords):{WHITE}*(.*)$"
 NOTE_AUTHOR = rf"^{WHITE}*(?:(AJ|BG):)?{WHITE}*(.*)$"
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, as a lambda's variable, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def wrapped(parts: Column) -> Column:
     """Lines (an array) as one text: joined by a space, or by nothing after a hyphen behind a letter. Blank lines drop out."""
-    bare = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")), lambda x: x != "")
-    return F.replace(F.regexp_replace(F.array_join(bare, "\n"), "(\\p{L})-\n", "$1-"), F.lit("\n"), F.lit(" "))
+    edged = lambda x: F.substring(x, 1, 1).isin(WHITE_CHARS) | F.substring(x, -1, 1).isin(WHITE_CHARS + TERMINATORS)
+    bare = F.filter(F.transform(parts, lambda x: F.when(edged(x), F.regexp_replace(x, rf"^{WHITE}+|{WHITE}+$", "")).otherwise(x)), lambda x: x != "")
+    joined = lambda x: F.when(F.contains(x, F.lit("-\n")), F.regexp_replace(x, "(\\p{L})-\n", "$1-")).otherwise(x)
+    return F.replace(_once(F.array_join(bare, "\n"), joined), F.lit("\n"), F.lit(" "))
 
 
 def _in_order(condition: Column, value: Column) -> Column:
@@ -307,17 +367,47 @@ def language(line: Column) -> Column:
     return F.transform(counts, lambda c: F.when((c["e"] == 0) & (c["p"] == 0), "unknown").when(c["p"] > c["e"], "pali").otherwise("english"))[0]
 
 
+def _without_crumbs(x: Column) -> Column:
+    """Without form feeds and page numbers in brackets."""
+    found = reduce(lambda a, b: a | b, [F.contains(x, F.lit(sign)) for sign in "\f{["])
+    return F.when(found, F.regexp_replace(F.replace(x, F.lit("\f"), F.lit("")), L.PAGE_CRUMB, "")).otherwise(x)
+
+
+def _without_end(x: Column) -> Column:
+    """Without white space at the end."""
+    found = reduce(lambda a, b: a | b, [F.endswith(x, F.lit(sign)) for sign in [*WHITE_CHARS, "\x0b", *TERMINATORS]])
+    return F.when(found, F.regexp_replace(x, r"\s+$", "")).otherwise(x)
+
+
+def _with_single_spaces(x: Column) -> Column:
+    """With one space at most within; the indent stays."""
+    single = F.concat(F.regexp_extract(x, "^( *)", 1), F.regexp_replace(F.regexp_replace(x, "^ +", ""), " {2,}", " "))
+    return F.when(F.contains(F.ltrim(x), F.lit("  ")), single).otherwise(x)
+
+
+#: The steps of tidy. Patterns are tried only on texts with a sign that they need.
+TIDY = [_without_crumbs, _without_end, _with_single_spaces]
+
+
 def tidy(line: Column) -> Column:
     """A line without form feeds, page numbers in brackets, white space at its end and more than one space within; its indent stays."""
-    bare = F.regexp_replace(F.regexp_replace(F.replace(line, F.lit("\f"), F.lit("")), L.PAGE_CRUMB, ""), r"\s+$", "")
-    return F.transform(F.array(bare), lambda x: F.concat(F.regexp_extract(x, "^( *)", 1), F.regexp_replace(F.regexp_replace(x, "^ +", ""), " {2,}", " ")))[0]
+    return reduce(_once, TIDY, line)
 
 
 def _body(parts: DataFrame) -> DataFrame:
-    rows = parts.where("part = 'body'").select("book", "story", "n", F.explode(F.filter(F.array(tidy(F.col("line"))), lambda x: x != "")).alias("line"))
-    bare = F.regexp_replace("line", "^ +", "")
-    rows = rows.withColumns({"bare": bare, "indent": F.length("line") - F.length(bare), "tongue": language(bare)})
-    return rows.withColumn("indented", F.col("indent") >= INDENTED)
+    """book, story, n, line (tidy), bare (without its indent), indent and indented of the lines of bodies that aren't blank."""
+    rows = parts.where("part = 'body'").select("book", "story", "n", "line")
+    # a column for each step, which is compiled, as a lambda isn't; a filter in place of the explode would be worked out on its own, all steps again
+    for step in TIDY:
+        rows = rows.withColumn("line", step(F.col("line")))
+    rows = rows.select("book", "story", "n", F.explode(F.when(F.col("line") != "", F.array("line"))).alias("line"))
+    rows = rows.withColumn("bare", F.ltrim("line"))
+    return rows.withColumn("indent", F.length("line") - F.length("bare")).withColumn("indented", F.col("indent") >= INDENTED)
+
+
+def _ends_in(line: Column, pattern: str, signs: str) -> Column:
+    """line.rlike(pattern), for a pattern of one of the signs at the end."""
+    return F.substring(line, -1, 1).isin([*signs, *TERMINATORS]) & line.rlike(pattern)
 
 
 def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
@@ -330,23 +420,29 @@ def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     Defined cases: blank lines are no lines; the last line of a story ends its paragraph; a story without a body has no rows; a block of any
     length is one row, as its text is.
     """
-    rows = _body(parts)
-    verse = F.col("indented") & ((F.length("bare") < VERSE_LINE) | F.col("line").rlike(NUMBERED) | (F.col("tongue") == "pali"))
-    rows = rows.withColumn("verse", verse)
-    packed = F.col("indent") * 8 + F.col("verse").cast("int") * 4 + F.col("indented").cast("int") * 2 + ((F.length("bare") >= FULL_LINE) & (F.col("tongue") != "pali")).cast("int")
-    fields = {"runs_on": F.col("line").rlike(RUNS_ON), "sentence": F.col("bare").rlike(SENTENCE_END), "short": F.length("bare") < F.lit(SHORT) - F.col("indent")}
-    body = rows.select("book", "story", "n", "bare", "indent", "indented", "verse", packed.cast("long").alias("packed"), *[c.alias(name) for name, c in fields.items()])
-    body = stored(body, "body")
-    rows = body.drop("bare").withColumns({"s": F.lit(0), "own": F.col("story")})
-    rows = scan.states(rows, ["book"], "n", "s", [[0]], ["packed", "own"], backward=True, block=block)
-    last = ~F.col("prior_own").eqNullSafe(F.col("story"))
-    behind = F.when(~last, F.col("prior_packed"))
-    opens = ~F.col("runs_on") & (F.floor(behind / 8) == F.col("indent")) & (behind.bitwiseAND(1) == 1)
-    alone = F.col("verse") & ~F.coalesce(opens, F.lit(False))
-    turn = (behind.bitwiseAND(4) > 0) | ((behind.bitwiseAND(2) > 0) != F.col("indented")) | F.col("short")
-    ends = last | (F.col("sentence") & F.coalesce(turn, F.lit(False)))
-    symbol = alone.cast("int") * 4 + ends.cast("int") * 2 + last.cast("int")
-    rows = stored(rows.select("book", "story", "n", alone.alias("alone"), symbol.alias("symbol")), "symbols")
+    size = F.length("bare")
+    # a line's language counts only where it is indented (an open verse line is, and the line that it runs on to has the same indent) and of some length
+    tongue = F.when(F.col("indented") & (size >= min(VERSE_LINE, FULL_LINE)), language(F.col("bare")))
+    rows = _body(parts).withColumn("tongue", tongue)
+    verse = F.col("indented") & ((size < VERSE_LINE) | F.col("bare").rlike(NUMBERED) | (F.col("tongue") == "pali"))
+    full = F.col("indented") & (size >= FULL_LINE) & (F.col("tongue") != "pali")
+    packed = F.col("indent") * 8 + F.when(verse, 4).otherwise(0) + F.when(F.col("indented"), 2).otherwise(0) + F.when(full, 1).otherwise(0)
+    bits = [_ends_in(F.col("bare"), RUNS_ON, ".,;:!?–—’”"), _ends_in(F.col("bare"), SENTENCE_END, ".!?:;”’)–"), size < F.lit(SHORT) - F.col("indent")]
+    flags = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(bits)), F.lit(0))
+    rows = rows.select("book", "story", "n", "bare", packed.cast("long").alias("packed"), flags.cast("byte").alias("flags"), F.col("story").alias("own"))
+    body = stored(scan.packed(rows, ["book"], "n", ["story", "packed", "flags", "own", "bare"], block), "body")
+
+    def looked_behind(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own, flags, none = x["packed"].data, x["flags"].data, np.ma.getmaskarray(x["prior_own"])
+        last = np.where(none | x["story"].mask, none != x["story"].mask, x["prior_own"].data != x["story"].data)
+        behind = x["prior_packed"].data
+        opens = ~last & (flags & 1 == 0) & (behind >> 3 == own >> 3) & (behind & 1 == 1)
+        alone = (own & 4 > 0) & ~opens
+        ends = last | ((flags & 2 > 0) & ((behind & 4 > 0) | ((behind & 2) != (own & 2)) | (flags & 4 > 0)))
+        return {"symbol": alone * 4 + ends * 2 + last}
+
+    rows = body.select("book", "n", "upto", "at", "story", "packed", "flags", "own")
+    rows = scan.states(rows, ["book"], "n", "flags", [[0]] * 8, ["packed", "own"], backward=True, block=block, derived=({"symbol": "byte"}, looked_behind))
 
     def after(alone: int, ends: int, last: int, state: int) -> int:
         """0: nothing is open, 1: a paragraph, 2: a verse."""
@@ -354,16 +450,31 @@ def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
             return 0 if last else 2
         return 0 if ends else 1
 
-    rows = scan.states(rows, ["book"], "n", "symbol", [[after(x >> 2, (x >> 1) & 1, x & 1, s) for s in range(3)] for x in range(8)], block=block)
-    kept = F.col("alone") & (F.col("before") != 1)
-    starts = F.when(kept, F.col("before") != 2).otherwise(F.col("before") != 1)
-    rows = rows.select("book", "story", "n", kept.alias("kept"), F.when(starts, F.col("n")).alias("at"), F.lit(0).alias("symbol"))
-    rows = scan.states(stored(rows, "blocks"), ["book"], "n", "symbol", [[0]], ["at"], block=block).select("book", "story", "n", "kept", "last_at")
-    rows = _with_lines(rows, body.select("book", "n", "bare"))
-    lines = _in_order(F.lit(True), F.col("bare"))
-    blocks = rows.groupBy("book", "story", F.col("last_at").alias("first_line")).agg(F.max("kept").alias("kept"), lines.alias("lines"))
-    text = F.when(F.col("kept"), F.array_join("lines", "\n")).otherwise(wrapped(F.col("lines")))
-    return blocks.select("book", "story", "first_line", F.when(F.col("kept"), "verse").otherwise("paragraph").alias("kind"), text.alias("text"))
+    def begun(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        before = x["before"]
+        kept = (x["symbol"].data >= 4) & (before != 1)
+        return {"kept": kept, "start": np.ma.masked_array(x["n"], before == np.where(kept, 2, 1))}
+
+    table = [[after(x >> 2, (x >> 1) & 1, x & 1, s) for s in range(3)] for x in range(8)]
+    rows = scan.states(stored(rows, "symbols"), ["book"], "n", "symbol", table, block=block, derived=({"kept": "byte", "start": "long"}, begun))
+    named = ({"kept": "byte", "first_line": "long", "follows": "byte"}, lambda x: {"kept": x["kept"], "first_line": x["last_start"], "follows": x["follows"]})
+    rows = scan.states(stored(rows, "blocks"), ["book"], "n", "kept", [[0]] * 2, ["start"], block=block, derived=named)
+
+    def gathered(text: pa.Table, found: pa.Table) -> pa.Table:
+        """The lines of each block in a piece, as far as they follow one another."""
+        lines, place = scan.Pieces(text), scan.Pieces(found)
+        first, story = place.values("first_line").data, lines.values("story")
+        at = np.append(0, np.flatnonzero((np.diff(first) != 0) | (place.values("follows").data[1:] == 0)) + 1)
+        bare = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)), lines.texts("bare"))
+        kept = pa.array(np.maximum.reduceat(place.values("kept").data, at), pa.int32())
+        stories = pa.array(story.data[at], pa.int64(), mask=np.ma.getmaskarray(story)[at])
+        return pa.Table.from_arrays([pa.repeat(text["book"][0], len(at)), stories, pa.array(first[at]), pa.array(lines.places[at]), kept, bare], ["book", "story", "first_line", "n", "kept", "lines"])
+
+    out = f"book {parts.schema['book'].dataType.simpleString()}, story long, first_line long, n long, kept int, lines array<string>"
+    lines = body.select("book", "n", "at", "story", "bare").groupBy("book", "n").cogroup(rows.groupBy("book", "n")).applyInArrow(gathered, out)
+    blocks = lines.groupBy("book", "story", "first_line").agg(F.max("kept").alias("kept"), F.flatten(_in_order(F.lit(True), F.col("lines"))).alias("lines"))
+    text = F.when(F.col("kept") == 1, F.array_join("lines", "\n")).otherwise(wrapped(F.col("lines")))
+    return blocks.select("book", "story", "first_line", F.when(F.col("kept") == 1, "verse").otherwise("paragraph").alias("kind"), text.alias("text"))
 
 
 def verses(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
@@ -374,7 +485,7 @@ def verses(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
 
     Defined cases: a story that quotes none of its verses has no row; no translation: null; numbers are those of the story's own verse line.
     """
-    rows = _body(parts)
+    rows = _body(parts).withColumn("tongue", F.when(F.col("indented"), language(F.col("bare"))))
     own = titles(parts).select(F.col("book").alias("_b"), F.col("story").alias("_s"), "first_verse", "last_verse")
     number = F.nullif(F.regexp_extract("line", NUMBERED, 1), F.lit("")).cast("long")
     tail = F.regexp_extract("line", NUMBERED, 2)

@@ -47,10 +47,11 @@ lines AS (
 
 
 def _lines(spark, d):
-    """The same layout: book, n and line."""
-    docs = table(spark, d, "documents").where("doc_id is not null").withColumn("w", F.expr(r"""
+    """The same layout: book, n and line. Documents are dealt by ranges, and each is laid out where its lines are numbered."""
+    docs = table(spark, d, "documents").where("doc_id is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "doc_id").withColumn("w", F.expr(r"""
       coalesce(flatten(transform(filter(split(coalesce(text, ''), '\n'), x -> x <> ''), x -> regexp_extract_all(x, '([^\\n]{1,68})(?: |\\z)', 1))), array())"""))
-    i, first = F.col("doc_id").cast("long"), F.coalesce(F.try_element_at("w", F.lit(1)), F.lit("nothing"))
+    i, first = F.col("doc_id"), F.coalesce(F.try_element_at("w", F.lit(1)), F.lit("nothing"))
     text = lambda c: c.cast("string")
     only = lambda condition, *lines: F.when(condition, F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])).otherwise(F.array().cast("array<string>"))
     always = F.lit(True)
@@ -87,7 +88,7 @@ def _lines(spark, d):
         only(i % 101 == 100, "  Conclusion, Nigamanakathā", "the end of it"),
     ))
     rows = docs.select(F.col("lang").alias("book"), i.alias("d"), F.posexplode(laid).alias("k", "line")).where(~B.is_noise(F.col("line")))
-    return E.numbered(rows, ["book"], ["d", "k"]).select("book", F.col("i").alias("n"), "line")
+    return E.numbered(rows, ["book"], ["d", "k"], dealt=True).select("book", F.col("i").alias("n"), "line")
 
 
 def _parts(spark, d):
@@ -229,7 +230,7 @@ SELECT book, story, first_line, CASE WHEN bool_or(kept) THEN 'verse' ELSE 'parag
   CASE WHEN bool_or(kept) THEN string_agg(bare, chr(10) ORDER BY n) ELSE {SQL_WRAPPED.format(f"list({SQL_BARE.format('bare')} ORDER BY n)")} END AS text FROM z6 GROUP BY book, story, first_line""")
 def str_reflow(spark, d):
     """Bodies as paragraphs and verses: wrapped lines are joined, lines of verse stay."""
-    return B.reflow(_parts(spark, d))
+    return B.reflow(B.segmented(_lines(spark, d)))
 
 
 @query(rf"""WITH {SQL_PARTS}, {SQL_BOOK_TITLES}, {SQL_BODY},
