@@ -124,7 +124,7 @@ def _looked_around(pieces: DataFrame, block: int) -> DataFrame:
         mine = np.equal(part["_own"].to_numpy(), part["_block"].to_numpy())
         return held.table(["book", "n", "upto", "at"], {"symbol": symbol}, {"symbol": "byte"}).filter(pa.array(mine))
 
-    return spread.groupBy("book", "_block").applyInArrow(looked, f"book {pieces.schema['book'].dataType.simpleString()}, n long, upto long, at binary, symbol binary")
+    return scan.dealt(spread, ["book", "_block"]).groupBy("book", "_block").applyInArrow(looked, f"book {pieces.schema['book'].dataType.simpleString()}, n long, upto long, at binary, symbol binary")
 
 
 #: What a line is, as the bits of a number: its sign in the lowest two, and what it is like.
@@ -160,9 +160,9 @@ def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     """
     lines = lines.select("book", F.col("n").cast("long").alias("n"), F.coalesce("line", F.lit("")).alias("line"))
     lines = lines.withColumn("_marked", F.col("line").rlike(MARKED)).withColumn("flags", _flags(F.col("line"), F.col("_marked")).cast("short"))
-    texts = stored(scan.packed(lines, ["book"], "n", ["flags", "line"], block), "lines")
     # windows and scans see what a line is, not the line
-    rows = stored(_looked_around(texts.select("book", "n", "upto", "at", "flags"), block), "kinds")
+    flags = stored(scan.packed(lines, ["book"], "n", ["flags"], block), "lines")
+    rows = stored(_looked_around(flags, block), "kinds")
     kind = {k: i for i, k in enumerate(KINDS)}
 
     def with_ahead(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -187,13 +187,20 @@ def segmented(lines: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     found = scan.states(stored(ahead, "kinds"), ["book"], "n", "symbol", MACHINE, ["story", "note"], block=block, derived=({"story": "long", "note": "long", "part": "byte"}, parted))
 
     def unpacked(text: pa.Table, found: pa.Table) -> pa.Table:
-        lines, place = scan.Pieces(text), scan.Pieces(found)
-        columns = [pa.array(np.ma.getdata(x), mask=np.ma.getmaskarray(x)) for x in (place.values("story"), place.values("note"))]
-        part = pa.DictionaryArray.from_arrays(place.values("part").data, pa.array(PARTS)).cast(pa.string())
-        return pa.Table.from_arrays([pa.repeat(text["book"][0], len(part)), pa.array(lines.places), lines.texts("line"), *columns, part], ["book", "n", "line", "story", "note", "part"])
+        """The lines of a block with what was found of them, which may have been cut into other pieces."""
+        texts, place = scan.Pieces(text), scan.Pieces(found)
+        at, order = np.argsort(texts.places, kind="stable"), np.argsort(place.places, kind="stable")
+        story, note, part = (place.values(c)[order] for c in ("story", "note", "part"))
+        columns = [pa.array(np.ma.getdata(x), mask=np.ma.getmaskarray(x)) for x in (story, note)]
+        names = pa.DictionaryArray.from_arrays(part.data, pa.array(PARTS)).cast(pa.string())
+        lines = texts.texts("line")
+        lines = lines if (np.diff(at) == 1).all() else lines.take(pa.array(at))
+        return pa.Table.from_arrays([pa.repeat(text["book"][0], len(at)), pa.array(texts.places[at]), lines, *columns, names], ["book", "n", "line", "story", "note", "part"])
 
     out = f"book {lines.schema['book'].dataType.simpleString()}, n long, line string, story long, note long, part string"
-    return texts.select("book", "n", "at", "line").groupBy("book", "n").cogroup(found.groupBy("book", "n")).applyInArrow(unpacked, out)
+    own = F.floor(F.col("n") / block).cast("long").alias("_block")
+    texts = scan.packed(lines, ["book"], "n", ["line"], block).select("book", own, "n", "at", "line")
+    return texts.groupBy("book", "_block").cogroup(found.select("book", own, "n", "at", "story", "note", "part").groupBy("book", "_block")).applyInArrow(unpacked, out)
 
 
 def _with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
@@ -429,20 +436,20 @@ def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     packed = F.col("indent") * 8 + F.when(verse, 4).otherwise(0) + F.when(F.col("indented"), 2).otherwise(0) + F.when(full, 1).otherwise(0)
     bits = [_ends_in(F.col("bare"), RUNS_ON, ".,;:!?–—’”"), _ends_in(F.col("bare"), SENTENCE_END, ".!?:;”’)–"), size < F.lit(SHORT) - F.col("indent")]
     flags = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(bits)), F.lit(0))
-    rows = rows.select("book", "story", "n", "bare", packed.cast("long").alias("packed"), flags.cast("byte").alias("flags"), F.col("story").alias("own"))
-    body = stored(scan.packed(rows, ["book"], "n", ["story", "packed", "flags", "own", "bare"], block), "body")
+    rows = rows.select("book", "story", "n", "bare", packed.cast("long").alias("packed"), flags.cast("byte").alias("flags"))
+    body = stored(scan.packed(rows, ["book"], "n", ["story", "packed", "flags", "bare"], block), "body")
 
     def looked_behind(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        own, flags, none = x["packed"].data, x["flags"].data, np.ma.getmaskarray(x["prior_own"])
-        last = np.where(none | x["story"].mask, none != x["story"].mask, x["prior_own"].data != x["story"].data)
+        own, flags, none = x["packed"].data, x["flags"].data, np.ma.getmaskarray(x["prior_story"])
+        last = np.where(none | x["story"].mask, none != x["story"].mask, x["prior_story"].data != x["story"].data)
         behind = x["prior_packed"].data
         opens = ~last & (flags & 1 == 0) & (behind >> 3 == own >> 3) & (behind & 1 == 1)
         alone = (own & 4 > 0) & ~opens
         ends = last | ((flags & 2 > 0) & ((behind & 4 > 0) | ((behind & 2) != (own & 2)) | (flags & 4 > 0)))
         return {"symbol": alone * 4 + ends * 2 + last}
 
-    rows = body.select("book", "n", "upto", "at", "story", "packed", "flags", "own")
-    rows = scan.states(rows, ["book"], "n", "flags", [[0]] * 8, ["packed", "own"], backward=True, block=block, derived=({"symbol": "byte"}, looked_behind))
+    rows = body.select("book", "n", "upto", "at", "story", "packed", "flags")
+    rows = scan.states(rows, ["book"], "n", "flags", [[0]] * 8, ["packed", "story"], backward=True, block=block, derived=({"symbol": "byte"}, looked_behind))
 
     def after(alone: int, ends: int, last: int, state: int) -> int:
         """0: nothing is open, 1: a paragraph, 2: a verse."""
@@ -460,19 +467,28 @@ def reflow(parts: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     named = ({"kept": "byte", "first_line": "long", "follows": "byte"}, lambda x: {"kept": x["kept"], "first_line": x["last_start"], "follows": x["follows"]})
     rows = scan.states(stored(rows, "blocks"), ["book"], "n", "kept", [[0]] * 2, ["start"], block=block, derived=named)
 
-    def gathered(text: pa.Table, found: pa.Table) -> pa.Table:
-        """The lines of each block in a piece, as far as they follow one another."""
-        lines, place = scan.Pieces(text), scan.Pieces(found)
-        first, story = place.values("first_line").data, lines.values("story")
-        at = np.append(0, np.flatnonzero((np.diff(first) != 0) | (place.values("follows").data[1:] == 0)) + 1)
-        bare = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)), lines.texts("bare"))
-        kept = pa.array(np.maximum.reduceat(place.values("kept").data, at), pa.int32())
-        stories = pa.array(story.data[at], pa.int64(), mask=np.ma.getmaskarray(story)[at])
-        return pa.Table.from_arrays([pa.repeat(text["book"][0], len(at)), stories, pa.array(first[at]), pa.array(lines.places[at]), kept, bare], ["book", "story", "first_line", "n", "kept", "lines"])
+    def gathered(whole: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        """The lines of each block in a piece, as far as they follow one another: of those blocks that are whole in it, or of the others."""
+
+        def of_piece(text: pa.Table, found: pa.Table) -> pa.Table:
+            lines, place = scan.Pieces(text), scan.Pieces(found)
+            first, story, follows = place.values("first_line").data, lines.values("story"), place.values("follows").data
+            at = np.append(0, np.flatnonzero((np.diff(first) != 0) | (follows[1:] == 0)) + 1)
+            bare = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)), lines.texts("bare"))
+            kept = pa.array(np.maximum.reduceat(place.values("kept").data, at), pa.int32())
+            stories = pa.array(story.data[at], pa.int64(), mask=np.ma.getmaskarray(story)[at])
+            # its first line is here, and so is the line right behind it, which is another block's
+            ended = np.append((follows[at[1:]] == 1) & (np.diff(first[at]) != 0), False)
+            chosen = pa.array(((lines.places[at] == first[at]) & ended) == whole)
+            return pa.Table.from_arrays([pa.repeat(text["book"][0], len(at)), stories, pa.array(first[at]), pa.array(lines.places[at]), kept, bare], ["book", "story", "first_line", "n", "kept", "lines"]).filter(chosen)
+
+        return of_piece
 
     out = f"book {parts.schema['book'].dataType.simpleString()}, story long, first_line long, n long, kept int, lines array<string>"
-    lines = body.select("book", "n", "at", "story", "bare").groupBy("book", "n").cogroup(rows.groupBy("book", "n")).applyInArrow(gathered, out)
-    blocks = lines.groupBy("book", "story", "first_line").agg(F.max("kept").alias("kept"), F.flatten(_in_order(F.lit(True), F.col("lines"))).alias("lines"))
+    # the texts are shuffled to what was found of them, and only those of blocks on two pieces once more
+    both = body.select("book", "n", "at", "story", "bare").groupBy("book", "n").cogroup(rows.groupBy("book", "n"))
+    cut = both.applyInArrow(gathered(False), out).groupBy("book", "story", "first_line").agg(F.max("kept").alias("kept"), F.flatten(_in_order(F.lit(True), F.col("lines"))).alias("lines"))
+    blocks = both.applyInArrow(gathered(True), out).select("book", "story", "first_line", "kept", "lines").union(cut)
     text = F.when(F.col("kept") == 1, F.array_join("lines", "\n")).otherwise(wrapped(F.col("lines")))
     return blocks.select("book", "story", "first_line", F.when(F.col("kept") == 1, "verse").otherwise("paragraph").alias("kind"), text.alias("text"))
 

@@ -26,18 +26,19 @@ def draw(resample: Column, i: Column, n: Column, seed: str) -> Column:
     return F.floor(h * n / F.lit(4294967296)).cast("long")
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], dealt: bool = False) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[str], dealt: bool = False, compression: str | None = None) -> DataFrame:
     """rows with i, their place from 0 among rows of equal by, in this order, and n, how many those are.
 
     Rows are dealt by ranges of by and order; a place is that in its part, and the sizes of the parts before are added, so
     that no task has a group's rows to sort. dealt: rows come in such ranges already, from repartitionByRange by the first of these columns.
+    compression: that of the stored rows.
     """
     keys = [*by, *order]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id()
     ranges = rows if dealt else rows.repartitionByRange(parts, *keys)
     dealt = ranges.sortWithinPartitions(*keys).withColumns({"_part": F.shiftright(at, 33), "_place": at.bitwiseAND(F.lit((1 << 33) - 1))})
-    dealt = stored(dealt, "numbered")
+    dealt = stored(dealt, "numbered", compression)
     held = dealt.groupBy("_part", *by).agg(F.count("*").alias("_size"), F.min("_place").alias("_first"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -166,15 +166,15 @@ def _bytes(values: np.ndarray, kind: str) -> bytes:
 
 
 def _text_bytes(texts: pa.Array) -> bytes:
-    """Where each text begins and where the last one ends, and the texts themselves."""
-    offsets = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())).astype(np.int32)
+    """How many bytes there are, and, compressed, how long each text is and the texts themselves."""
     _, starts, data = texts.buffers()
     begins = np.frombuffer(starts, np.int32, len(texts) + 1, 4 * texts.offset)
-    return offsets.tobytes() + (data.slice(int(begins[0]), int(begins[-1] - begins[0])).to_pybytes() if data else b"")
+    held = np.diff(begins).tobytes() + (data.slice(int(begins[0]), int(begins[-1] - begins[0])).to_pybytes() if data else b"")
+    return len(held).to_bytes(8, "little") + pa.compress(held, "zstd", asbytes=True)
 
 
 def packed(rows: DataFrame, by: list[str], n: str, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """rows in pieces: by, n (the first row's), upto (the last row's), at (how far behind the first each row is) and each column, as bytes that Pieces reads.
+    """rows in pieces: by, n (the first row's), upto (the last row's), at (how far behind the one before each row is) and each column, as bytes that Pieces reads.
 
     A piece has rows of one group and block, in the order of n, that come to Python together, so that nothing is shuffled: rows that lie in order make pieces of about
     a block, others more and shorter ones. A piece is named by by and n, as n (long, not null) is unique in a group. Up to 10,000 rows are held at a time.
@@ -200,7 +200,7 @@ def packed(rows: DataFrame, by: list[str], n: str, columns: list[str], block: in
             ends = np.append(first[1:], len(places))
             cuts = list(zip(first.tolist(), ends.tolist()))
             arrays = [batch[k].take(pa.array(first)) for k in by] + [pa.array(places[first]), pa.array(places[ends - 1])]
-            arrays.append(pa.array([_bytes(places[i:j] - places[i], "short" if block < 1 << 15 else "int") for i, j in cuts], pa.binary()))
+            arrays.append(pa.array([_bytes(np.diff(places[i:j], prepend=places[i]), "short" if block < 1 << 15 else "int") for i, j in cuts], pa.binary()))
             for c, kind in kinds.items():
                 values = batch[c] if kind == "text" else _masked(batch[c])
                 arrays.append(pa.array([_text_bytes(values[i:j]) if kind == "text" else _bytes(values[i:j], kind) for i, j in cuts], pa.binary()))
@@ -210,6 +210,11 @@ def packed(rows: DataFrame, by: list[str], n: str, columns: list[str], block: in
     return rows.mapInArrow(pieces, types)
 
 
+def dealt(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """pieces by keys in as many parts as the session has: they are few bytes for the work that they are, so that parts should not be merged by size."""
+    return pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _masked(values: pa.Array) -> np.ma.MaskedArray:
     return np.ma.masked_array((values.fill_null(0) if values.null_count else values).to_numpy(), values.is_null().to_numpy(zero_copy_only=False))
 
@@ -219,7 +224,7 @@ class Pieces:
 
     def __init__(self, part: pa.Table):
         self.part = part
-        at = [self._numbers(x) for x in part["at"]]
+        at = [np.cumsum(self._numbers(x), dtype=np.int64) for x in part["at"]]
         self.offsets = np.append(0, np.cumsum([len(x) for x in at]))
         self.places = np.repeat(part["n"].to_numpy(), np.diff(self.offsets)) + np.concatenate(at)
 
@@ -233,9 +238,13 @@ class Pieces:
         return np.ma.masked_array(held, held == np.iinfo(held.dtype).min)
 
     def texts(self, name: str) -> pa.Array:
-        """The texts of a column, in a single piece."""
-        held, size = self.part[name][0].as_buffer(), 4 * (int(self.offsets[1]) + 1)
-        return pa.StringArray.from_buffers(int(self.offsets[1]), held.slice(0, size), held.slice(size))
+        found = []
+        for value, size in zip(self.part[name], np.diff(self.offsets).tolist()):
+            held = value.as_buffer()
+            held = pa.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), "zstd")
+            begins = np.append(0, np.cumsum(np.frombuffer(held, np.int32, size))).astype(np.int32)
+            found.append(pa.StringArray.from_buffers(size, pa.py_buffer(begins), held.slice(4 * size)))
+        return pa.concat_arrays(found)
 
     def table(self, kept: Iterable[str], new: dict[str, np.ndarray], kinds: dict[str, str]) -> pa.Table:
         """The pieces' columns kept, and new ones."""
@@ -286,17 +295,16 @@ def states_of_pieces(rows: DataFrame, by: list[str], symbol: str, table: list[li
         return _summary(key, part, by, step, last)
 
     short = rows.select(*keys, "n", "at", F.col(symbol).alias("_s"), *[F.col(c).alias(a) for c, a in zip(carry, carried)])
-    entries = _entries(stored(short.groupBy(*keys).applyInArrow(of_rows, _maps_schema(key_types, carried)), "maps"), by, key_types, width, carried, start, fan)
-    known = entries.select(*[F.col(k).alias(f"_{k}") for k in keys], "_entry", *[F.col(c).alias(f"_e{c}") for c in carried])
-    joined = rows.join(known, _same(rows, known, keys)).select(*rows.columns, "_entry", *[f"_e{c}" for c in carried])
+    maps = stored(dealt(short, keys).groupBy(*keys).applyInArrow(of_rows, _maps_schema(key_types, carried)), "maps")
+    entries = _entries(maps, by, key_types, width, carried, start, fan)
     others = [c for c in rows.columns if c not in (*keys, "n", "upto", "at")]
     when = [("last", True), ("prior", False)]
     given, make = derived or ({"before": "int", "after": "int"} | {f"{name}_{c}": "long" for name, _ in when for c in carry}, None)
     kept = [*by, "n", "upto", "at", *([] if make else others)]
 
-    def replayed(part: pa.Table) -> pa.Table:
+    def replayed(part: pa.Table, known: pa.Table) -> pa.Table:
         pieces, order, symbols = read(part, symbol)
-        state = entry = part["_entry"][0].as_py()
+        state = entry = known["_entry"][0].as_py()
         found = []
         for s in symbols:
             state = steps[s][state]
@@ -307,11 +315,11 @@ def states_of_pieces(rows: DataFrame, by: list[str], symbol: str, table: list[li
         new = {"before": np.append(np.int32(entry), after[:-1])[back], "after": after[back]}
         for c, a in zip(carry, carried):
             values = pieces.values(c)[order]
-            new |= {f"{name}_{c}": _carried(values, part[f"_e{a}"][0].as_py(), include)[back] for name, include in when}
+            new |= {f"{name}_{c}": _carried(values, known[a][0].as_py(), include)[back] for name, include in when}
         if make:
             follows = np.append(False, np.abs(np.diff(back)) == 1)
             new = make({c: pieces.values(c) for c in others} | {"n": pieces.places, "follows": follows} | new)
         return pieces.table(kept, {c: new[c] for c in given}, given)
 
     out = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} binary" for c in given]
-    return joined.groupBy(*keys).applyInArrow(replayed, ", ".join(out))
+    return dealt(rows, keys).groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(replayed, ", ".join(out))

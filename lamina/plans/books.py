@@ -88,7 +88,7 @@ def _lines(spark, d):
         only(i % 101 == 100, "  Conclusion, Nigamanakathā", "the end of it"),
     ))
     rows = docs.select(F.col("lang").alias("book"), i.alias("d"), F.posexplode(laid).alias("k", "line")).where(~B.is_noise(F.col("line")))
-    return E.numbered(rows, ["book"], ["d", "k"], dealt=True).select("book", F.col("i").alias("n"), "line")
+    return E.numbered(rows, ["book"], ["d", "k"], dealt=True, compression="zstd").select("book", F.col("i").alias("n"), "line")
 
 
 def _parts(spark, d):

@@ -28,8 +28,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and no executor's loss undoes it."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and no executor's loss undoes it. compression: another codec than the session's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
